@@ -92,12 +92,15 @@ def strict_object(col: Column, ddl: str) -> Column:
     """Parse one JSON object strictly; null for anything else.
 
     ``from_json`` stops at the end of the first value, so text after it goes
-    unseen. Wrapped in brackets and, separately, in an object, trailing text
-    breaks at least one of the two parses, since no text closes both wrappers.
+    unseen. Inside a wrapping object trailing text breaks the parse, unless it
+    closes the wrapper or adds a key to it. Only texts where an object is
+    followed by a brace or a key can do that; they are parsed a second time
+    inside brackets, which the same text cannot close.
     """
     options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    keyed = F.from_json(F.concat(F.lit('{"v":'), col, F.lit("}")), f"STRUCT<v: {ddl}>", options)
+    suspect = col.rlike(r'\}\s*(?:\}|,\s*")')
     listed = F.from_json(F.concat(F.lit("["), col, F.lit("]")), f"ARRAY<{ddl}>", options)
-    keyed = F.from_json(
-        F.concat(F.lit('{"v":'), col, F.lit("}")), f"STRUCT<v: {ddl}>", options
+    return F.when(suspect & ~F.coalesce(F.size(listed) == 1, F.lit(False)), None).otherwise(
+        keyed["v"]
     )
-    return F.when((F.size(listed) == 1) & keyed["v"].isNotNull(), F.get(listed, F.lit(0)))

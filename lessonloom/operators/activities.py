@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lessonloom.functions.rows import each
 from lessonloom.functions.text import strict_object, trimmed
 from lessonloom.schemas import ACTIVITY, BLOOMS_LEVELS, BREAKDOWN
 
@@ -41,9 +42,13 @@ def parse_breakdown(df: DataFrame, text: str = "text") -> DataFrame:
 
 def explode_options(parsed: DataFrame, key: str) -> DataFrame:
     """One row per option, with the ordinals of question and option from 1."""
-    questions = parsed.select(key, F.posexplode("activity.mcqs").alias("q", "mcq"))
-    options = questions.select(
-        key, "q", F.col("mcq.question").alias("question"), F.posexplode("mcq.options").alias("o", "option")
+    questions = each(parsed, [key], "activity.mcqs", "q", "mcq")
+    options = each(
+        questions,
+        [key, "q", F.col("mcq.question").alias("question")],
+        "mcq.options",
+        "o",
+        "option",
     )
     return options.select(
         key,
@@ -58,7 +63,7 @@ def explode_options(parsed: DataFrame, key: str) -> DataFrame:
 
 def explode_prompts(parsed: DataFrame, key: str) -> DataFrame:
     """One row per writing prompt."""
-    return parsed.select(key, F.posexplode("activity.writingPrompts").alias("p", "w")).select(
+    return each(parsed, [key], "activity.writingPrompts", "p", "w").select(
         key,
         (F.col("p") + 1).alias("prompt_no"),
         F.col("w.prompt").alias("prompt"),
@@ -68,7 +73,7 @@ def explode_prompts(parsed: DataFrame, key: str) -> DataFrame:
 
 def explode_rubric(parsed: DataFrame, key: str) -> DataFrame:
     """One row per rubric criterion."""
-    return parsed.select(key, F.posexplode("activity.rubric").alias("p", "r")).select(
+    return each(parsed, [key], "activity.rubric", "p", "r").select(
         key,
         (F.col("p") + 1).alias("criterion_no"),
         F.col("r.criterion").alias("criterion"),
@@ -79,7 +84,8 @@ def explode_rubric(parsed: DataFrame, key: str) -> DataFrame:
 
 
 def check_activities(parsed: DataFrame, key: str) -> DataFrame:
-    """Contract violations of each parsed document, comma separated; empty if none."""
+    """Contract violations of each document, comma separated; empty if none, null if
+    the document did not parse."""
     a = F.col("activity")
     labels = F.array(*(F.lit(label) for label in OPTION_LABELS))
 
@@ -101,9 +107,9 @@ def check_activities(parsed: DataFrame, key: str) -> DataFrame:
             F.when(length(a["rubric"]) != CRITERION_COUNT, "criterion_count"),
         )
     )
-    return parsed.where(F.col("status") == "ok").select(
-        key, F.array_join(found, ",").alias("violations")
-    )
+    # The test of the result comes after parsing, or it would parse once more.
+    joined = F.when(a.isNotNull(), F.array_join(found, ","))
+    return parsed.select(key, joined.alias("violations"))
 
 
 def breakdown_levels(parsed: DataFrame, key: str) -> DataFrame:
@@ -112,13 +118,18 @@ def breakdown_levels(parsed: DataFrame, key: str) -> DataFrame:
     names = F.transform(b["levels"], lambda x: x["level"])
     expected = F.array(*(F.lit(level) for level in BLOOMS_LEVELS))
     complete = F.size(F.array_except(expected, names)) == 0
-    rows = parsed.where(F.col("status") == "ok").select(
-        key,
-        b["primaryLevel"].alias("primary_level"),
-        complete.alias("complete"),
-        F.array_size(b["teachingSequence"]).alias("teaching_steps"),
-        F.array_size(b["successCriteria"]).alias("success_criteria"),
-        F.posexplode(b["levels"]).alias("p", "l"),
+    rows = each(
+        parsed,
+        [
+            key,
+            b["primaryLevel"].alias("primary_level"),
+            complete.alias("complete"),
+            F.array_size(b["teachingSequence"]).alias("teaching_steps"),
+            F.array_size(b["successCriteria"]).alias("success_criteria"),
+        ],
+        b["levels"],
+        "p",
+        "l",
     )
     return rows.select(
         key,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lessonloom.functions.rows import each
+
 
 def _key(*parts: Column) -> Column:
     """Deterministic surrogate key of a path, so that re-runs are idempotent."""
@@ -22,9 +24,7 @@ def normalize_tree(docs: DataFrame) -> dict[str, DataFrame]:
     subjects = docs.select(
         _key(slug).alias("id"), F.col("subject.name").alias("name"), slug.alias("slug")
     )
-    at_strand = docs.select(
-        slug.alias("slug"), F.posexplode("strands").alias("strand_pos", "strand")
-    ).withColumn(
+    at_strand = each(docs, [slug.alias("slug")], "strands", "strand_pos", "strand").withColumn(
         "strand_id", _key(F.col("slug"), F.col("strand_pos").cast("string"), F.col("strand.name"))
     )
     strands = at_strand.select(
@@ -32,23 +32,16 @@ def normalize_tree(docs: DataFrame) -> dict[str, DataFrame]:
         _key(F.col("slug")).alias("subject_id"),
         F.col("strand.name").alias("name"),
     )
-    at_sub = at_strand.select(
-        "slug",
-        "strand_pos",
-        "strand_id",
-        F.posexplode("strand.subStrands").alias("sub_pos", "sub"),
+    at_sub = each(
+        at_strand, ["slug", "strand_pos", "strand_id"], "strand.subStrands", "sub_pos", "sub"
     ).withColumn(
         "sub_id", _key(F.col("strand_id"), F.col("sub_pos").cast("string"), F.col("sub.name"))
     )
     sub_strands = at_sub.select(
         F.col("sub_id").alias("id"), "strand_id", F.col("sub.name").alias("name")
     )
-    indicators = at_sub.select(
-        "slug",
-        "strand_pos",
-        "sub_pos",
-        "sub_id",
-        F.posexplode("sub.indicators").alias("ind_pos", "ind"),
+    indicators = each(
+        at_sub, ["slug", "strand_pos", "sub_pos", "sub_id"], "sub.indicators", "ind_pos", "ind"
     ).select(
         _key(F.col("sub_id"), F.col("ind_pos").cast("string"), F.col("ind.code")).alias("id"),
         F.col("sub_id").alias("sub_strand_id"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lessonloom.functions.rows import each
 from lessonloom.functions.text import DOT, WS, bind, lines, trimmed
 
 # Line patterns in the order they are tried, and inline tokens.
@@ -28,7 +29,7 @@ def md_math(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     An unclosed ``$$`` makes the rest math.
     """
-    pieces = df.select(key, F.posexplode(F.split(F.col(text), r"\$\$")).alias("piece_no", "_piece"))
+    pieces = each(df, [key], F.split(F.col(text), r"\$\$"), "piece_no", "_piece")
     math = F.col("piece_no") % 2 == 1
     return pieces.select(
         key,
@@ -40,14 +41,16 @@ def md_math(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def md_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per line with its kind, number (numbered lines only) and content."""
-    exploded = df.select(*keys, F.posexplode(lines(F.col(text))).alias("line_no", "_line"))
+    exploded = each(df, keys, lines(F.col(text)), "line_no", "_line")
     line = F.col("_line")
+    marked = line.startswith("-") | line.startswith("•")
+    # A look at the first character spares most lines the patterns.
     kind = (
-        F.when(line.rlike(H3), "h3")
-        .when(line.rlike(H2), "h2")
-        .when(line.rlike(H1), "h1")
-        .when(line.rlike(BULLET), "bullet")
-        .when(line.rlike(NUMBERED), "numbered")
+        F.when(line.startswith("###") & line.rlike(H3), "h3")
+        .when(line.startswith("##") & line.rlike(H2), "h2")
+        .when(line.startswith("#") & line.rlike(H1), "h1")
+        .when(marked & line.rlike(BULLET), "bullet")
+        .when(F.substring(line, 1, 1).between("0", "9") & line.rlike(NUMBERED), "numbered")
         .when(trimmed(line) == "", "blank")
         .otherwise("paragraph")
     )
@@ -113,14 +116,12 @@ def inline_tokens(col: Column) -> Column:
 def md_tokens(df: DataFrame, key: str, text: str = "text", extra: list[str] | None = None) -> DataFrame:
     """One row per inline token of every line outside display math."""
     carried = [key, *(extra or [])]
-    pieces = df.select(*carried, F.posexplode(F.split(F.col(text), r"\$\$")).alias("piece_no", "_piece"))
+    pieces = each(df, carried, F.split(F.col(text), r"\$\$"), "piece_no", "_piece")
     text_pieces = pieces.where(F.col("piece_no") % 2 == 0)
-    classified = md_lines(text_pieces, [*carried, "piece_no"], "_piece").where(
-        F.col("content").rlike(r"[$*]|[A-Z]\d+\.")
-    )
-    return classified.select(
-        *carried, "piece_no", "line_no", F.posexplode(inline_tokens(F.col("content"))).alias("p", "t")
-    ).select(
+    classified = md_lines(text_pieces, [*carried, "piece_no"], "_piece")
+    content = F.col("content")
+    found = F.when(content.rlike(r"[$*]|[A-Z]\d"), inline_tokens(content))
+    return each(classified, [*carried, "piece_no", "line_no"], found, "p", "t").select(
         *carried,
         "piece_no",
         "line_no",
@@ -142,13 +143,8 @@ def resolve_citations(
     the document's row, hence no join and no pairs.
     """
     if exact:
-        found = df.select(
-            key,
-            citations,
-            F.posexplode(
-                F.regexp_extract_all(F.col(text), F.lit(CODE_WITH_SUFFIX), 1)
-            ).alias("p", "token"),
-        )
+        codes = F.regexp_extract_all(F.col(text), F.lit(CODE_WITH_SUFFIX), 1)
+        found = each(df, [key, citations], codes, "p", "token")
 
         def names(c: Column) -> Column:
             return F.array_contains(

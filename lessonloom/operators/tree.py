@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lessonloom.functions.lookups import lookup
+from lessonloom.functions.rows import each
 
 # Most indicators one nested document carries. A strand up to this size is one
 # document; a larger one is delivered as consecutive parts, so that no task and
@@ -227,15 +228,9 @@ def _parts(rows: DataFrame, max_per_document: int) -> DataFrame:
 
 def flatten(tree: DataFrame) -> DataFrame:
     """Back to one row per indicator, each carrying its sub-strand's name."""
-    subs = tree.select("subject", "slug", "strand_id", "name", F.explode("subStrands").alias("s"))
-    leaves = subs.select(
-        "subject",
-        "slug",
-        "strand_id",
-        F.col("name").alias("strand_name"),
-        F.col("s.name").alias("sub_strand_name"),
-        F.explode("s.indicators").alias("i"),
-    )
+    subs = each(tree, ["subject", "slug", "strand_id", "name"], "subStrands", "_p", "s")
+    strand, sub = F.col("name").alias("strand_name"), F.col("s.name").alias("sub_strand_name")
+    leaves = each(subs, ["subject", "slug", "strand_id", strand, sub], "s.indicators", "_p", "i")
     return leaves.select(
         "subject",
         "slug",

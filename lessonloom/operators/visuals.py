@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lessonloom.functions.rows import each
 from lessonloom.functions.text import DOT, WS, bind, islands, lines, trimmed, units
 
 # The four prompt sections, their default titles, and the patterns.
@@ -30,9 +31,8 @@ SHORT_TOTAL = 30
 SHORT_PARAGRAPH = 15
 
 
-def _says(t: Column) -> dict[str, Column]:
+def _says(t: Column, low: Column) -> dict[str, Column]:
     """Whether a line names each section; the order is the priority."""
-    low = F.lower(t)
     poster, board = low.contains("poster"), low.contains("board")
     example, photo = low.contains("example"), low.contains("photo")
     notebook, diagram = low.contains("notebook"), low.contains("diagram")
@@ -44,20 +44,23 @@ def _says(t: Column) -> dict[str, Column]:
     }
 
 
-def _starts(t: Column) -> dict[str, Column]:
+def _starts(t: Column, low: Column) -> dict[str, Column]:
     """Whether a line opens the section it is in; stricter for the notebook."""
-    low = F.lower(t)
     diagram = low.contains("diagram")
     named = (low.contains("notebook") | diagram) & (t.contains("4.") | diagram)
-    return dict(_says(t), notebook=named)
+    return dict(_says(t, low), notebook=named)
 
 
 def _section_of(t: Column) -> Column:
     looks_like_header = t.contains("**") | t.rlike(r"^[1-4]\.")
-    key = F.lit(None).cast("string")
-    for name, says in reversed(_says(t).items()):
-        key = F.when(says, F.lit(name)).otherwise(key)
-    return F.when(looks_like_header, key)
+
+    def named(low: Column) -> Column:
+        key = F.lit(None).cast("string")
+        for name, says in reversed(_says(t, low).items()):
+            key = F.when(says, F.lit(name)).otherwise(key)
+        return key
+
+    return F.when(looks_like_header, bind(F.lower(t), named))
 
 
 def _kept_lines(col: Column) -> Column:
@@ -86,9 +89,13 @@ def _runs(kept: Column) -> Column:
 
 def carried_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Each non-blank line under its section; lines before the first header are dropped."""
-    runs = df.select(key, F.explode(_runs(_kept_lines(F.col(text)))).alias("run"))
-    return runs.select(
-        key, "run.key", "run.at", F.posexplode("run.lines").alias("offset", "line")
+    runs = each(df, [key], _runs(_kept_lines(F.col(text))), "run_no", "run")
+    return each(
+        runs,
+        [key, F.col("run.key").alias("key"), F.col("run.at").alias("at")],
+        "run.lines",
+        "offset",
+        "line",
     ).select(
         key,
         (F.col("at") + F.col("offset")).alias("line_no"),
@@ -99,22 +106,21 @@ def carried_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def _read_line(section: Column, t: Column) -> Column:
     """Title and body text a line contributes to its section."""
-    opens = F.lit(False)
-    for name, starts in _starts(t).items():
-        opens = opens | ((section == name) & starts)
-    header = opens & t.rlike(HEADER_LINE)
+
+    def opens(low: Column) -> Column:
+        starts = [(section == name) & start for name, start in _starts(t, low).items()]
+        return starts[0] | starts[1] | starts[2] | starts[3]
+
+    def part(title: Column | str, body: Column) -> Column:
+        title = F.lit(title) if isinstance(title, str) else title
+        return F.struct(section.alias("section"), title.alias("title"), body.alias("body"))
+
     first = F.regexp_extract(t, HEADER_LINE, 1)
     title = F.when(first != "", first).otherwise(F.regexp_extract(t, HEADER_LINE, 2))
-    body = (
-        F.when(header, F.regexp_extract(t, HEADER_LINE, 3))
-        .when(opens, F.regexp_replace(t, LIST_MARK, ""))
-        .otherwise(t)
-    )
-    return F.struct(
-        section.alias("section"),
-        F.when(header, title).otherwise("").alias("title"),
-        body.alias("body"),
-    )
+    header = part(title, F.regexp_extract(t, HEADER_LINE, 3))
+    unmarked = part("", F.regexp_replace(t, LIST_MARK, ""))
+    opened = F.when(t.rlike(HEADER_LINE), header).otherwise(unmarked)
+    return F.when(bind(F.lower(t), opens), opened).otherwise(part("", t))
 
 
 def visual_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -158,9 +164,7 @@ def visual_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     measured = by_section.select(
         key, "_s", F.when(total < SHORT_TOTAL, paragraphs).alias("_fallback")
     )
-    return measured.select(
-        key, "_fallback", F.posexplode("_s").alias("p", "s")
-    ).select(
+    return each(measured, [key, "_fallback"], "_s", "p", "s").select(
         key,
         F.col("s.section").alias("section"),
         F.col("s.title").alias("title"),
@@ -207,6 +211,6 @@ def steps(df: DataFrame, key: str, text: str = "text", upto: int | None = None)
 
 
 def _numbered(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.posexplode("_steps").alias("p", "step")).select(
+    return each(df, [key], "_steps", "p", "step").select(
         key, (F.col("p") + 1).alias("step_no"), "step"
     )

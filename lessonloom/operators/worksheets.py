@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lessonloom.functions.rows import each
 from lessonloom.functions.text import LINE_START, WS, trimmed
 
 # The question heading, and what opens a question.
@@ -42,6 +43,6 @@ def worksheet_questions(
 ) -> DataFrame:
     """One row per question, numbered from 1."""
     cut = split_worksheet(df.select(key, text), text, accept_bold)
-    return cut.select(key, F.posexplode("questions").alias("p", "question")).select(
+    return each(cut, [key], "questions", "p", "question").select(
         key, (F.col("p") + 1).alias("question_no"), "question"
     )

@@ -17,7 +17,7 @@ from lessonloom.schemas import (
     GENERATE_REQUIRED,
     LESSON_REQUIRED,
 )
-from lessonloom.sources.tables import read_table
+from lessonloom.sources.tables import read_table, read_texts
 
 SUBJECT, GRADE, LESSON_ID = "purchase", "B8", 42
 NOON = "TIMESTAMP_NTZ'2024-06-01 12:00:00'"
@@ -86,11 +86,11 @@ def graded(spark, folder) -> DataFrame:
 
 def ground_requests(spark, folder) -> DataFrame:
     requests = b.requests(read_table(spark, folder, "part"))
-    return sections.ground(requests, b.contexts(read_table(spark, folder, "documents")))
+    return sections.ground(requests, b.contexts(read_texts(spark, folder, "documents", "doc_id")))
 
 
 def assemble_lessons(spark, folder) -> DataFrame:
-    documents = read_table(spark, folder, "documents")
+    documents = read_texts(spark, folder, "documents", "doc_id")
     cut = sections.section_responses(b.responses(documents)).withColumnRenamed(
         "doc_id", "request_id"
     )

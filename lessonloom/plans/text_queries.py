@@ -12,11 +12,11 @@ from lessonloom.operators import activities, markdown, plain, sections, visuals,
 from lessonloom.operators.visuals import DEFAULT_TITLES
 from lessonloom.plans import bindings as b
 from lessonloom.plans.lesson_queries import SECTIONS_SQL
-from lessonloom.sources.tables import read_table
+from lessonloom.sources.tables import read_texts
 
 
 def _documents(build):
-    return lambda spark, folder: build(read_table(spark, folder, "documents"))
+    return lambda spark, folder: build(read_texts(spark, folder, "documents", "doc_id"))
 
 
 def _activities(build):
@@ -339,15 +339,16 @@ ORACLES = {
           SELECT doc_id, count(*) AS n, bool_or(labels <> ['A', 'B', 'C', 'D']) AS bad_labels,
             bool_or(right_ones <> 1) AS bad_key
           FROM question GROUP BY doc_id)
-        SELECT o.doc_id, array_to_string(list_filter([
+        SELECT c.doc_id, CASE WHEN o.doc_id IS NOT NULL THEN array_to_string(list_filter([
             CASE WHEN coalesce(n, 0) <> 5 THEN 'mcq_count' END,
             CASE WHEN bad_labels THEN 'option_labels' END,
             CASE WHEN bad_key THEN 'correct_options' END,
             CASE WHEN json_array_length(j, '$.writingPrompts') <> 2
               THEN 'writing_prompt_count' END,
             CASE WHEN json_array_length(j, '$.rubric') <> 4 THEN 'criterion_count' END],
-          lambda x: x IS NOT NULL), ',') AS violations
-        FROM act_ok o LEFT JOIN per_doc p ON o.doc_id = p.doc_id""",
+          lambda x: x IS NOT NULL), ',') END AS violations
+        FROM act_clean c LEFT JOIN act_ok o ON c.doc_id = o.doc_id
+          LEFT JOIN per_doc p ON o.doc_id = p.doc_id""",
     "bloom_breakdown": f"""WITH {b.BREAKDOWNS_SQL}
         SELECT doc_id, json_extract_string(j, '$.primaryLevel') AS primary_level,
           doc_id % 4 <> 1 AS complete,

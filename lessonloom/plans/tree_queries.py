@@ -11,7 +11,7 @@ from lessonloom.functions.lookups import lookup
 from lessonloom.operators import ingest, quality, tree
 from lessonloom.operators.prompts import BLOOM_DEFAULT, BLOOM_EXPECTATIONS, bloom_expectation
 from lessonloom.plans import bindings as b
-from lessonloom.sources.tables import read_table
+from lessonloom.sources.tables import read_table, read_texts
 
 SLUG, GRADE, STRAND, TERM = "asia", "1-URGENT", "NATION_7", "Urgent"
 
@@ -80,7 +80,7 @@ def bloom_lookup(spark, folder) -> DataFrame:
 
 def tree_normalize(spark, folder) -> DataFrame:
     """Four tables of one corpus of nested documents, each level in turn."""
-    docs = b.subject_docs(read_table(spark, folder, "documents"))
+    docs = b.subject_docs(read_texts(spark, folder, "documents", "doc_id"))
     keyed = docs.withColumn(
         "subject",
         F.struct(
@@ -125,7 +125,7 @@ FROM ids2
 
 def insert_subtrees(spark, folder) -> DataFrame:
     """Subjects already there are skipped whole; of equal new ones the first counts."""
-    docs = b.subject_docs(read_table(spark, folder, "documents"))
+    docs = b.subject_docs(read_texts(spark, folder, "documents", "doc_id"))
     existing = docs.select(F.col("subject.slug").alias("slug")).where(F.col("slug").startswith("de"))
     t = ingest.insert_new_subtrees(existing, docs, "doc_id")
     return _levels(

@@ -12,6 +12,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def read_texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to process.
+
+    A scan with fewer splits than there are cores would leave most of them
+    idle, so its rows are spread by ``key`` once. A large table has splits to
+    spare and is left as it is: no shuffle is added.
+    """
+    df = read_table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, key)
+    return df
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
     """The same table as a file stream."""
     return (
