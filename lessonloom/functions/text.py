@@ -17,10 +17,18 @@ WS_CHARS = (
     "\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-# The same set inside a Java character class, and "." / multi-line "^" spelled out.
+# The same set inside a Java character class, and "." spelled out.
 WS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 DOT = r"[^\n\r\u2028\u2029]"
-LINE_START = r"(?<![^\n\r\u2028\u2029])"
+
+
+def at_line_start(char: str) -> str:
+    """Pattern for one ``char`` (a class or literal) that begins a line.
+
+    The look back comes after the character: tried first, it would run at
+    every position of the text.
+    """
+    return rf"{char}(?<!{DOT}{char})"
 
 
 def trimmed(col: Column) -> Column:
@@ -55,6 +63,12 @@ def first_units(col: Column, n: int) -> Column:
     ).otherwise(head)
 
 
+def one_line(col: Column) -> Column:
+    """Whether no line terminator occurs, beyond "\\n" which lines are split at."""
+    breaks = [col.contains(c) for c in ("\r", "\u2028", "\u2029")]
+    return ~(breaks[0] | breaks[1] | breaks[2])
+
+
 def lines(col: Column) -> Column:
     """Array of lines, empty ones kept."""
     return F.split(col, "\n")

@@ -9,14 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.rows import each
-from lessonloom.functions.text import DOT, WS, bind, lines, trimmed
-
-# Line patterns in the order they are tried, and inline tokens.
-H3 = rf"^###[{WS}]+({DOT}+)"
-H2 = rf"^##[{WS}]+({DOT}+)"
-H1 = rf"^#[{WS}]+({DOT}+)"
-BULLET = rf"^[-•][{WS}]+({DOT}+)"
-NUMBERED = rf"^(\d+)\.[{WS}]+({DOT}+)"
+from lessonloom.functions.text import DOT, WS, bind, lines, one_line, trimmed
+
+# What may lead a line, and inline tokens. A lead needs white space
+# and something behind it, so "####" or a lone "-" leads nothing.
+LEAD = rf"^(#{{1,3}}|[-•]|\d+\.)[{WS}]+(?={DOT})"
 INLINE = (
     r"([A-Z]\d+\.\d+\.\d+\.\d+|\$\$[^$]+\$\$|\$[^$]+\$|\*\*[^*]+\*\*|\*[^*]+\*)"
 )
@@ -42,31 +39,30 @@ def md_math(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def md_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per line with its kind, number (numbered lines only) and content."""
     exploded = each(df, keys, lines(F.col(text)), "line_no", "_line")
-    line = F.col("_line")
-    marked = line.startswith("-") | line.startswith("•")
-    # A look at the first character spares most lines the patterns.
+    line, mark = F.col("_line"), F.col("_mark")
+    # The first character spares most lines the pattern.
+    may_lead = F.substring(line, 1, 1).rlike("[-#•0-9]")
+    led = exploded.withColumn("_mark", F.when(may_lead, F.regexp_extract(line, LEAD, 1)).otherwise(""))
     kind = (
-        F.when(line.startswith("###") & line.rlike(H3), "h3")
-        .when(line.startswith("##") & line.rlike(H2), "h2")
-        .when(line.startswith("#") & line.rlike(H1), "h1")
-        .when(marked & line.rlike(BULLET), "bullet")
-        .when(F.substring(line, 1, 1).between("0", "9") & line.rlike(NUMBERED), "numbered")
-        .when(trimmed(line) == "", "blank")
-        .otherwise("paragraph")
-    )
-    kinds = exploded.withColumn("kind", kind)
-    content = (
-        F.when(F.col("kind") == "h3", F.regexp_extract(line, H3, 1))
-        .when(F.col("kind") == "h2", F.regexp_extract(line, H2, 1))
-        .when(F.col("kind") == "h1", F.regexp_extract(line, H1, 1))
-        .when(F.col("kind") == "bullet", F.regexp_extract(line, BULLET, 1))
-        .when(F.col("kind") == "numbered", F.regexp_extract(line, NUMBERED, 2))
-        .when(F.col("kind") == "blank", "")
-        .otherwise(line)
+        F.when(mark == "", F.when(trimmed(line) == "", "blank").otherwise("paragraph"))
+        .when(mark == "###", "h3")
+        .when(mark == "##", "h2")
+        .when(mark == "#", "h1")
+        .when(mark.isin("-", "•"), "bullet")
+        .otherwise("numbered")
     )
-    number = F.when(F.col("kind") == "numbered", F.regexp_extract(line, NUMBERED, 1))
+    rest = F.substr(line, F.length(F.regexp_extract(line, LEAD, 0)) + 1)
+    first_line = F.when(one_line(line), rest).otherwise(F.regexp_extract(rest, rf"^{DOT}*", 0))
+    kinds = led.withColumn("kind", kind)
     return kinds.select(
-        *keys, "line_no", "kind", number.alias("number"), content.alias("content")
+        *keys,
+        "line_no",
+        "kind",
+        F.when(F.col("kind") == "numbered", F.rtrim(mark, F.lit("."))).alias("number"),
+        F.when(F.col("kind") == "blank", "")
+        .when(F.col("kind") == "paragraph", line)
+        .otherwise(first_line)
+        .alias("content"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.rows import each
-from lessonloom.functions.text import DOT, WS, bind, islands, lines, trimmed, units
+from lessonloom.functions.text import DOT, WS, bind, islands, lines, one_line, trimmed, units
 
 # The four prompt sections, their default titles, and the patterns.
 DEFAULT_TITLES = {
@@ -20,11 +20,13 @@ DEFAULT_TITLES = {
     "photo": "Real-World Photograph Prompt",
     "notebook": "Student Notebook Diagram",
 }
-HEADER_LINE = (
+HEADER = (
     rf"^(?:\d+\.|\*|-|###)?[{WS}]*(?:\*\*({DOT}*?)\*\*|\*({DOT}*?)\*)"
-    rf"[{WS}]*(?:[-—:]|(?i:&mdash;))?[{WS}]*({DOT}*)\z"
+    rf"[{WS}]*(?:[-—:]|(?i:&mdash;))?[{WS}]*"
 )
+HEADER_LINE = rf"{HEADER}({DOT}*)\z"
 LIST_MARK = rf"^(?:\d+\.|\*|-|###)[{WS}]*"
+STEP_MARK = r"^(?:[-•*]|\d+\.)[\s\S]"
 STEP_LINE = rf"^(?:[-•*]|\d+\.)[{WS}]*{DOT}+\z"
 SENTENCE_GAP = rf"(?<=[.!?])[{WS}]+"
 SHORT_TOTAL = 30
@@ -115,11 +117,23 @@ def _read_line(section: Column, t: Column) -> Column:
         title = F.lit(title) if isinstance(title, str) else title
         return F.struct(section.alias("section"), title.alias("title"), body.alias("body"))
 
-    first = F.regexp_extract(t, HEADER_LINE, 1)
-    title = F.when(first != "", first).otherwise(F.regexp_extract(t, HEADER_LINE, 2))
-    header = part(title, F.regexp_extract(t, HEADER_LINE, 3))
+    def titled(pattern: str, body: Column) -> Column:
+        bold, italic = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
+        return part(bind(bold, lambda b: F.when(b != "", b).otherwise(italic)), body)
+
+    def by_header(head: Column) -> Column:
+        return F.when(head == "", unmarked).otherwise(
+            titled(HEADER, F.substr(t, F.length(head) + 1))
+        )
+
     unmarked = part("", F.regexp_replace(t, LIST_MARK, ""))
-    opened = F.when(t.rlike(HEADER_LINE), header).otherwise(unmarked)
+    # Without a stray terminator everything behind the header is its text, so the
+    # pattern need not walk the rest of the line.
+    plain = bind(F.regexp_extract(t, HEADER, 0), by_header)
+    whole = F.when(
+        t.rlike(HEADER_LINE), titled(HEADER_LINE, F.regexp_extract(t, HEADER_LINE, 3))
+    ).otherwise(unmarked)
+    opened = F.when(one_line(t), plain).otherwise(whole)
     return F.when(bind(F.lower(t), opens), opened).otherwise(part("", t))
 
 
@@ -160,10 +174,13 @@ def visual_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     paragraphs = F.filter(
         "_kept", lambda t: (units(t) > SHORT_PARAGRAPH) & ~t.startswith("###")
     )
-    total = F.aggregate("_s", F.lit(0), lambda n, s: n + units(s["description"]))
-    measured = by_section.select(
-        key, "_s", F.when(total < SHORT_TOTAL, paragraphs).alias("_fallback")
-    )
+
+    def total(measure) -> Column:
+        return F.aggregate("_s", F.lit(0), lambda n, s: n + measure(s["description"]))
+
+    # Characters never outnumber units: most documents need no exact measure.
+    short = (total(F.length) < SHORT_TOTAL) & (total(units) < SHORT_TOTAL)
+    measured = by_section.select(key, "_s", F.when(short, paragraphs).alias("_fallback"))
     return each(measured, [key, "_fallback"], "_s", "p", "s").select(
         key,
         F.col("s.section").alias("section"),
@@ -173,7 +190,8 @@ def visual_sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def _opens_step(t: Column) -> Column:
-    return t.rlike(STEP_LINE) | F.lower(t).startswith("step")
+    listed = F.when(one_line(t), t.rlike(STEP_MARK)).otherwise(t.rlike(STEP_LINE))
+    return listed | (F.lower(F.substring(t, 1, 4)) == "step")
 
 
 def merged_steps(col: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.rows import each
-from lessonloom.functions.text import LINE_START, WS, trimmed
+from lessonloom.functions.text import WS, at_line_start, trimmed
 
 # The question heading, and what opens a question.
 HEADING = rf"(?i)###?[{WS}]*Check Your Understanding"
 BOLD_HEADING = rf"(?i)(?:###?[{WS}]*|\*\*)Check Your Understanding(?:\*\*)?"
-QUESTION_START = rf"{LINE_START}(?:\d+[.)]|-[{WS}]+)"
+QUESTION_START = rf"{at_line_start('[0-9]')}\d*[.)]|{at_line_start('-')}[{WS}]+"
 
 
 def split_worksheet(df: DataFrame, text: str = "text", accept_bold: bool = False) -> DataFrame:
