@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lessonloom.functions.lookups import left_match
 from lessonloom.functions.text import or_default, trimmed
 
 # The markers between the sections, and the parse error.
@@ -87,11 +88,8 @@ def ground(requests: DataFrame, contexts: DataFrame) -> DataFrame:
         .groupBy(F.col("code").alias("_code"))
         .agg(F.min("context").alias("foundryContext"))
     )
-    return (
-        requests.join(usable, F.col("indicatorCode") == F.col("_code"), "left")
-        .drop("_code")
-        .withColumn("grounded", F.col("foundryContext").isNotNull())
-    )
+    matched = left_match(requests, usable, "indicatorCode", "_code")
+    return matched.withColumn("grounded", F.col("foundryContext").isNotNull())
 
 
 def assemble(requests: DataFrame, sections: DataFrame, key: str = "request_id") -> DataFrame:

@@ -262,6 +262,7 @@ def test_plain_texts(value):
     raw = "# Head\n- **b** *i* `c`\n* star\n\n x - y\n#### deep"
     assert value(plain.plain_text(F.col("x"), "a"), raw) == "Head\n• b i c\n• star\n\n x - y\ndeep"
     assert value(plain.plain_text(F.col("x"), "b"), raw) == "Head\n• b i `c`\nstar\nx - y\ndeep"
+    assert value(plain.plain_text(F.col("x"), "a"), "😀- a\r- b\u2028* c") == "😀- a\r• b\u2028• c"
     assert value(plain.excerpt(F.col("x")), "## **A**\n- b") == "A\nb..."
     assert value(plain.excerpt(F.col("x"), 3), "abcdef") == "abc..."
     assert "**" not in value(plain.plain_text(F.col("x"), "b"), "a ***b*** **")
