@@ -21,12 +21,15 @@ def left_match(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFra
     send them all to one task; here a second join column, fixed for real keys,
     spreads them by a hash of the row. No broadcast hint: the size of ``dim``
     is Spark's to check, and past it a hot key is split by the adaptive skew
-    join.
+    join. That join needs a shuffle of its own on both sides, which the second
+    column also brings about when ``dim`` comes from an aggregation by key. Its
+    zero is worked out from the key, since a literal would be folded away.
     """
     absent = missing(F.col(key).cast("string"))
     spread = F.when(absent, F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20)) + 1).otherwise(0)
     left = df.withColumn("_spread", spread)
-    right = dim.withColumn("_zero", F.lit(0).cast("bigint"))
+    zero = F.least(F.length(F.col(dim_key).cast("string")), F.lit(0)).cast("bigint")
+    right = dim.withColumn("_zero", zero)
     on = (left[key] == right[dim_key]) & (left["_spread"] == right["_zero"])
     return left.join(right, on, "left").drop("_spread", "_zero", dim_key)
 

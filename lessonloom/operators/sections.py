@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.lookups import left_match
+from lessonloom.functions.rows import each
 from lessonloom.functions.text import or_default, trimmed
 
 # The markers between the sections, and the parse error.
@@ -93,8 +94,13 @@ def ground(requests: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def assemble(requests: DataFrame, sections: DataFrame, key: str = "request_id") -> DataFrame:
-    """Lesson records: well-formed sections joined to their (grounded) requests."""
-    good = sections.where(F.col("status") == "ok").select(key, *SECTIONS)
+    """Lesson records: well-formed sections joined to their (grounded) requests.
+
+    Failed ones are dropped by exploding none-or-one: a filter on the status
+    would be pushed below the sectioning and do that work a second time.
+    """
+    whole = F.when(F.col("status") == "ok", F.array(F.struct(*SECTIONS)))
+    good = each(sections, [key], whole, "_p", "_s").select(key, "_s.*")
     joined = requests.join(good, key)
     return with_citation(joined).select(
         key,

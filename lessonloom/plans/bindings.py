@@ -172,7 +172,10 @@ def lessons(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("subject"),
         _text("B", F.col("user_id") % 3 + 7).alias("grade"),
         _text("Strand ", F.col("event_id") % 13).alias("strand"),
+        _text("Sub ", F.col("event_id") % 29).alias("sub_strand"),
         _text("Notes ", F.col("event_id")).alias("teacher_notes"),
+        _text("Poster ", F.col("value")).alias("visual_prompts"),
+        F.col("props").alias("student_reading"),
         F.col("ts").alias("created_at"),
     )
 
@@ -181,7 +184,8 @@ LESSONS_SQL = """
 lessons AS (
   SELECT event_id AS id, 'E' || user_id AS indicator_code, event_type AS subject,
          'B' || (user_id % 3 + 7) AS grade, 'Strand ' || (event_id % 13) AS strand,
-         'Notes ' || event_id AS teacher_notes, ts AS created_at
+         'Sub ' || (event_id % 29) AS sub_strand, 'Notes ' || event_id AS teacher_notes,
+         'Poster ' || value AS visual_prompts, props AS student_reading, ts AS created_at
   FROM events)
 """
 

@@ -14,6 +14,8 @@ from lessonloom.operators.lessons import latest_per_id
 from lessonloom.operators.quality import with_status
 from lessonloom.operators.sections import section_responses
 
+# Most ids of one batch that are broadcast to the state scan; counted before.
+MAX_BROADCAST_IDS = 1_000_000
 # Batches between full snapshots of the id state.
 SNAPSHOT_EVERY = 50
 STATE_SCHEMA = "id STRING, op STRING, ts TIMESTAMP_NTZ, seq BIGINT"
@@ -64,11 +66,22 @@ def stream_saved_count(
         # The type of id is the stream's own; the state stores it as text.
         fresh = latest_per_id(
             batch.select(F.col("id").cast("string").alias("id"), "op", "ts", "seq")
-        )
+        ).persist()
+        try:
+            settle(spark, fresh, epoch)
+        finally:
+            fresh.unpersist()
+
+    def settle(spark: SparkSession, fresh: DataFrame, epoch: int) -> None:
         before = _state_before(spark, state_path, epoch, snapshot_every)
         snapshot = epoch % snapshot_every == 0
-        # Only the ids of this batch are needed, save when a snapshot is due.
-        old = before if snapshot else before.join(fresh.select("id"), "id", "left_semi")
+        old = before
+        if not snapshot:
+            # Only the ids of this batch are needed. Where they are few enough to be
+            # sent to every task the state is read without being shuffled.
+            ids = fresh.select("id")
+            few = fresh.count() <= MAX_BROADCAST_IDS
+            old = before.join(F.broadcast(ids) if few else ids, "id", "left_semi")
         merged = (
             old.withColumn("_new", F.lit(False))
             .unionByName(fresh.withColumn("_new", F.lit(True)))
