@@ -84,14 +84,18 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str], order: li
 
 
 def insert_new_subtrees(
-    existing_subjects: DataFrame, docs: DataFrame, order: str
+    existing_subjects: DataFrame,
+    docs: DataFrame,
+    order: str,
+    existing_indicators: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Tables for the documents whose subject is new.
 
     An existing slug skips its whole subtree, and of several new documents
     with one slug the first by ``order`` is taken. Winners are found on two
     narrow columns; ``order`` must be unique per document. Repeated indicator
-    codes keep their first occurrence.
+    codes keep their first occurrence, and codes of ``existing_indicators``
+    are not inserted again.
     """
     winners = (
         docs.groupBy(F.col("subject.slug").alias("slug"))
@@ -99,7 +103,10 @@ def insert_new_subtrees(
         .join(existing_subjects.select("slug").distinct(), "slug", "left_anti")
     )
     tables = normalize_tree(docs.join(winners, order, "left_semi"))
-    tables["indicators"] = first_per_key(tables["indicators"], ["code"], ["source_order"])
+    codes = first_per_key(tables["indicators"], ["code"], ["source_order"])
+    if existing_indicators is not None:
+        codes = codes.join(existing_indicators.select("code").distinct(), "code", "left_anti")
+    tables["indicators"] = codes
     return tables
 
 

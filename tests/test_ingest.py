@@ -124,3 +124,25 @@ def test_cascade_delete(seed):
     assert [kept[k].count() for k in ("subjects", "strands", "sub_strands", "indicators")] == [
         6, 19, 19, 51,
     ]
+
+
+def test_stored_loads(spark, seed, tmp_path):
+    from lessonloom.sources.store import load_standards, read_tree
+
+    docs = seed.withColumn("n", F.monotonically_increasing_id())
+    home = str(tmp_path / "tree")
+    first = docs.where("subject.slug != 'rme'")
+    load_standards(spark, first, home, "n", "a")
+    load_standards(spark, docs, home, "n", "b")  # adds the one subject that is new
+    sizes = {k: df.count() for k, df in read_tree(spark, home).items()}
+    assert sizes == {"subjects": 7, "strands": 22, "sub_strands": 23, "indicators": 67}
+    load_standards(spark, docs, home, "n", "b")  # the same load again changes nothing
+    assert {k: df.count() for k, df in read_tree(spark, home).items()} == sizes
+    stored = read_tree(spark, home)
+    assert quality.constraint_audit(stored).where("violations > 0").count() == 0
+    clash = docs.where("subject.slug = 'rme'").withColumn(
+        "subject", F.struct(F.lit("Other").alias("name"), F.lit("other").alias("slug"))
+    )
+    load_standards(spark, clash, home, "n", "c")  # new subject, but every code is taken
+    after = read_tree(spark, home)
+    assert after["subjects"].count() == 8 and after["indicators"].count() == 67
