@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lessonloom.schemas import TABLES
 
+# Scans with more splits are never spread: 64 default-sized splits are 8 GB.
+MOST_SPREAD_SPLITS = 64
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of ``folder``; the declared schema saves the footer-inference job."""
@@ -15,13 +18,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     """A table whose rows are costly to process.
 
-    A scan with fewer splits than there are cores would leave most of them
-    idle, so its rows are spread by ``key`` once. A large table has splits to
-    spare and is left as it is: no shuffle is added.
+    A small scan with fewer splits than there are cores would leave most of
+    them idle, so its rows are spread by ``key`` once. A large table is left
+    as it is: no shuffle is added.
     """
     df = read_table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    splits = df.rdd.getNumPartitions()
+    if splits < cores and splits <= MOST_SPREAD_SPLITS:
         df = df.repartition(cores, key)
     return df
 

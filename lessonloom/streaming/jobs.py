@@ -59,6 +59,9 @@ def stream_saved_count(
     a failure reads only earlier batches and overwrites its own output, and a
     re-delivered event changes nothing, so neither counts twice. Deleting an
     unknown id changes the count by zero.
+
+    State folders from before the last snapshot are not read again and may be
+    deleted by whatever clears old files.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:

@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as registry
 from lessonloom.operators import activities, lessons, markdown, sections, visuals, worksheets
 from lessonloom.plans import bindings as b
+from lessonloom.sources import tables
 from lessonloom.sources.tables import read_table, read_texts
 from tests.conftest import ROOT
 
@@ -49,10 +50,10 @@ def test_text_jobs_never_shuffle(job, spark, sf):
     assert not re.search(r"Condition : .*(from_json|split)\(", text)
 
 
-def test_texts_are_spread_only_when_splits_are_few(spark, sf):
+def test_texts_are_spread_only_when_splits_are_few(spark, sf, monkeypatch):
     assert "Exchange" in plan(read_texts(spark, sf, "documents", "doc_id"))
-    many = spark.range(0, 100, 1, 2 * spark.sparkContext.defaultParallelism)
-    assert many.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "MOST_SPREAD_SPLITS", 0)
+    assert "Exchange" not in plan(read_texts(spark, sf, "documents", "doc_id"))
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
