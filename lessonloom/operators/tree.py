@@ -171,9 +171,9 @@ def nest(
     of a strand above ``max_per_document`` in that same order (0 for a strand
     that fits); reading the parts in turn gives the whole strand.
 
-    Strand sizes come from a count pre-aggregated per sub-strand and ride in on
-    the strands, the small side of the join, so the indicators are not
-    shuffled to find out which strands are large.
+    Strand sizes come from a count pre-aggregated per sub-strand and are joined
+    to the strands, not to the indicators, which therefore are not shuffled to
+    find out which strands are large.
     """
     groups, indicators = _chosen(tables, subject, grade)
     if term.strip():

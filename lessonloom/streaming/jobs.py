@@ -14,8 +14,10 @@ from lessonloom.operators.lessons import latest_per_id
 from lessonloom.operators.quality import with_status
 from lessonloom.operators.sections import section_responses
 
-# Most ids of one batch that are broadcast to the state scan; counted before.
-MAX_BROADCAST_IDS = 1_000_000
+# Most bytes of a batch's ids that are broadcast to the state scan; measured before,
+# with an allowance per id for the hash table.
+MAX_BROADCAST_BYTES = 64 << 20
+BYTES_PER_ENTRY = 64
 # Batches between full snapshots of the id state.
 SNAPSHOT_EVERY = 50
 STATE_SCHEMA = "id STRING, op STRING, ts TIMESTAMP_NTZ, seq BIGINT"
@@ -83,8 +85,9 @@ def stream_saved_count(
             # Only the ids of this batch are needed. Where they are few enough to be
             # sent to every task the state is read without being shuffled.
             ids = fresh.select("id")
-            few = fresh.count() <= MAX_BROADCAST_IDS
-            old = before.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+            size = ids.agg(F.sum(F.octet_length("id") + BYTES_PER_ENTRY)).first()[0] or 0
+            small = size <= MAX_BROADCAST_BYTES
+            old = before.join(F.broadcast(ids) if small else ids, "id", "left_semi")
         merged = (
             old.withColumn("_new", F.lit(False))
             .unionByName(fresh.withColumn("_new", F.lit(True)))

@@ -31,8 +31,9 @@ BATCHES = [
 ]
 
 
-@pytest.mark.parametrize("snapshot_every", [2, 50])
-def test_count_over_batches_and_restarts(spark, tmp_path, snapshot_every):
+@pytest.mark.parametrize(("snapshot_every", "broadcast"), [(2, jobs.MAX_BROADCAST_BYTES), (50, 0)])
+def test_count_over_batches_and_restarts(spark, tmp_path, monkeypatch, snapshot_every, broadcast):
+    monkeypatch.setattr(jobs, "MAX_BROADCAST_BYTES", broadcast)
     source, home = str(tmp_path / "log"), str(tmp_path)
     seen, counts = [], []
     for rows in BATCHES:
