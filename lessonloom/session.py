@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lessonloom", master: str | None = None) -> SparkSession:
@@ -24,19 +22,42 @@ def build_session(app: str = "lessonloom", master: str | None = None) -> SparkSe
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder of its own.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else a folder
+    below the session's warehouse, which all executors share as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="lessonloom-")
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below :func:`shared_dir`."""
-    return os.path.join(shared_dir(spark), f"lessonloom-{label}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark)}/lessonloom-{label}-{uuid.uuid4().hex}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    Cuts the lineage: a lost executor costs a reread, and values that depend on
+    how rows were laid out (row numbers, range bounds) stay as they were.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_rows(df: DataFrame, label: str, row: str = "_row") -> DataFrame:
+    """``df`` written with a unique, stable number per row.
+
+    A column of that name in ``df`` is replaced.
+    """
+    from pyspark.sql import functions as F
+
+    return written(df.withColumn(row, F.monotonically_increasing_id()), label)
