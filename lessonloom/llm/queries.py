@@ -171,8 +171,8 @@ WITH r AS (
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
 o AS (
   SELECT page_id, n // 500 AS file, encode(record) AS record, coalesce(sum(strlen(record)) OVER (
-    PARTITION BY n // 500 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r)
-SELECT file, CAST(at AS BIGINT) AS "offset", page_id,
+    PARTITION BY n // 500 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT file, CAST(before AS BIGINT) AS "offset", page_id,
   CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS status, sha256(record) AS hash_a,
   CASE WHEN page_id % 211 <> 5 THEN sha256(record[:octet_length(record) - 5] || '\\x00'::BLOB
     || record[octet_length(record) - 3:]) END AS hash_b
