@@ -14,8 +14,15 @@ import lessonloom
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}  # kept while the application may fetch
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 1024  # whole texts are long rows; Spark's own default is 10,000
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand the package to the executors through Spark's own file server, once per application."""
+    """Hand the package to the executors through Spark's own file server, once per
+    application, and keep Arrow batches of texts small if the session left them at the default."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS_PER_BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -41,10 +48,9 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
 @contextmanager
 def block_batches(spark: SparkSession, rows: int = 64):
     """Small Arrow batches while jobs over packed blocks run, whose rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCH, before)

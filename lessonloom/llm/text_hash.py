@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECE = 1 << 19  # bytes hashed at once; longer texts come in pieces cut at white space
+PIECE = 1 << 20  # bytes hashed at once; longer texts come in pieces cut at white space
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

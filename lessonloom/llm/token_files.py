@@ -11,93 +11,168 @@ block all strides at once, by one table lookup per id.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lessonloom.llm.tasks import map_batches
+from lessonloom.llm.text_hash import PIECE, Hashed
 from lessonloom.session import fresh_dir, written
 
 LIMIT = 18  # longest code in bits; more only if the ids could not all have a code
 BLOCK_IDS, STRIDE = 1 << 16, 256
 MEMO_WORDS = 1 << 20  # words whose ids a worker remembers
-_MARK = "birthday"  # a word that the vocabulary holds whole; it separates words in one call
+TEXTS_AT_ONCE = 512
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
-    return tokenizer, (mark[0] if len(mark) == 1 else None), {}
-
-
-def _learn(words: list[bytes], tokenizer, mark: int | None, memo: dict) -> None:
-    """Encode new words in one call each thousand, set apart by the mark."""
-    plain = [w for w in words if mark is not None and _MARK.encode() not in w]
-    for at in range(0, len(plain), 1000):
-        part = plain[at : at + 1000]
-        joined = f" {_MARK} ".join(w.decode("utf-8") for w in part)
-        ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, dtype=np.uint32)
-        cuts = np.flatnonzero(ids == mark)
-        if len(cuts) != len(part) - 1:
-            plain = plain[:at]
-            break
-        begins = np.concatenate([[0], cuts + 1])
-        ends = np.concatenate([cuts, [len(ids)]])
-        raw = ids.astype("<u4").tobytes()
-        for w, b, e in zip(part, begins.tolist(), ends.tolist()):
-            memo[w] = raw[4 * b : 4 * e]
-    for w in words:
-        if w not in memo:
-            ids = tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids
-            memo[w] = np.array(ids, dtype="<u4").tobytes()
-
-
-def encode_text(text: str | None, path: str, end_id: int) -> bytes:
-    """Ids of a whole text and the end id, as little-endian 32-bit numbers.
-
-    The tokenizer splits at white space and lower-cases, so words are encoded
-    by the library once and remembered. A text that might hold a special token
-    is encoded in one piece.
+class Encoder:
+    """The library's ids of whole texts, each distinct word encoded once.
+
+    For a tokenizer that normalises by NFC and lower case, splits by ``PRE_TOKEN``
+    and works on bytes: a word's ids then do not depend on its neighbours. Words
+    of plain Latin letters, digits and signs go straight to the library's model
+    by pre-token; any other word through the whole tokenizer. Two generations of
+    remembered words keep the frequent ones in bounded memory.
     """
-    tokenizer, mark, memo = _tokenizer(path)
-    end = np.array([end_id], dtype="<u4").tobytes()
-    data = (text or "").encode("utf-8")
-    if b"<|" in data:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes() + end
-    words = data.lower().split()
-    new = [w for w in dict.fromkeys(words) if w not in memo]
-    if new:
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(dict.fromkeys(words))
-        _learn(new, tokenizer, mark, memo)
-    return b"".join(map(memo.__getitem__, words)) + end
+
+    PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    # Characters on which normalising and splitting are the same everywhere.
+    PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+
+    def __init__(self, path: str, end_id: int, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.kind, self.end = kind, np.array([end_id], dtype=kind).tobytes()
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = {m.encode(): self._ids(m) for m in ".,"}
+        # How byte-level vocabularies spell bytes: printable ones as themselves.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+    def _ids(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(found, dtype=self.kind).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        made: list[int] = []
+        sizes: list[int] = []
+        plain: list[bytes] = []
+        for word in words:
+            known = self.old.get(word)
+            if known is not None:
+                self.new[word] = known
+                continue
+            if word[-1:] in self.marks and word[-2:-1].isalpha():  # a sign after a letter stands alone
+                known = self.new.get(word[:-1]) or self.old.get(word[:-1])
+                if known is not None:
+                    self.new[word] = known + self.marks[word[-1:]]
+                    continue
+            text = word.decode("utf-8")
+            if not self.PLAIN.fullmatch(text):
+                self.new[word] = self._ids(text)
+                continue
+            before = len(made)
+            for part in (text,) if text.isascii() and text.isalpha() else self.PRE_TOKEN.findall(text.lower()):
+                if not part.isascii():
+                    part = "".join(map(self.letters.__getitem__, part.encode("utf-8")))
+                made += [t.id for t in self.model.tokenize(part)]
+            plain.append(word)
+            sizes.append(len(made) - before)
+        raw, at = np.array(made, dtype=self.kind).tobytes(), 0
+        width = np.dtype(self.kind).itemsize
+        for word, size in zip(plain, sizes):
+            self.new[word] = raw[at : at + size * width]
+            at += size * width
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word."""
+        if len(self.new) > MEMO_WORDS // 2:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, ids in zip(words, found) if ids is None)))
+            found = [self.new[w] if ids is None else ids for w, ids in zip(words, found)]
+        return found
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of several lower-cased texts. Equal words are found by their hashes, and
+        each is compared byte by byte with the one that stands for it."""
+        h = Hashed(list(enumerate(texts)), lower=False)
+        _, first, which = np.unique(h.words, return_index=True, return_inverse=True)
+        sizes = h.ends - h.starts
+        seen = np.flatnonzero(~h.blank)
+        shift = np.repeat(h.starts[first][which] - h.starts, sizes)
+        if (sizes[first][which] != sizes).any() or (h.raw[seen] != h.raw[seen + shift]).any():
+            return [b"".join(self._known(t.split())) for t in texts]
+        raw = h.raw.tobytes()
+        found = self._known([raw[a:b] for a, b in zip(h.starts[first].tolist(), h.ends[first].tolist())])
+        flat = np.frombuffer(b"".join(found), dtype=self.kind)
+        each = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        begins, many = np.cumsum(each) - each, each[which]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(begins[which] - ends[:-1], many) + np.arange(ends[-1])]
+        return [ids[a:b].tobytes() for a, b in zip(ends[h.firsts].tolist(), ends[h.firsts + h.counts].tolist())]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text and the end id. A text that might hold a special
+        token is encoded in one piece."""
+        made: list[bytes] = [b""] * len(texts)
+        group, held = [], 0
+
+        def flush():
+            for n, ids in zip([n for n, _ in group], self._together([d for _, d in group])):
+                made[n] = ids + self.end
+
+        for n, text in enumerate(texts):
+            data = (text or "").encode("utf-8").lower()
+            if b"<|" in data:
+                made[n] = self._ids(text) + self.end
+            elif len(data) >= PIECE:
+                made[n] = b"".join(self._known(data.split())) + self.end
+            else:
+                if held + len(data) > PIECE:
+                    flush()
+                    group, held = [], 0
+                group.append((n, data))
+                held += len(data) + 1
+        if group:
+            flush()
+        return made
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int, kind: str) -> Encoder:
+    return Encoder(path, end_id, kind)
 
 
 def token_ids(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int = 1, small: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids`` with ids packed, in 16 bits if ``small``. Null texts are empty."""
     kind = "<u2" if small else "<u4"
 
+    size = np.dtype(kind).itemsize
+
     def run(batches):
+        encode = encoder(path, end_id, kind).encode
         for batch in batches:
-            made = [encode_text(t, path, end_id) for t in batch.column(1).to_pylist()]
-            packed = [np.frombuffer(m, dtype="<u4").astype(kind).tobytes() for m in made]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(m) // 4 for m in made], pa.int64()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                packed = encode(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(m) // size for m in packed], pa.int64()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "n_tokens", "ids"],
+                )
 
     return map_batches(
         docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text")),
