@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lessonloom.session import fresh_dir, with_rows
+from lessonloom.session import fresh_dir, with_rows, written
 
 FIRST_DIGIT, GROWTH, WIDEST = 64, 4, 1 << 20
 _DONE, _OPEN = 0, 1
@@ -30,7 +30,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Equal texts form a group; ``keep_id`` is its smallest doc_id (null if all
     are null) and ``keep_row`` the first row with that id, nulls last.
-    ``_row`` is the row's number as given in ``docs`` if that column exists.
+    ``_row`` is the row's number as given in ``docs`` if that column exists; it
+    must then be stored with the rows.
     The digest is only reported. Null and empty texts are one group.
     """
     spark = docs.sparkSession
@@ -43,10 +44,13 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.lit(0).cast("bigint").alias("_group"),
         F.col("_t").cast("binary").alias("_rest"),
     )
-    # Written once, so that row numbers and the normalised bytes stay as they are.
-    start = fresh_dir(spark, "radix")
-    body.write.parquet(start)
-    active = spark.read.schema(body.schema).parquet(start)
+    if "_row" in docs.columns:
+        active = body
+    else:  # written once, so that row numbers stay as they are
+        start = fresh_dir(spark, "radix")
+        body.write.parquet(start)
+        active = spark.read.schema(body.schema).parquet(start)
+    active = _narrowed(active)
     kept_type = T.StructType([T.StructField("n", T.BooleanType()), T.StructField("i", docs.schema[doc_id].dataType), T.StructField("_row", T.LongType())])
     schema = T.StructType(
         [
@@ -81,6 +85,21 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+def _narrowed(active: DataFrame) -> DataFrame:
+    """``active`` with only the first digit left of texts that nothing shares it with.
+
+    The hashes of the repeated first digits are few and narrow. Where Spark
+    finds that they fit a broadcast, bytes that no later round can need are
+    not shuffled; groups are still told apart by the bytes alone.
+    """
+    digit = F.xxhash64(F.substring("_rest", 1, FIRST_DIGIT))
+    counts = active.groupBy(digit.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    shared = written(counts.where("_n > 1").select("_h"), "shared")
+    marked = active.withColumn("_key", digit).join(shared, F.col("_key") == F.col("_h"), "left")
+    rest = F.when(F.col("_h").isNull(), F.substring("_rest", 1, FIRST_DIGIT)).otherwise(F.col("_rest"))
+    return marked.select(*[c for c in active.columns if c != "_rest"], rest.alias("_rest"))
+
+
 def _round(active: DataFrame, width: int) -> DataFrame:
     """Split every group by its next digit.
 

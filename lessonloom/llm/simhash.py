@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from lessonloom.llm.graph import components
 from lessonloom.llm.tasks import map_batches
-from lessonloom.session import with_rows, written
+from lessonloom.session import drop_dir, scratch_scope, with_rows, written
 
 # Fixed values of the code: length, covering radius, generator polynomial.
 BLOCK, RADIUS, GENERATOR = 23, 3, 0b110001110101
@@ -269,8 +269,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> Data
     Null ids come after all others; among equal ids the first row stays. The
     columns are those of ``docs``.
     """
-    rows, groups = near_duplicates(docs, doc_id, **how)
-    groups = written(groups, "groups")
+    with scratch_scope() as made:
+        rows, groups = near_duplicates(docs, doc_id, **how)
+        groups = written(groups, "groups")
+    for label, path in made:
+        if label not in ("documents", "groups"):
+            drop_dir(docs.sparkSession, path)
     ids = rows.select("_row", F.col(doc_id).alias("_id")).join(groups, "_row")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("_row"))
     kept = ids.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o._row").alias("_row"))

@@ -34,22 +34,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pieces(texts, overlap: int = 0):
-    """Groups of ``(text number, bytes)`` of about PIECE bytes in all. A long text
+def pieces(texts, overlap: int = 0, size: int = PIECE // 4):
+    """Groups of ``(text number, bytes)`` of about ``size`` bytes in all. A long text
     gives several pieces, each repeating the last ``overlap`` words of the one before."""
     group, held = [], 0
     for number, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
         while True:
             part = data
-            if len(data) > PIECE:
-                cut = data.rfind(b" ", PIECE // 2, PIECE)
-                cut = cut if cut > 0 else PIECE
+            if len(data) > size:
+                cut = data.rfind(b" ", size // 2, size)
+                cut = cut if cut > 0 else size
                 part, tail = data[:cut], data[cut:]
                 data = b" ".join(part[-4096:].split()[-overlap:]) + b" " + tail.lstrip() if overlap else tail
             group.append((number, part))
             held += len(part)
-            if held >= PIECE:
+            if held >= size:
                 yield group
                 group, held = [], 0
             if part is data:

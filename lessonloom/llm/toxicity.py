@@ -27,7 +27,7 @@ from lessonloom.llm.text_hash import Hashed, pieces
 from lessonloom.llm.training import fitted, held_out, labelled_sample
 
 CUT = 0.3
-SAMPLE_ROWS = 6000  # most labelled rows that are learned from
+SAMPLE_ROWS = 4000  # most labelled rows that are learned from
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 6
 STEMS = (4, 6)
 TABLES = 1 + len(STEMS)
@@ -229,9 +229,9 @@ def scored(docs: DataFrame, keys: list[str], text: str, model, make) -> DataFram
         score = make(shared.value)
         for batch in batches:
             texts = batch.column(len(keys))
-            for at in range(0, batch.num_rows, 512):
-                found = score(texts.slice(at, 512).to_pylist())
-                columns = [batch.column(i).slice(at, 512) for i in range(len(keys))]
+            for at in range(0, batch.num_rows, 256):
+                found = score(texts.slice(at, 256).to_pylist())
+                columns = [batch.column(i).slice(at, 256) for i in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], names=[*keys, "score"])
 
     return map_batches(docs.select(*keys, F.col(text).alias("_text")), run, schema)
@@ -273,8 +273,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     def run(batches):
         score = _make(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 clean = score(part.column(at_text).to_pylist()) < CUT
                 yield part.filter(pa.array(clean))
 
