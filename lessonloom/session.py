@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+_open_scopes: list[list[tuple[str, str]]] = []
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/lessonloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lessonloom-{label}-{uuid.uuid4().hex}"
+    for made in _open_scopes:
+        made.append((label, path))
+    return path
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[tuple[str, str]]]:
+    """Collects (label, path) of the scratch folders made while it is open."""
+    made: list[tuple[str, str]] = []
+    _open_scopes.append(made)
+    try:
+        yield made
+    finally:
+        _open_scopes[:] = [scope for scope in _open_scopes if scope is not made]
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
