@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,6 +205,14 @@ def _word_bits(tables: int):
     return make
 
 
+def _excess(fp: Column, anchor: Column) -> Column:
+    """By how much an anchor exceeds the covering radius of the two blocks in all."""
+    apart = fp.bitwiseXOR(anchor)
+    blocks = (apart.bitwiseAND(F.lit(_MASK << shift)) for shift in (0, BLOCK))
+    low, high = (F.greatest(F.bit_count(b) - RADIUS, F.lit(0)) for b in blocks)
+    return low + high
+
+
 def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return with_fingerprints(
         rows, ["_row"], "_t", lambda t: np.unique(hashed(shingles(t, width), 42)).view(np.int64), "array<bigint>"
@@ -238,11 +246,15 @@ def near_duplicates(
     fps = written(with_fingerprints(keyed, ["_row"], "_t", _word_bits(tables), "array<bigint>"), "fingerprints")
     each = fps.select("_row", F.posexplode("fp").alias("table", "fp"))
     firsts = written(each.groupBy("table", "fp").agg(F.min("_row").alias("first")), "distinct")
-    placed = at_anchors(firsts.select("table", "first", "fp"), 1)
-    left = placed.select("table", "anchor", F.col("fp").alias("a"), F.col("first").alias("x"))
+    homed = at_anchors(firsts.select("table", "first", "fp"), 0).withColumnRenamed("anchor", "home")
+    placed = at_anchors(homed.select("table", "first", "home", "fp"), 1)
+    left = placed.select("table", "anchor", F.col("fp").alias("a"), F.col("first").alias("x"), "home")
     right = placed.select("table", "anchor", F.col("fp").alias("b"), F.col("first").alias("y"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    across = left.join(right, ["table", "anchor"]).where((F.col("a") < F.col("b")) & near).select("x", "y")
+    # A pair comes once, at the smaller one's home, if the larger one is there;
+    # only pairs that part around it are taken from the anchors between them.
+    once = (F.col("anchor") == F.col("home")) | (_excess(F.col("b"), F.col("home")) > 1)
+    across = left.join(right, ["table", "anchor"]).where((F.col("a") < F.col("b")) & near & once).select("x", "y")
     equal = each.join(firsts, ["table", "fp"]).where(F.col("first") != F.col("_row")).select(
         F.col("first").alias("x"), F.col("_row").alias("y")
     )
