@@ -248,12 +248,14 @@ def near_duplicates(
     firsts = written(each.groupBy("table", "fp").agg(F.min("_row").alias("first")), "distinct")
     homed = at_anchors(firsts.select("table", "first", "fp"), 0).withColumnRenamed("anchor", "home")
     placed = at_anchors(homed.select("table", "first", "home", "fp"), 1)
-    left = placed.select("table", "anchor", F.col("fp").alias("a"), F.col("first").alias("x"), "home")
-    right = placed.select("table", "anchor", F.col("fp").alias("b"), F.col("first").alias("y"))
+    left = placed.select("table", "anchor", F.col("fp").alias("a"), F.col("first").alias("x"), F.col("home").alias("p"))
+    right = placed.select("table", "anchor", F.col("fp").alias("b"), F.col("first").alias("y"), F.col("home").alias("q"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    # A pair comes once, at the smaller one's home, if the larger one is there;
-    # only pairs that part around it are taken from the anchors between them.
-    once = (F.col("anchor") == F.col("home")) | (_excess(F.col("b"), F.col("home")) > 1)
+    # A pair comes once, at one of its two homes, if the other one is there too;
+    # only pairs that part around both are taken from the anchors between them.
+    at_p, at_q = F.col("anchor") == F.col("p"), F.col("anchor") == F.col("q")
+    b_at_p, a_at_q = _excess(F.col("b"), F.col("p")) <= 1, _excess(F.col("a"), F.col("q")) <= 1
+    once = at_p | (~b_at_p & (at_q | ~a_at_q))
     across = left.join(right, ["table", "anchor"]).where((F.col("a") < F.col("b")) & near & once).select("x", "y")
     equal = each.join(firsts, ["table", "fp"]).where(F.col("first") != F.col("_row")).select(
         F.col("first").alias("x"), F.col("_row").alias("y")
