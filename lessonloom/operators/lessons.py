@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 
 from lessonloom.functions.text import missing, or_default
 
-LESSON_COLUMNS = [
-    "indicator_code",
-    "subject",
-    "grade",
-    "strand",
-    "sub_strand",
-    "teacher_notes",
-    "visual_prompts",
-    "student_reading",
-]
 
 
 def save_event(valid: DataFrame, id_from: list[str], ts: Column, seq: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.lookups import pick
-from lessonloom.functions.text import or_default
+from lessonloom.functions.text import WS, or_default
 from lessonloom.schemas import CLASS_SIZES, DIFFICULTY_LEVELS, DURATIONS
 
 # Defaults of optional request fields.
@@ -87,9 +87,11 @@ def bloom_expectation(level: Column) -> Column:
 
 
 def allocate_minutes(duration: Column, share: float) -> Column:
-    """``share`` of the leading whole number of ``duration``, rounded half up; null if none."""
-    digits = F.regexp_extract(duration, r"^\s*([+-]?\d+)", 1)
-    return F.floor(digits.try_cast("double") * F.lit(share) + F.lit(0.5)).cast("int")
+    """``share`` of the leading whole number of ``duration``, rounded half up; null if
+    there is none or the result does not fit 64 bits."""
+    digits = F.regexp_extract(duration, rf"^[{WS}]*([+-]?\d+)", 1)
+    minutes = digits.try_cast("double") * F.lit(share) + F.lit(0.5)
+    return F.when(F.abs(minutes) < F.lit(9e18), F.floor(minutes))
 
 
 def _fill(template: str, slots: dict[str, Column]) -> Column:

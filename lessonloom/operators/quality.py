@@ -53,7 +53,7 @@ def domain_violations(df: DataFrame, allowed: dict[str, list[str]]) -> DataFrame
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Number of rows or keys that break each declared constraint.
 
-    Nulls per column, repeated unique keys, and children without a parent.
+    Nulls per column, repeated unique keys (nulls may repeat), and children without a parent.
     Foreign keys are counted per value before the anti join, so a parent with
     a third of all children adds one row to it.
     """
@@ -72,6 +72,7 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     def repeated(level: str, key: str) -> DataFrame:
         return (
             tables[level]
+            .where(F.col(key).isNotNull())
             .groupBy(key)
             .agg(F.count(F.lit(1)).alias("n"))
             .where("n > 1")

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lessonloom.functions.lookups import lookup
+from lessonloom.functions.ranks import global_rank
 from lessonloom.functions.rows import each
 
-# Most indicators one nested document carries. A strand up to this size is one
-# document; a larger one is delivered as consecutive parts, so that no task and
-# no row ever holds an unbounded array.
-MAX_PER_DOCUMENT = 20_000
+# Indicators of one strand come in pages of this many, whatever its size, so that
+# no task and no row ever holds an unbounded array.
+PAGE_SIZE = 500
 
 
 def subject_by_slug(subjects: DataFrame, slug: str) -> DataFrame:
@@ -79,17 +79,11 @@ def tree_rows(
 def strand_indicators(
     tables: dict[str, DataFrame], subject: str, grade: str | None, strand: str
 ) -> DataFrame:
-    """Indicators of the first strand of this name, each with its sub-strand."""
-    slug_ids = tables["subjects"].where(F.col("slug") == subject).select(F.col("id").alias("_s"))
-    first = (
-        tables["strands"]
-        .where(F.col("name") == strand)
-        .join(slug_ids, F.col("subject_id") == F.col("_s"), "left_semi")
-        .agg(F.min("id").alias("strand_id"))
-    )
+    """Indicators of the first strand of this name that has any, each with its sub-strand."""
+    rows = tree_rows(tables, subject, grade, strand)
+    first = rows.agg(F.min("strand_id").alias("strand_id"))
     return (
-        tree_rows(tables, subject, grade, strand)
-        .join(first, "strand_id", "left_semi")
+        rows.join(first, "strand_id", "left_semi")
         .select(
             F.col("indicator_code").alias("code"),
             F.col("indicator_text").alias("text"),
@@ -162,69 +156,23 @@ def nest(
     subject: str | None = None,
     grade: str | None = None,
     term: str = "",
-    max_per_document: int = MAX_PER_DOCUMENT,
+    page_size: int = PAGE_SIZE,
 ) -> DataFrame:
-    """Nested strand documents: ``name, subStrands[name, indicators[...]]``.
+    """Nested strand documents: ``name, part, subStrands[name, indicators[...]]``.
 
     Siblings with equal names stay apart since grouping is by id. Sub-strands
-    come in id order and indicators in code order. ``part`` numbers the pieces
-    of a strand above ``max_per_document`` in that same order (0 for a strand
-    that fits); reading the parts in turn gives the whole strand.
-
-    Strand sizes come from a count pre-aggregated per sub-strand and are joined
-    to the strands, not to the indicators, which therefore are not shuffled to
-    find out which strands are large.
+    come in id order and indicators in code order. A strand comes in pages of
+    ``page_size`` indicators in that order; ``part`` numbers them from 0, and
+    reading the parts in turn gives the whole strand. Pages are cut by exact
+    global ranks, so they depend neither on partitions nor on sizes.
     """
-    groups, indicators = _chosen(tables, subject, grade)
-    if term.strip():
-        indicators = indicators.where(_hit(term, F.col("text"), F.col("code")))
-    per_sub = indicators.groupBy("sub_strand_id").agg(F.count(F.lit(1)).alias("n"))
-    per_strand = (
-        groups.join(per_sub, "sub_strand_id")
-        .groupBy("strand_id")
-        .agg(F.sum("n").alias("strand_size"))
-    )
-    large = per_strand.where(F.col("strand_size") > max_per_document).select(
-        F.col("strand_id").alias("id")
+    rows = search(tree_rows(tables, subject, grade), term)
+    ranked = global_rank(rows, ["strand_id"], ["sub_strand_id", "indicator_code", "indicator_text"], "_rank")
+    paged = ranked.withColumn("part", F.floor(F.col("_rank") / page_size)).drop("_rank")
+    return _documents(paged, ["part"]).select(
+        "subject", "slug", "strand_id", F.col("strand_name").alias("name"), "part", "subStrands"
     )
 
-    def rows(how: str) -> DataFrame:
-        some = dict(tables, strands=tables["strands"].join(large, "id", how))
-        return search(tree_rows(some, subject, grade), term)
-
-    # A fitting strand is small, so one shuffle on its id serves both levels.
-    one = _documents(rows("left_anti").repartition("strand_id"), []).withColumn(
-        "part", F.lit(0).cast("bigint")
-    )
-    many = _parts(rows("left_semi"), max_per_document)
-    columns = [
-        "subject",
-        "slug",
-        "strand_id",
-        F.col("strand_name").alias("name"),
-        "part",
-        "subStrands",
-    ]
-    return one.select(*columns).unionByName(many.select(*columns))
-
-
-def _parts(rows: DataFrame, max_per_document: int) -> DataFrame:
-    """Cut large strands into ordered pieces of at most ``max_per_document``.
-
-    Range partitioning on the full sort key spreads one hot strand over many
-    tasks; within a range the pieces are counted off by a running number.
-    """
-    ranged = rows.repartitionByRange("strand_id", "sub_strand_id", "indicator_code").withColumn(
-        "_range", F.spark_partition_id()
-    )
-    in_range = Window.partitionBy("strand_id", "_range").orderBy("sub_strand_id", "indicator_code")
-    cut = ranged.withColumn(
-        "part",
-        F.col("_range").cast("bigint") * F.lit(1 << 32)
-        + F.floor((F.row_number().over(in_range) - 1) / max_per_document),
-    )
-    return _documents(cut, ["_range", "part"]).drop("_range")
-
 
 def flatten(tree: DataFrame) -> DataFrame:
     """Back to one row per indicator, each carrying its sub-strand's name."""
@@ -293,7 +241,8 @@ def totals(
 def coverage(tables: dict[str, DataFrame]) -> DataFrame:
     """Strands and indicators per subject and grade, with totals.
 
-    Null grade is a subject's total; null subject is the grand total. Two
+    Subjects are told apart by slug; names may repeat. ``level`` is 0 for a
+    grade, 1 for a subject's total, 3 for the grand total. Two
     pre-aggregations shrink the indicators to one row per strand and grade
     before the rollup expands them.
     """
@@ -301,11 +250,14 @@ def coverage(tables: dict[str, DataFrame]) -> DataFrame:
     per_sub = indicators.groupBy("sub_strand_id", "grade").agg(F.count(F.lit(1)).alias("n"))
     per_strand = (
         groups.join(per_sub, "sub_strand_id")
-        .groupBy("subject", "strand_id", "grade")
+        .groupBy("slug", "subject", "strand_id", "grade")
         .agg(F.sum("n").alias("n"))
     )
-    return per_strand.rollup("subject", "grade").agg(
-        F.count_distinct("strand_id").alias("strands"), F.sum("n").alias("indicators")
+    return per_strand.rollup("slug", "grade").agg(
+        F.when(F.grouping("slug") == 0, F.max("subject")).alias("subject"),
+        F.count_distinct("strand_id").alias("strands"),
+        F.sum("n").alias("indicators"),
+        F.grouping_id().alias("level"),
     )
 
 

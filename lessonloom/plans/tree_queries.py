@@ -193,18 +193,23 @@ def nested_search(tables) -> DataFrame:
     return _as_json(tree.search_nested(tree.nest(tables, SLUG), TERM), None)
 
 
-def _json_sql(where: str, grade: str) -> str:
+def _json_sql(where: str, grade: str, after: str = "true") -> str:
+    """``after`` filters rows that already have their pages."""
     return f"""
 WITH {b.TREE_SQL},
+paged AS (
+  SELECT *, (row_number() OVER (PARTITION BY strand_id
+    ORDER BY sub_strand_id, indicator_code, indicator_text) - 1) // {tree.PAGE_SIZE} AS part
+  FROM tree WHERE {where}),
 subs AS (
-  SELECT subject, strand_id, strand_name, sub_strand_id, sub_strand_name,
+  SELECT subject, strand_id, strand_name, part, sub_strand_id, sub_strand_name,
     list({{'code': indicator_code, 'text': indicator_text, 'bloomsLevel': indicator_blooms,
           'grade': indicator_grade}} ORDER BY indicator_code) AS indicators
-  FROM tree WHERE {where} GROUP BY ALL)
-SELECT subject, '{grade}' AS grade, strand_id, strand_name AS name, CAST(0 AS BIGINT) AS part,
+  FROM paged WHERE {after} GROUP BY ALL)
+SELECT subject, '{grade}' AS grade, strand_id, strand_name AS name, part,
   CAST(to_json(list({{'name': sub_strand_name, 'indicators': indicators}} ORDER BY sub_strand_id))
     AS VARCHAR) AS sub_strands_json
-FROM subs GROUP BY subject, strand_id, strand_name
+FROM subs GROUP BY subject, strand_id, strand_name, part
 """
 
 
@@ -231,7 +236,7 @@ QUERIES = {
     "tree_search": _tree_query(lambda t: tree.search(tree.tree_rows(t), TERM)),
     "tree_search_nested": _tree_query(nested_search),
     "strand_indicators": _tree_query(
-        lambda t: tree.strand_indicators(t, "america", GRADE, STRAND)
+        lambda t: tree.strand_indicators(t, SLUG, GRADE, STRAND)
     ),
     "curriculum_tree": _tree_query(tree.nest),
     "curriculum_tree_json": _tree_query(
@@ -263,12 +268,12 @@ ORACLES = {
     "tree_filter": f"""WITH {b.TREE_SQL} SELECT {TREE_COLUMNS} FROM tree
         WHERE slug = '{SLUG}' AND indicator_grade = '{GRADE}'""",
     "tree_search": f"WITH {b.TREE_SQL} SELECT {TREE_COLUMNS} FROM tree WHERE {_SEARCH}",
-    "tree_search_nested": _json_sql(f"slug = '{SLUG}' AND ({_SEARCH})", "all"),
+    "tree_search_nested": _json_sql(f"slug = '{SLUG}'", "all", _SEARCH),
     "strand_indicators": f"""WITH {b.TREE_SQL}
         SELECT indicator_code AS code, indicator_text AS text, indicator_blooms AS blooms_level,
           indicator_grade AS grade, sub_strand_name AS sub_strand
         FROM tree
-        WHERE slug = 'america' AND indicator_grade = '{GRADE}' AND strand_name = '{STRAND}'""",
+        WHERE slug = '{SLUG}' AND indicator_grade = '{GRADE}' AND strand_name = '{STRAND}'""",
     "curriculum_tree_json": _json_sql(f"slug = '{SLUG}' AND indicator_grade = '{GRADE}'", GRADE),
     "curriculum_tree_all_json": _json_sql("true", "all"),
     "tree_flatten": f"""WITH {b.TREE_SQL}
@@ -282,9 +287,10 @@ ORACLES = {
     "tree_totals": f"""WITH {b.TREE_SQL}
         SELECT count(DISTINCT strand_id) AS strands, count(*) AS indicators FROM tree""",
     "coverage": f"""WITH {b.TREE_SQL}
-        SELECT subject, indicator_grade AS grade, count(DISTINCT strand_id) AS strands,
-          count(*) AS indicators
-        FROM tree GROUP BY ROLLUP (subject, indicator_grade)""",
+        SELECT slug, CASE WHEN grouping(slug) = 0 THEN max(subject) END AS subject,
+          indicator_grade AS grade, count(DISTINCT strand_id) AS strands, count(*) AS indicators,
+          grouping_id(slug, indicator_grade) AS level
+        FROM tree GROUP BY ROLLUP (slug, indicator_grade)""",
     "label_lookup": f"""WITH {b.TREE_SQL}, {LABELS_SQL}
         SELECT t.strand_id, t.slug, coalesce(d.label, t.slug) AS subject_label,
           count(*) AS indicators
@@ -322,9 +328,9 @@ ORACLES = {
         WHERE slug <> '{SLUG}'""",
     "constraint_audit": f"""WITH {b.BROKEN_SQL} {_AUDIT_NULLS}
         UNION ALL SELECT 'subjects.slug unique', count(*) FROM (
-          SELECT slug FROM subjects GROUP BY slug HAVING count(*) > 1)
+          SELECT slug FROM subjects WHERE slug IS NOT NULL GROUP BY slug HAVING count(*) > 1)
         UNION ALL SELECT 'indicators.code unique', count(*) FROM (
-          SELECT code FROM indicators GROUP BY code HAVING count(*) > 1)
+          SELECT code FROM indicators WHERE code IS NOT NULL GROUP BY code HAVING count(*) > 1)
         UNION ALL SELECT 'strands.subject_id references subjects', count(*) FROM strands
           WHERE subject_id IS NOT NULL AND subject_id NOT IN (SELECT id FROM subjects)
         UNION ALL SELECT 'sub_strands.strand_id references strands', count(*) FROM sub_strands

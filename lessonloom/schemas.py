@@ -9,11 +9,6 @@ SUB_STRANDS = "id STRING, strand_id STRING, name STRING"
 INDICATORS = (
     "id STRING, sub_strand_id STRING, code STRING, text STRING, blooms_level STRING, grade STRING"
 )
-SAVED_LESSONS = (
-    "id STRING, indicator_code STRING, subject STRING, grade STRING, strand STRING, "
-    "sub_strand STRING, teacher_notes STRING, visual_prompts STRING, student_reading STRING, "
-    "created_at TIMESTAMP_NTZ"
-)
 
 # Nested documents.
 STANDARDS_DOC = (
@@ -49,7 +44,6 @@ BLOOMS_LEVELS = ["Remember", "Understand", "Apply", "Analyse", "Evaluate", "Crea
 DIFFICULTY_LEVELS = ["struggling", "average", "advanced"]
 DURATIONS = ["40", "60", "80"]
 CLASS_SIZES = ["25", "35", "45", "60"]
-GRADES = ["B7", "B8", "B9"]
 
 # Required fields of each request, in reporting order.
 LESSON_REQUIRED = [

@@ -66,7 +66,7 @@ def test_hot_sub_strand_is_split_in_the_join(hot_tree):
 
 
 def test_hot_strand_is_nested_in_bounded_parts(hot_tree):
-    docs = tree.nest(hot_tree, max_per_document=500).collect()
+    docs = tree.nest(hot_tree, page_size=500).collect()
     sizes = [sum(len(s.indicators) for s in d.subStrands) for d in docs]
     assert sum(sizes) == ROWS and max(sizes) <= 500
     hot = [d for d in docs if d.strand_id == 7]

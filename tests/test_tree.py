@@ -112,8 +112,8 @@ def test_large_strands_come_in_bounded_ordered_parts(spark, sf, limit):
         "sub_strand_id", F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("sub_strand_id"))
     )
     tables = dict(tables, indicators=hot)
-    whole = {r.strand_id: r.subStrands for r in tree.nest(tables).collect()}
-    parts = tree.nest(tables, max_per_document=limit).collect()
+    whole = {r.strand_id: r.subStrands for r in tree.nest(tables, page_size=10**9).collect()}
+    parts = tree.nest(tables, page_size=limit).collect()
     joined = {}
     for r in sorted(parts, key=lambda r: (r.strand_id, r.part)):
         codes = [(s.name, i.code) for s in r.subStrands for i in s.indicators]
@@ -129,3 +129,29 @@ def test_bloom_expectation_default_and_case(value):
     assert value(level, "CREATE").startswith("Produce new")
     assert value(level, None).startswith("Explain ideas")
     assert value(level, "guess").startswith("Instructional standard")
+
+
+def test_pages_do_not_depend_on_partitions(spark, sf):
+    tables = b.tree(spark, sf)
+    before, pages = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = tree.nest(tables, page_size=40).collect()
+            pages.append(sorted((r.strand_id, r.part, str(r.subStrands)) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert pages[0] == pages[1]
+
+
+def test_first_strand_of_a_name_has_indicators(small):
+    strands = small["strands"]
+    childless = strands.where("name = 'Number'").limit(1).withColumn("id", (strands["id"] - 1000).cast(strands.schema["id"].dataType))
+    tables = dict(small, strands=strands.union(childless.select(strands.columns)))
+    assert tree.strand_indicators(tables, "maths", None, "Number").count() == tree.strand_indicators(small, "maths", None, "Number").count() > 0
+
+
+def test_subjects_with_one_name_stay_apart(small):
+    same = dict(small, subjects=small["subjects"].withColumn("name", F.lit("M")))
+    got = tree.coverage(same).where("level = 1").collect()
+    assert len(got) == len({r.slug for r in got}) == tree.coverage(small).where("level = 1").count()
