@@ -2,8 +2,8 @@
 
 A vector is cut into ``slices`` runs of components; each slice is a list of
 its own in which an entry's local score is the inner product of that slice.
-Phase 1 gathers the k best entries of every block of every list; the k-th best
-sum is a safe lower bound. Phase 2 sends each list the uniform cutoff (bound /
+Phase 1 gathers the k best entries of every block of every list and scores the
+best of each list whole; the k-th best score is a safe lower bound. Phase 2 sends each list the uniform cutoff (bound /
 slices, above the list's smallest score) and collects all entries that reach
 it: no vector of the answer can miss it in every list. Phase 3 resolves the
 scores that are still partly unknown and could yet belong to the answer.
@@ -24,6 +24,9 @@ from lessonloom.llm.tasks import block_batches, map_batches
 from lessonloom.session import with_rows, written
 
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 2048, 512
+# Entries of each list that are scored whole for the bound, as a multiple of k. It
+# changes how many entries phase 2 collects, never the result.
+TRIED = 4
 _EXACT = 2**53
 
 
@@ -150,6 +153,20 @@ def _scan(met: DataFrame, width: int, k: int | None) -> DataFrame:
     return map_batches(met, run, _ENTRY)
 
 
+def _exact(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pairs`` (q_row, q_id, row, id) with their whole inner product as ``score``."""
+    dot = F.aggregate(
+        F.zip_with("qv", "vv", lambda a, b: F.coalesce(a * b, F.lit(0).cast("bigint"))),
+        F.lit(0).cast("bigint"),
+        lambda n, x: n + x,
+    )
+    return (
+        pairs.join(vectors.select(F.col("_row").alias("row"), F.col("v").alias("vv")), "row")
+        .join(queries.select(F.col("_row").alias("q_row"), F.col("v").alias("qv")), "q_row")
+        .select("q_row", "q_id", "row", "id", dot.alias("score"))
+    )
+
+
 def top_k(
     df: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, slices: int = 2
 ) -> DataFrame:
@@ -172,18 +189,17 @@ def top_k(
     with block_batches(df.sparkSession):
         local = written(_scan(_met(asked, lists), width, k), "local")
     least = local.groupBy("q_row", "slice").agg(F.min("least").alias("low"))
-    sums = (
-        local.join(least, ["q_row", "slice"])
-        .groupBy("q_row", "row")
-        .agg(F.sum(F.col("part") - F.col("low")).alias("sum"))
-    )
-    best = Window.partitionBy("q_row").orderBy(F.desc("sum"))
-    ranked = sums.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-    bound = ranked.groupBy("q_row").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("sum")).otherwise(0).alias("bound")
+    lows = least.groupBy("q_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("slice", "low"))).alias("lows"), F.sum("low").alias("floor")
     )
-    lows = least.groupBy("q_row").agg(F.map_from_entries(F.collect_list(F.struct("slice", "low"))).alias("lows"))
-    known = written(bound.join(lows, "q_row"), "bounds")
+    highest = Window.partitionBy("q_row", "slice").orderBy(F.desc("part"))
+    tried = local.withColumn("n", F.row_number().over(highest)).where(F.col("n") <= TRIED * k)
+    scored = _exact(tried.select("q_row", "q_id", "row", "id").distinct(), queries, vectors)
+    best = Window.partitionBy("q_row").orderBy(F.desc("score"))
+    ranked = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    reached = ranked.groupBy("q_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("reached"))
+    bound = F.coalesce(F.col("reached") - F.col("floor"), F.lit(0).cast("bigint"))
+    known = written(reached.join(lows, "q_row").select("q_row", "lows", bound.alias("bound")), "bounds")
 
     # Phase 2: the uniform cutoff, and all entries that reach it.
     cuts = F.transform(
@@ -201,29 +217,17 @@ def top_k(
             F.sum("part").alias("score"),
             F.count(F.lit(1)).alias("seen"),
             F.max(above).alias("above"),
+            F.max("bound").alias("bound"),
         )
     )
-    with block_batches(df.sparkSession):
-        gathered = written(gathered, "gathered")
-    again = gathered.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-    sharper = again.groupBy("q_row").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("sum")).otherwise(0).alias("bound")
-    )
+    # What a list did not send is below the cutoff there.
     most = F.col("sum") + (F.lit(slices) - F.col("seen")) * F.greatest(F.col("above") - 1, F.lit(0))
-    able = gathered.join(sharper, "q_row").where(most >= F.col("bound"))
+    with block_batches(df.sparkSession):
+        able = written(gathered.where(most >= F.col("bound")), "gathered")
 
     # Phase 3: exact scores of what is only partly known.
     partly = able.where(F.col("seen") < slices)
-    dot = F.aggregate(
-        F.zip_with("qv", "vv", lambda a, b: F.coalesce(a * b, F.lit(0).cast("bigint"))),
-        F.lit(0).cast("bigint"),
-        lambda n, x: n + x,
-    )
-    resolved = (
-        partly.join(queries.select(F.col("_row").alias("q_row"), F.col("v").alias("qv")), "q_row")
-        .join(vectors.select(F.col("_row").alias("row"), F.col("v").alias("vv")), "row")
-        .select("q_row", "q_id", "row", "id", dot.alias("score"))
-    )
+    resolved = _exact(partly.select("q_row", "q_id", "row", "id"), queries, vectors)
     whole = able.where(F.col("seen") == slices).select("q_row", "q_id", "row", "id", "score").union(resolved)
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "id", "row")
     return (
