@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lessonloom.functions.ranks import global_rank
-from lessonloom.session import fresh_dir, written
+from lessonloom.session import written
 
 RANGE_BYTES, FANOUT = 1 << 16, 16
 RECORDS_PER_FILE = 500
@@ -36,18 +36,29 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 def warc_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """``file, offset, length, page_id, record``: pages as WARC records in id order,
-    ``per_file`` to a file, nulls first and repeated rows one by one."""
-    own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    ranked = global_rank(own, [], ["page_id", "url", "html"], "_rank")
-    made = ranked.select(
-        F.floor(F.col("_rank") / per_file).alias("file"),
-        "_rank",
-        "page_id",
-        warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"),
-    ).withColumn("length", F.octet_length("record").cast("bigint"))
+    ``per_file`` to a file, nulls first and repeated rows one by one. Records of one
+    id and url come in the order of their hashes."""
+    made = _records(pages, page_id, url, html).withColumn("hash", F.sha2("record", 256))
+    return laid_out(made, per_file).select("file", "offset", "length", "page_id", "record")
+
+
+def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    record = warc_record(F.col(page_id), F.col(url), F.col(html)).alias("record")
+    made = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), record)
+    return made.withColumn("length", F.octet_length("record").cast("bigint"))
+
+
+def laid_out(records: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    """``records`` (page_id, url, hash, length, ...) with the ``file`` and ``offset`` of each.
+
+    Columns beside these travel along, so records that are only to be audited
+    come here as hashes, without their bytes.
+    """
+    ranked = global_rank(records, [], ["page_id", "url", "hash"], "_rank")
+    filed = ranked.withColumn("file", F.floor(F.col("_rank") / per_file))
     before = Window.partitionBy("file").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint"))
-    return made.select("file", offset.alias("offset"), "length", "page_id", "record")
+    return filed.withColumn("offset", offset).drop("_rank")
 
 
 def record_hashes(records: DataFrame) -> DataFrame:
@@ -89,7 +100,11 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     sits at another offset is missing at one and extra at the other. Equal
     replicas and empty tables give no rows.
     """
-    a, b = record_hashes(first), record_hashes(second)
+    return audit_hashes(record_hashes(first), record_hashes(second))
+
+
+def audit_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """:func:`audit` of replicas given as ``record_hashes`` gives them."""
     last = a.union(b).agg(F.max("offset")).first()[0] or 0
     count, ranges = 1, last // RANGE_BYTES + 1
     while ranges > 1:
@@ -118,21 +133,32 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 def damaged(records: DataFrame, changed: Column, lost: Column) -> DataFrame:
     """A replica with the last byte before the record's end marker altered where
     ``changed`` holds and without the records where ``lost`` holds."""
-    n = F.octet_length("record")
+    kept = records.where(~F.coalesce(lost, F.lit(False)))
+    return kept.withColumn("record", _altered(changed))
+
+
+def _altered(changed: Column) -> Column:
     cut = F.concat(
         F.expr("substring(record, 1, octet_length(record) - 5)"),
         F.unhex(F.lit("00")),
         F.expr("substring(record, octet_length(record) - 3)"),
     )
-    kept = records.where(~F.coalesce(lost, F.lit(False)))
-    return kept.withColumn("record", F.when(F.coalesce(changed, F.lit(False)) & (n > 5), cut).otherwise(F.col("record")))
+    hit = F.coalesce(changed, F.lit(False)) & (F.octet_length("record") > 5)
+    return F.when(hit, cut).otherwise(F.col("record"))
 
 
 def audit_damaged(pages: DataFrame) -> DataFrame:
-    """Audit of a replica of ``pages`` with every 50th record altered and every 211th lost."""
-    path = fresh_dir(pages.sparkSession, "warc")
-    table = warc_table(pages)
-    table.write.parquet(path)
-    records = pages.sparkSession.read.schema(table.schema).parquet(path)
-    second = damaged(records, F.col("page_id") % 50 == 7, F.col("page_id") % 211 == 5)
-    return audit(records, second)
+    """Audit of a replica of ``pages`` with every 50th record altered and every 211th lost.
+
+    Both replicas' records are hashed where the pages are read; only hashes are moved.
+    """
+    records = _records(pages, "page_id", "url", "html").select(
+        "page_id",
+        "url",
+        "length",
+        F.sha2("record", 256).alias("hash"),
+        F.sha2(_altered(F.col("page_id") % 50 == 7), 256).alias("hash_b"),
+    )
+    both = written(laid_out(records).drop("url"), "records")
+    kept = both.where(~F.coalesce(F.col("page_id") % 211 == 5, F.lit(False)))
+    return audit_hashes(both.drop("hash_b"), kept.drop("hash").withColumnRenamed("hash_b", "hash"))
