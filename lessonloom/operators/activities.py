@@ -40,6 +40,17 @@ def parse_breakdown(df: DataFrame, text: str = "text") -> DataFrame:
     return _parsed(df, text, BREAKDOWN, "breakdown")
 
 
+def explode_questions(parsed: DataFrame, key: str) -> DataFrame:
+    """One row per question with its explanation and number of options."""
+    return each(parsed, [key], "activity.mcqs", "q", "mcq").select(
+        key,
+        (F.col("q") + 1).alias("mcq_no"),
+        F.col("mcq.question").alias("question"),
+        F.array_size("mcq.options").alias("options"),
+        F.col("mcq.explanation").alias("explanation"),
+    )
+
+
 def explode_options(parsed: DataFrame, key: str) -> DataFrame:
     """One row per option, with the ordinals of question and option from 1."""
     questions = each(parsed, [key], "activity.mcqs", "q", "mcq")

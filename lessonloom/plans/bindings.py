@@ -87,12 +87,13 @@ tree AS (
 def broken_tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tree with repeated codes, missing parents and nulls."""
     t = tree(spark, folder)
-    customer = read_table(spark, folder, "customer").where(F.col("c_acctbal") > 0)
+    customer = read_table(spark, folder, "customer")
+    key = F.col("c_custkey")
     return {
         "subjects": t["subjects"].withColumn("slug", F.substring("slug", 1, 1)),
         "strands": t["strands"],
         "sub_strands": customer.select(
-            F.col("c_custkey").alias("id"),
+            F.when(F.col("c_acctbal") > 0, key).otherwise(-key).alias("id"),
             F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey")).alias("strand_id"),
             F.col("c_name").alias("name"),
         ),
@@ -109,9 +110,9 @@ subjects AS (
   FROM region),
 strands AS (SELECT n_nationkey AS id, n_regionkey AS subject_id, n_name AS name FROM nation),
 sub_strands AS (
-  SELECT c_custkey AS id, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS strand_id,
-         c_name AS name
-  FROM customer WHERE c_acctbal > 0),
+  SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS id,
+         CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS strand_id, c_name AS name
+  FROM customer),
 indicators AS (
   SELECT o_orderkey AS id, o_custkey AS sub_strand_id,
          o_orderpriority || (o_orderkey % 5000) AS code,
@@ -336,17 +337,19 @@ bodies AS (
 
 
 def contexts(documents: DataFrame) -> DataFrame:
-    """Source material for some codes; empty where the retrieval found nothing."""
-    return documents.select(
-        _text("P", F.col("doc_id")).alias("code"),
-        F.when(F.col("lang") == "en", F.col("text")).otherwise("").alias("context"),
-    )
+    """Source material of every document, and an empty one for every third code, as
+    where the retrieval found nothing."""
+    doc = F.col("doc_id")
+    found = F.struct(_text("P", doc).alias("code"), F.col("text").alias("context"))
+    nothing = F.struct(_text("P", doc * 3).alias("code"), F.lit("").alias("context"))
+    return documents.select(F.inline(F.array(found, nothing)))
 
 
 CONTEXTS_SQL = """
 contexts AS (
-  SELECT 'P' || doc_id AS code, CASE WHEN lang = 'en' THEN text ELSE '' END AS context
-  FROM documents)
+  SELECT 'P' || doc_id AS code, text AS context FROM documents
+  UNION ALL
+  SELECT 'P' || (doc_id * 3), '' FROM documents)
 """
 
 

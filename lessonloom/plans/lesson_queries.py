@@ -84,6 +84,14 @@ def graded(spark, folder) -> DataFrame:
     return grading.grade_answers(b.answers(events), b.options(events))
 
 
+def citations(spark, folder) -> DataFrame:
+    """Citations of the valid requests; the others keep a row with their error."""
+    requests = b.requests(read_table(spark, folder, "part"))
+    checked = sections.with_citation(quality.with_status(requests, GENERATE_REQUIRED))
+    cited = F.when(F.col("valid"), F.col("citations"))
+    return checked.select("request_id", "error", F.inline_outer(cited))
+
+
 def ground_requests(spark, folder) -> DataFrame:
     requests = b.requests(read_table(spark, folder, "part"))
     return sections.ground(requests, b.contexts(read_texts(spark, folder, "documents", "doc_id")))
@@ -245,11 +253,7 @@ QUERIES = {
         b.error_messages(_events(spark, folder))
     ),
     "ground_requests": ground_requests,
-    "citations": _requests(
-        lambda r: sections.with_citation(r.where(F.col("indicatorCode") != "")).select(
-            "request_id", F.inline("citations")
-        )
-    ),
+    "citations": citations,
     "assemble_lessons": assemble_lessons,
     "duration_alloc": _requests(
         lambda r: r.select(
@@ -340,11 +344,13 @@ ORACLES = {
         FROM classed GROUP BY error_class""",
     "ground_requests": f"""WITH {b.REQUESTS_SQL}, {b.CONTEXTS_SQL}, {GROUNDED_SQL}
         SELECT * FROM grounded""",
-    "citations": f"""WITH {b.REQUESTS_SQL}
-        SELECT request_id, 'foundry-' || "indicatorCode" AS id,
-          'NaCCA Indicator ' || "indicatorCode" AS text, '{sections.CITATION_SOURCE}' AS source,
-          'foundry' AS type
-        FROM requests WHERE "indicatorCode" <> ''""",
+    "citations": f"""WITH {b.REQUESTS_SQL},
+        checked AS ({_validate_sql(b.REQUESTS_SQL, "requests", GENERATE_REQUIRED, True)})
+        SELECT request_id, error, CASE WHEN valid THEN 'foundry-' || "indicatorCode" END AS id,
+          CASE WHEN valid THEN 'NaCCA Indicator ' || "indicatorCode" END AS text,
+          CASE WHEN valid THEN '{sections.CITATION_SOURCE}' END AS source,
+          CASE WHEN valid THEN 'foundry' END AS type
+        FROM requests JOIN checked USING (request_id)""",
     "assemble_lessons": f"""WITH {b.REQUESTS_SQL}, {b.CONTEXTS_SQL}, {GROUNDED_SQL},
         {b.RESPONSES_SQL}, {SECTIONS_SQL}
         SELECT g.request_id, s.notes AS "teacherNotes", s.visual AS "visualPrompts",

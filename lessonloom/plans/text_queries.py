@@ -239,11 +239,15 @@ def visual_steps(d: DataFrame) -> DataFrame:
 QUERIES = {
     "section_responses": _documents(lambda d: sections.section_responses(b.responses(d))),
     "activity_parse": _activities(activity_parse),
+    "mcq_rows": _activities(lambda a: activities.explode_questions(a, "doc_id")),
     "mcq_options": _activities(lambda a: activities.explode_options(a, "doc_id")),
     "writing_prompts": _activities(lambda a: activities.explode_prompts(a, "doc_id")),
     "rubric_rows": _activities(lambda a: activities.explode_rubric(a, "doc_id")),
     "activity_contract": _activities(lambda a: activities.check_activities(a, "doc_id")),
     "bloom_breakdown": _documents(_breakdown),
+    "worksheet_reading": _documents(
+        lambda d: worksheets.split_worksheet(b.worksheets(d)).select("doc_id", "reading")
+    ),
     "worksheet_questions": _documents(
         lambda d: worksheets.worksheet_questions(b.worksheets(d), "doc_id")
     ),
@@ -309,6 +313,12 @@ ORACLES = {
           CAST(json_array_length(o.j, '$.mcqs') AS INTEGER) AS mcqs,
           CAST(json_array_length(o.j, '$.rubric') AS INTEGER) AS criteria
         FROM act_clean c LEFT JOIN act_ok o ON c.doc_id = o.doc_id""",
+    "mcq_rows": f"""WITH {b.ACTIVITIES_SQL}
+        SELECT doc_id, CAST(q.pos AS INTEGER) AS mcq_no,
+          json_extract_string(q.v, '$.question') AS question,
+          CAST(json_array_length(q.v, '$.options') AS INTEGER) AS options,
+          json_extract_string(q.v, '$.explanation') AS explanation
+        FROM act_ok, unnest(json_extract(j, '$.mcqs[*]')) WITH ORDINALITY AS q(v, pos)""",
     "mcq_options": f"""WITH {b.ACTIVITIES_SQL}
         SELECT doc_id, CAST(q.pos AS INTEGER) AS mcq_no,
           json_extract_string(q.v, '$.question') AS question,
@@ -359,6 +369,9 @@ ORACLES = {
           json_extract_string(q.v, '$.description') AS description,
           json_extract_string(q.v, '$.sampleActivity') AS sample_activity
         FROM bd, unnest(json_extract(j, '$.levels[*]')) WITH ORDINALITY AS q(v, pos)""",
+    "worksheet_reading": f"""WITH {b.WORKSHEETS_SQL}
+        SELECT doc_id, {_TRIM.format("string_split_regex(text, '(?i)###?\\s*Check Your Understanding')[1]")}
+          AS reading FROM ws""",
     "worksheet_questions": _worksheet_sql("(?i)###?\\s*Check Your Understanding"),
     "worksheet_questions_bold": _worksheet_sql(
         "(?i)(?:###?\\s*|\\*\\*)Check Your Understanding(?:\\*\\*)?"

@@ -19,7 +19,11 @@ def build_session(app: str = "lessonloom", master: str | None = None) -> SparkSe
         .config("spark.ui.enabled", "false")
     )
     if master is not None:
-        builder = builder.master(master).config("spark.sql.shuffle.partitions", "8")
+        builder = (
+            builder.master(master)
+            .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.lessonloom.textPartitions", "8")
+        )
     return builder.getOrCreate()
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lessonloom.schemas import TABLES
 
-# Scans with more splits are never spread: 64 default-sized splits are 8 GB.
-MOST_SPREAD_SPLITS = 64
+# Session setting: number of partitions over which tables of texts are spread.
+TEXT_PARTITIONS = "spark.lessonloom.textPartitions"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,16 +18,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     """A table whose rows are costly to process.
 
-    A small scan with fewer splits than there are cores would leave most of
-    them idle, so its rows are spread by ``key`` once. A large table is left
-    as it is: no shuffle is added.
+    It is read as it is, whatever its size. A session whose tables have fewer
+    splits than it has cores can set ``TEXT_PARTITIONS`` to have the rows spread
+    by ``key`` once.
     """
     df = read_table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits < cores and splits <= MOST_SPREAD_SPLITS:
-        df = df.repartition(cores, key)
-    return df
+    partitions = spark.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(partitions), key) if partitions else df
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:

@@ -53,10 +53,14 @@ def test_text_jobs_never_shuffle(job, spark, sf):
     assert not re.search(r"Condition : .*(from_json|split)\(", text)
 
 
-def test_texts_are_spread_only_when_splits_are_few(spark, sf, monkeypatch):
+def test_texts_are_spread_only_when_the_session_asks(spark, sf):
     assert "Exchange" in plan(read_texts(spark, sf, "documents", "doc_id"))
-    monkeypatch.setattr(tables, "MOST_SPREAD_SPLITS", 0)
-    assert "Exchange" not in plan(read_texts(spark, sf, "documents", "doc_id"))
+    asked = spark.conf.get(tables.TEXT_PARTITIONS)
+    spark.conf.unset(tables.TEXT_PARTITIONS)
+    try:
+        assert "Exchange" not in plan(read_texts(spark, sf, "documents", "doc_id"))
+    finally:
+        spark.conf.set(tables.TEXT_PARTITIONS, asked)
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
