@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonloom.functions.rows import each
+from lessonloom.session import written
 
 
 def _key(*parts: Column) -> Column:
@@ -13,36 +13,79 @@ def _key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
+def _first(pos: str) -> Column:
+    return F.coalesce(F.col(pos), F.lit(0)) == 0
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    """One row per indicator, and one for every parent without any.
+
+    A parent's name stands only on the first row below it, so long names are not
+    repeated. The outer explodes evaluate each array once and keep empty parents.
+    """
+    slug = F.col("subject.slug")
+    strands = docs.select(
+        slug.alias("slug"),
+        F.col("subject.name").alias("subject_name"),
+        F.posexplode_outer("strands").alias("strand_pos", "strand"),
+    )
+    subs = strands.select(
+        "slug",
+        F.when(_first("strand_pos"), F.col("subject_name")).alias("subject_name"),
+        "strand_pos",
+        _key(F.col("slug"), F.col("strand_pos").cast("string"), F.col("strand.name")).alias("strand_id"),
+        F.col("strand.name").alias("strand_name"),
+        F.posexplode_outer("strand.subStrands").alias("sub_pos", "sub"),
+    )
+    leaves = subs.select(
+        "slug",
+        F.when(_first("sub_pos"), F.col("subject_name")).alias("subject_name"),
+        "strand_pos",
+        "strand_id",
+        F.when(_first("sub_pos"), F.col("strand_name")).alias("strand_name"),
+        "sub_pos",
+        _key(F.col("strand_id"), F.col("sub_pos").cast("string"), F.col("sub.name")).alias("sub_id"),
+        F.col("sub.name").alias("sub_name"),
+        F.posexplode_outer("sub.indicators").alias("ind_pos", "ind"),
+    )
+    top = _first("ind_pos")
+    return leaves.select(
+        "slug",
+        F.when(top, F.col("subject_name")).alias("subject_name"),
+        "strand_pos",
+        "strand_id",
+        F.when(top, F.col("strand_name")).alias("strand_name"),
+        "sub_pos",
+        "sub_id",
+        F.when(top, F.col("sub_name")).alias("sub_name"),
+        "ind_pos",
+        "ind",
+    )
+
+
 def normalize_tree(docs: DataFrame) -> dict[str, DataFrame]:
     """Split nested subject documents into the four tables.
 
     Every child carries its parent's key. A key hashes the path of slug,
-    ordinals and names, so siblings with equal names stay distinct. Narrow
-    throughout: each table is one scan with explodes and no shuffle.
+    ordinals and names, so siblings with equal names stay distinct. The
+    documents are read and exploded once, into a table in the shared folder;
+    each level is a narrow selection of its rows, without a shuffle.
     """
-    slug = F.col("subject.slug")
-    subjects = docs.select(
-        _key(slug).alias("id"), F.col("subject.name").alias("name"), slug.alias("slug")
+    rows = written(_exploded(docs), "tree")
+    on_sub = _first("ind_pos")
+    on_strand = on_sub & _first("sub_pos")
+    subjects = rows.where(on_strand & _first("strand_pos")).select(
+        _key(F.col("slug")).alias("id"), F.col("subject_name").alias("name"), "slug"
     )
-    at_strand = each(docs, [slug.alias("slug")], "strands", "strand_pos", "strand").withColumn(
-        "strand_id", _key(F.col("slug"), F.col("strand_pos").cast("string"), F.col("strand.name"))
-    )
-    strands = at_strand.select(
+    strands = rows.where(F.col("strand_pos").isNotNull() & on_strand).select(
         F.col("strand_id").alias("id"),
         _key(F.col("slug")).alias("subject_id"),
-        F.col("strand.name").alias("name"),
-    )
-    at_sub = each(
-        at_strand, ["slug", "strand_pos", "strand_id"], "strand.subStrands", "sub_pos", "sub"
-    ).withColumn(
-        "sub_id", _key(F.col("strand_id"), F.col("sub_pos").cast("string"), F.col("sub.name"))
+        F.col("strand_name").alias("name"),
     )
-    sub_strands = at_sub.select(
-        F.col("sub_id").alias("id"), "strand_id", F.col("sub.name").alias("name")
+    sub_strands = rows.where(F.col("sub_pos").isNotNull() & on_sub).select(
+        F.col("sub_id").alias("id"), "strand_id", F.col("sub_name").alias("name")
     )
-    indicators = each(
-        at_sub, ["slug", "strand_pos", "sub_pos", "sub_id"], "sub.indicators", "ind_pos", "ind"
-    ).select(
+    indicators = rows.where(F.col("ind_pos").isNotNull()).select(
         _key(F.col("sub_id"), F.col("ind_pos").cast("string"), F.col("ind.code")).alias("id"),
         F.col("sub_id").alias("sub_strand_id"),
         F.col("ind.code").alias("code"),
@@ -93,21 +136,38 @@ def insert_new_subtrees(
 
     An existing slug skips its whole subtree, and of several new documents
     with one slug the first by ``order`` is taken. Winners are found on two
-    narrow columns; ``order`` must be unique per document. Repeated indicator
-    codes keep their first occurrence, and codes of ``existing_indicators``
-    are not inserted again.
+    narrow columns and written once; ``order`` must be unique per document.
+    Repeated indicator codes keep their first occurrence, and codes of
+    ``existing_indicators`` are not inserted again. Documents without a slug
+    and indicators without a code break the keys: they are left out of the
+    tables and listed under ``rejected``.
     """
-    winners = (
-        docs.groupBy(F.col("subject.slug").alias("slug"))
+    keyed = F.col("subject.slug").isNotNull()
+    winners = written(
+        docs.where(keyed)
+        .groupBy(F.col("subject.slug").alias("slug"))
         .agg(F.min(order).alias(order))
-        .join(existing_subjects.select("slug").distinct(), "slug", "left_anti")
+        .join(existing_subjects.select("slug").distinct(), "slug", "left_anti"),
+        "winners",
     )
     tables = normalize_tree(docs.join(winners, order, "left_semi"))
-    codes = first_per_key(tables["indicators"], ["code"], ["source_order"])
+    coded = tables["indicators"].where(F.col("code").isNotNull())
+    codes = first_per_key(coded, ["code"], ["source_order"])
     if existing_indicators is not None:
         codes = codes.join(existing_indicators.select("code").distinct(), "code", "left_anti")
-    tables["indicators"] = codes
-    return tables
+    rejected = (
+        tables["indicators"]
+        .where(F.col("code").isNull())
+        .select(F.lit("indicators").alias("level"), F.col("source_order.slug").alias("parent"), F.col("text").alias("name"))
+        .unionByName(
+            docs.where(~keyed).select(
+                F.lit("subjects").alias("level"),
+                F.lit(None).cast("string").alias("parent"),
+                F.col("subject.name").alias("name"),
+            )
+        )
+    )
+    return tables | {"indicators": codes, "rejected": rejected}
 
 
 def cascade_delete(tables: dict[str, DataFrame], subject_ids: DataFrame) -> dict[str, DataFrame]:

@@ -7,11 +7,11 @@ the store is the latest row per id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonloom.functions.text import missing, or_default
-
+from lessonloom.schemas import LESSON_LOG
 
 
 def save_event(valid: DataFrame, id_from: list[str], ts: Column, seq: Column) -> DataFrame:
@@ -51,6 +51,11 @@ def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log; a delete has nulls for the lesson's columns."""
+    return spark.read.schema(LESSON_LOG).parquet(path)
+
+
 def latest_per_id(log: DataFrame) -> DataFrame:
     """The latest log row of each id by ``(ts, seq)``, deletes included.
 

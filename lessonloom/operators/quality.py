@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.text import missing
+from lessonloom.schemas import MALFORMED
+
+NOT_JSON = "Request is not valid JSON"
 
 
 def with_missing(df: DataFrame, required: list[str]) -> DataFrame:
@@ -17,11 +20,18 @@ def with_missing(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def with_status(df: DataFrame, required: list[str], listed: bool = True) -> DataFrame:
-    """Adds ``valid`` and ``error``; the error names the fields when ``listed``."""
+    """Adds ``valid`` and ``error``; the error names the fields when ``listed``.
+
+    A line that was no JSON at all (``MALFORMED`` holds its text) has an error of its own.
+    """
     text = F.lit("Missing required fields")
     if listed:
         text = F.concat(text, F.lit(": "), F.array_join("missing_fields", ", "))
     checked = with_missing(df, required).withColumn("valid", F.size("missing_fields") == 0)
+    if MALFORMED in df.columns:
+        broken = F.col(MALFORMED).isNotNull()
+        text = F.when(broken, NOT_JSON).otherwise(text)
+        checked = checked.withColumn("valid", F.col("valid") & ~broken)
     return checked.withColumn("error", F.when(~F.col("valid"), text)).drop("missing_fields")
 
 
@@ -53,47 +63,53 @@ def domain_violations(df: DataFrame, allowed: dict[str, list[str]]) -> DataFrame
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Number of rows or keys that break each declared constraint.
 
-    Nulls per column, repeated unique keys (nulls may repeat), and children without a parent.
-    Foreign keys are counted per value before the anti join, so a parent with
-    a third of all children adds one row to it.
+    Nulls per column, repeated unique keys (nulls may repeat), and children
+    without a parent. Null counts travel with the grouping of the foreign key
+    (of the unique key, where there is none), which combines before its
+    shuffle; a table is read once for that, once as a parent, and the
+    indicators once for their code.
     """
 
-    def nulls(level: str) -> DataFrame:
-        df = tables[level]
-        counted = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
-        pairs = F.array(
-            *(
-                F.struct(F.lit(f"{level}.{c} not null").alias("check"), F.col(c).alias("violations"))
-                for c in df.columns
+    def listed(df: DataFrame, level: str, *others: str) -> DataFrame:
+        pairs = [(f"{level}.{c} not null", f"_null_{c}") for c in tables[level].columns]
+        pairs += [(name, f"_check_{i}") for i, name in enumerate(others)]
+        return df.select(
+            F.inline(
+                F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(c, F.lit(0).cast("bigint")).alias("violations")) for name, c in pairs))
             )
         )
-        return counted.select(F.inline(pairs))
-
-    def repeated(level: str, key: str) -> DataFrame:
-        return (
-            tables[level]
-            .where(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where("n > 1")
-            .agg(F.count(F.lit(1)).alias("violations"))
-            .select(F.lit(f"{level}.{key} unique").alias("check"), "violations")
-        )
 
-    def orphans(level: str, key: str, parent: str) -> DataFrame:
-        refs = tables[level].where(F.col(key).isNotNull()).groupBy(key).agg(
-            F.count(F.lit(1)).alias("n")
+    def null_counts(level: str):
+        return [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in tables[level].columns]
+
+    def summed(level: str):
+        return [F.sum(f"_null_{c}").alias(f"_null_{c}") for c in tables[level].columns]
+
+    def nulls_and_repeats(level: str, key: str) -> DataFrame:
+        groups = tables[level].groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *null_counts(level))
+        repeats = F.count_if((F.col("_n") > 1) & F.col(key).isNotNull())
+        return listed(groups.agg(*summed(level), repeats.alias("_check_0")), level, f"{level}.{key} unique")
+
+    def repeats(level: str, key: str) -> DataFrame:
+        groups = tables[level].where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        return groups.agg(F.count_if(F.col("_n") > 1).alias("violations")).select(
+            F.lit(f"{level}.{key} unique").alias("check"), "violations"
         )
-        lost = refs.join(tables[parent].select(F.col("id").alias(key)), key, "left_anti")
-        return lost.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("violations")).select(
-            F.lit(f"{level}.{key} references {parent}").alias("check"), "violations"
+
+    def nulls_and_orphans(level: str, key: str, parent: str) -> DataFrame:
+        refs = tables[level].groupBy(F.col(key).alias("_ref")).agg(F.count(F.lit(1)).alias("_n"), *null_counts(level))
+        parents = tables[parent].select(F.col("id").alias("_parent")).distinct()
+        lost = F.when(F.col("_ref").isNotNull() & F.col("_parent").isNull(), F.col("_n"))
+        found = refs.join(parents, refs["_ref"] == parents["_parent"], "left")
+        return listed(
+            found.agg(*summed(level), F.sum(lost).alias("_check_0")), level, f"{level}.{key} references {parent}"
         )
 
-    parts = [nulls(level) for level in ("subjects", "strands", "sub_strands", "indicators")]
-    parts += [repeated("subjects", "slug"), repeated("indicators", "code")]
-    parts += [
-        orphans("strands", "subject_id", "subjects"),
-        orphans("sub_strands", "strand_id", "strands"),
-        orphans("indicators", "sub_strand_id", "sub_strands"),
+    parts = [
+        nulls_and_repeats("subjects", "slug"),
+        nulls_and_orphans("strands", "subject_id", "subjects"),
+        nulls_and_orphans("sub_strands", "strand_id", "strands"),
+        nulls_and_orphans("indicators", "sub_strand_id", "sub_strands"),
+        repeats("indicators", "code"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -34,12 +34,12 @@ def _without_first(col: Column, mark: str) -> Column:
 def section_responses(
     df: DataFrame, text: str = "text", markers: tuple[str, str, str] = MARKERS
 ) -> DataFrame:
-    """Adds the three sections, ``status`` (ok / failed) and ``error``.
+    """Adds the three sections, ``status`` (ok / failed), ``error`` and ``rawText``.
 
     What stands before the visual marker is the notes, less the first teacher
     marker; the reading follows the first reading marker after it. Text behind
-    a repeated marker is dropped. One empty section fails the response. A
-    narrow projection: no shuffle, in batch or in a stream.
+    a repeated marker is dropped. One empty section fails the response, whose
+    text stays in ``rawText`` so that it can be run again. A narrow projection: no shuffle, in batch or in a stream.
     """
     teacher, visual, reading = markers
     body = F.coalesce(F.col(text), F.lit(""))
@@ -52,13 +52,14 @@ def section_responses(
         "studentReading": trimmed(F.split_part(rest, F.lit(reading), F.lit(2))),
     }
     others = [c for c in df.columns if c != text]
-    cut = df.select(*others, *(col.alias(name) for name, col in found.items()))
+    cut = df.select(*others, F.col(text).alias("rawText"), *(col.alias(name) for name, col in found.items()))
     ok = (F.col(SECTIONS[0]) != "") & (F.col(SECTIONS[1]) != "") & (F.col(SECTIONS[2]) != "")
     return cut.select(
         *others,
         *(F.when(ok, F.col(c)).alias(c) for c in SECTIONS),
         F.when(ok, "ok").otherwise("failed").alias("status"),
         F.when(~ok, PARSE_ERROR).alias("error"),
+        F.when(~ok, F.col("rawText")).alias("rawText"),
     )
 
 
@@ -77,20 +78,26 @@ def with_citation(df: DataFrame, code: str = "indicatorCode") -> DataFrame:
     return df.withColumn("citations", F.array(citation(F.col(code))))
 
 
-def ground(requests: DataFrame, contexts: DataFrame) -> DataFrame:
+def ground(requests: DataFrame, contexts: DataFrame, order: str = "position") -> DataFrame:
     """Adds ``foundryContext`` where a context exists, and ``grounded``.
 
-    ``contexts``: code, context. A request without one goes on ungrounded, and
-    an empty context counts as none. Of several contexts for a code the
-    smallest is taken, so requests never multiply.
+    ``contexts``: code, context and ``order``, which tells the contexts of a code
+    apart. A request without one goes on ungrounded, and an empty context counts
+    as none. Of several the first by ``order`` is taken, so requests never
+    multiply. It is found on code and ``order`` alone; the texts are joined to
+    the requests once, without being sorted or combined before.
     """
-    usable = (
-        contexts.where(F.col("context") != "")
-        .groupBy(F.col("code").alias("_code"))
-        .agg(F.min("context").alias("foundryContext"))
-    )
-    matched = left_match(requests, usable, "indicatorCode", "_code")
-    return matched.withColumn("grounded", F.col("foundryContext").isNotNull())
+    usable = contexts.where(F.col("context") != "")
+    first = usable.groupBy(F.col("code").alias("_code")).agg(F.min(order).alias("_at"))
+    placed = left_match(requests, first, "indicatorCode", "_code")
+
+    def pair(code: str, at: str) -> Column:
+        return F.concat_ws("\u001f", code, F.col(at).cast("string"))
+
+    texts = usable.select(pair("code", order).alias("_pair_key"), F.col("context").alias("foundryContext"))
+    wanted = F.when(F.col("_at").isNotNull(), pair("indicatorCode", "_at"))
+    matched = left_match(placed.withColumn("_pair", wanted), texts, "_pair", "_pair_key")
+    return matched.drop("_at", "_pair").withColumn("grounded", F.col("foundryContext").isNotNull())
 
 
 def assemble(requests: DataFrame, sections: DataFrame, key: str = "request_id") -> DataFrame:

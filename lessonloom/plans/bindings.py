@@ -340,8 +340,8 @@ def contexts(documents: DataFrame) -> DataFrame:
     """Source material of every document, and an empty one for every third code, as
     where the retrieval found nothing."""
     doc = F.col("doc_id")
-    found = F.struct(_text("P", doc).alias("code"), F.col("text").alias("context"))
-    nothing = F.struct(_text("P", doc * 3).alias("code"), F.lit("").alias("context"))
+    found = F.struct(_text("P", doc).alias("code"), F.col("text").alias("context"), doc.alias("position"))
+    nothing = F.struct(_text("P", doc * 3).alias("code"), F.lit("").alias("context"), doc.alias("position"))
     return documents.select(F.inline(F.array(found, nothing)))
 
 

@@ -17,6 +17,8 @@ from lessonloom.schemas import (
     GENERATE_REQUIRED,
     LESSON_REQUIRED,
 )
+from lessonloom.session import fresh_dir
+from lessonloom.sources.json_docs import read_requests
 from lessonloom.sources.tables import read_table, read_texts
 
 SUBJECT, GRADE, LESSON_ID = "purchase", "B8", 42
@@ -59,6 +61,30 @@ def lesson_delete(spark, folder) -> DataFrame:
     return lessons.lesson_state(log)
 
 
+def lesson_store(spark, folder) -> DataFrame:
+    """Saves appended to the stored log, delivered once more, some deleted; read back as state."""
+    path = fresh_dir(spark, "lessons")
+    saved = lesson_append(spark, folder)
+    lessons.append_log(saved, path)
+    lessons.append_log(saved, path)
+    unwanted = read_table(spark, folder, "part").where(F.col("p_partkey") % 9 == 0).select(
+        F.sha2(F.col("p_partkey").cast("string"), 256).alias("id"), F.col("p_partkey").alias("seq")
+    )
+    deleted, _ = lessons.delete_event(unwanted, F.expr(f"{NOON} + INTERVAL 1 HOUR"), F.col("seq"))
+    lessons.append_log(deleted, path)
+    return lessons.lesson_state(lessons.read_log(spark, path))
+
+
+def json_requests(spark, folder) -> DataFrame:
+    """Request bodies as JSON lines, some of them no JSON, written, read back and checked."""
+    path = fresh_dir(spark, "requests")
+    requests = b.requests(read_table(spark, folder, "part"))
+    body = F.to_json(F.struct(*(c for c in requests.columns if c != "request_id")))
+    broken = F.concat(F.lit("request "), F.col("request_id").cast("string"), F.lit(" {"))
+    requests.select(F.when(F.col("request_id") % 17 == 3, broken).otherwise(body).alias("value")).write.text(path)
+    return quality.with_status(read_requests(spark, path), GENERATE_REQUIRED)
+
+
 def lesson_dates(spark, folder) -> DataFrame:
     orders = read_table(spark, folder, "orders")
     return orders.select(
@@ -218,6 +244,37 @@ FROM minutes
 """
 
 
+def _append_sql(op: str, more: str = "") -> str:
+    return f"""WITH {b.BODIES_SQL}
+        SELECT sha256(CAST(request_id AS VARCHAR)) AS id, {op}
+          TIMESTAMP '2024-06-01 12:00:00' AS ts, request_id AS seq,
+          "indicatorCode" AS indicator_code, subject, grade, strand,
+          CASE WHEN "subStrand" = '' THEN strand ELSE "subStrand" END AS sub_strand,
+          "teacherNotes" AS teacher_notes, "visualPrompts" AS visual_prompts,
+          "studentReading" AS student_reading
+        FROM bodies
+        WHERE "indicatorCode" <> '' AND subject <> '' AND grade <> '' AND strand <> ''
+          AND "teacherNotes" <> '' AND "visualPrompts" <> '' AND "studentReading" <> ''{more}"""
+
+
+def _json_requests_sql() -> str:
+    fields = [
+        "indicatorCode", "indicatorText", "subject", "grade", "strand", "subStrand", "bloomsLevel",
+        "duration", "classSize", "difficultyLevel", "language",
+    ]
+    read = ", ".join(f"""CASE WHEN NOT broken THEN "{f}" END AS "{f}" """ for f in fields)
+    return f"""WITH {b.REQUESTS_SQL},
+        lines AS (SELECT *, request_id % 17 = 3 AS broken FROM requests),
+        missed AS (
+          SELECT *, list_filter([{", ".join(_missing(c) for c in GENERATE_REQUIRED)}], lambda x: x IS NOT NULL) AS m
+          FROM lines)
+        SELECT {read}, CASE WHEN broken THEN 'request ' || request_id || ' {{' END AS malformed,
+          NOT broken AND len(m) = 0 AS valid,
+          CASE WHEN broken THEN 'Request is not valid JSON'
+            WHEN len(m) > 0 THEN 'Missing required fields: ' || array_to_string(m, ', ') END AS error
+        FROM missed"""
+
+
 QUERIES = {
     "lessons_list": _lessons(lessons.list_lessons),
     "lessons_filter": _lessons(lambda s: lessons.list_lessons(s, SUBJECT, GRADE)),
@@ -228,6 +285,8 @@ QUERIES = {
     "lesson_dates": lesson_dates,
     "lesson_append": lesson_append,
     "lesson_delete": lesson_delete,
+    "lesson_store": lesson_store,
+    "json_requests": json_requests,
     "lesson_state": lambda spark, folder: lessons.lesson_state(
         b.change_log(_events(spark, folder))
     ),
@@ -295,16 +354,9 @@ ORACLES = {
           replace(strftime(o_orderdate, '%-d %b %Y'), 'Sep ', 'Sept ') AS short_date,
           strftime(o_orderdate, '%-d %B %Y') AS long_date
         FROM orders""",
-    "lesson_append": f"""WITH {b.BODIES_SQL}
-        SELECT sha256(CAST(request_id AS VARCHAR)) AS id, 'save' AS op,
-          TIMESTAMP '2024-06-01 12:00:00' AS ts, request_id AS seq,
-          "indicatorCode" AS indicator_code, subject, grade, strand,
-          CASE WHEN "subStrand" = '' THEN strand ELSE "subStrand" END AS sub_strand,
-          "teacherNotes" AS teacher_notes, "visualPrompts" AS visual_prompts,
-          "studentReading" AS student_reading
-        FROM bodies
-        WHERE "indicatorCode" <> '' AND subject <> '' AND grade <> '' AND strand <> ''
-          AND "teacherNotes" <> '' AND "visualPrompts" <> '' AND "studentReading" <> ''""",
+    "lesson_append": _append_sql("'save' AS op,"),
+    "lesson_store": _append_sql("", " AND request_id % 9 <> 0"),
+    "json_requests": _json_requests_sql(),
     "lesson_delete": """SELECT event_id AS id, ts, event_id AS seq, event_type AS subject
         FROM events WHERE event_type <> 'error'""",
     "lesson_state": f"""WITH {b.LOG_SQL}

@@ -3,34 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lessonloom.plans import bindings as b
 from lessonloom.plans.lesson_queries import SECTIONS_SQL, ORACLES as LESSON_ORACLES
 from lessonloom.schemas import GENERATE_REQUIRED
 from lessonloom.session import fresh_dir
-from lessonloom.sources.tables import stream_table
+from lessonloom.sources.tables import read_table, stream_table
 from lessonloom.streaming import jobs
 
 
+# The log arrives in this many parts, and the second of them once more at the end.
+PARTS = 4
+
+
 def saved_count(spark, folder) -> DataFrame:
+    """Five micro-batches over restarts of the query, one of them a re-delivery."""
     home = fresh_dir(spark, "count")
-    log = b.change_log(stream_table(spark, folder, "events"))
-    jobs.drain(
-        [jobs.stream_saved_count(log, f"{home}/state", f"{home}/count", f"{home}/checkpoint")]
-    )
-    return jobs.live_count(spark, f"{home}/count")
+    schema = b.change_log(read_table(spark, folder, "events")).schema
+    for part in [*range(PARTS), 1]:
+        events = read_table(spark, folder, "events").where(F.col("event_id") % PARTS == part)
+        b.change_log(events).write.mode("append").parquet(f"{home}/log")
+        log = spark.readStream.schema(schema).parquet(f"{home}/log")
+        jobs.drain([jobs.stream_saved_count(log, f"{home}/out", f"{home}/checkpoint")])
+    return jobs.live_count(spark, f"{home}/out")
 
 
 def validate(spark, folder) -> DataFrame:
     home = fresh_dir(spark, "validate")
     requests = b.requests(stream_table(spark, folder, "part"))
-    good, bad = f"{home}/good", f"{home}/bad"
     jobs.drain(
-        jobs.stream_validate(requests, GENERATE_REQUIRED, good, bad, f"{home}/checkpoint")
+        [jobs.stream_validate(requests, GENERATE_REQUIRED, f"{home}/out", f"{home}/checkpoint")]
     )
     columns = ", ".join(f"{name} {kind}" for name, kind in requests.dtypes)
-    quarantined = spark.read.schema(columns + ", error STRING").parquet(bad)
-    accepted = spark.read.schema(columns).parquet(good)
+    accepted, quarantined = jobs.read_validated(spark, f"{home}/out", columns)
     return accepted.selectExpr("request_id", "true AS valid", "CAST(NULL AS STRING) AS error").unionByName(
         quarantined.selectExpr("request_id", "false AS valid", "error")
     )
@@ -42,7 +48,7 @@ def sections(spark, folder) -> DataFrame:
     jobs.drain([jobs.stream_sections(responses, f"{home}/out", f"{home}/checkpoint")])
     return spark.read.schema(
         "doc_id BIGINT, teacherNotes STRING, visualPrompts STRING, studentReading STRING, "
-        "status STRING, error STRING"
+        "status STRING, error STRING, rawText STRING"
     ).parquet(f"{home}/out")
 
 
@@ -65,6 +71,7 @@ ORACLES = {
           CASE WHEN ok THEN visual END AS "visualPrompts",
           CASE WHEN ok THEN reading END AS "studentReading",
           CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status,
-          CASE WHEN NOT ok THEN 'Failed to parse lesson sections from response' END AS error
-        FROM sectioned""",
+          CASE WHEN NOT ok THEN 'Failed to parse lesson sections from response' END AS error,
+          CASE WHEN NOT ok THEN text END AS "rawText"
+        FROM sectioned JOIN responses USING (doc_id)""",
 }

@@ -306,8 +306,9 @@ ORACLES = {
           CASE WHEN ok THEN visual END AS "visualPrompts",
           CASE WHEN ok THEN reading END AS "studentReading",
           CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status,
-          CASE WHEN NOT ok THEN '{sections.PARSE_ERROR}' END AS error
-        FROM sectioned""",
+          CASE WHEN NOT ok THEN '{sections.PARSE_ERROR}' END AS error,
+          CASE WHEN NOT ok THEN text END AS "rawText"
+        FROM sectioned JOIN responses USING (doc_id)""",
     "activity_parse": f"""WITH {b.ACTIVITIES_SQL}
         SELECT c.doc_id, CASE WHEN o.j IS NULL THEN 'failed' ELSE 'ok' END AS status,
           CAST(json_array_length(o.j, '$.mcqs') AS INTEGER) AS mcqs,

@@ -11,6 +11,9 @@ from lessonloom.functions.lookups import lookup
 from lessonloom.operators import ingest, quality, tree
 from lessonloom.operators.prompts import BLOOM_DEFAULT, BLOOM_EXPECTATIONS, bloom_expectation
 from lessonloom.plans import bindings as b
+from lessonloom.session import fresh_dir
+from lessonloom.sources import store
+from lessonloom.sources.json_docs import read_standards
 from lessonloom.sources.tables import read_table, read_texts
 
 SLUG, GRADE, STRAND, TERM = "asia", "1-URGENT", "NATION_7", "Urgent"
@@ -80,15 +83,24 @@ def bloom_lookup(spark, folder) -> DataFrame:
 
 def tree_normalize(spark, folder) -> DataFrame:
     """Four tables of one corpus of nested documents, each level in turn."""
+    return _normalized(_corpus(spark, folder))
+
+
+def json_standards(spark, folder) -> DataFrame:
+    """The same corpus as JSON documents, one per line, written and read back."""
+    path = fresh_dir(spark, "standards")
+    _corpus(spark, folder).select("subject", "strands").write.json(path)
+    return _normalized(read_standards(spark, path, multi_line=False))
+
+
+def _corpus(spark, folder) -> DataFrame:
     docs = b.subject_docs(read_texts(spark, folder, "documents", "doc_id"))
-    keyed = docs.withColumn(
-        "subject",
-        F.struct(
-            F.col("subject.name").alias("name"),
-            F.concat_ws("-", "subject.slug", F.col("doc_id").cast("string")).alias("slug"),
-        ),
-    )
-    t = ingest.normalize_tree(keyed)
+    slug = F.concat_ws("-", "subject.slug", F.col("doc_id").cast("string"))
+    return docs.withColumn("subject", F.struct(F.col("subject.name").alias("name"), slug.alias("slug")))
+
+
+def _normalized(docs: DataFrame) -> DataFrame:
+    t = ingest.normalize_tree(docs)
     none = F.lit(None).cast("string")
     levels = {
         "subjects": t["subjects"].select("id", none.alias("parent_id"), F.col("slug").alias("name")),
@@ -156,6 +168,34 @@ SELECT 'indicators', code || '|' || clause FROM (
   FROM d_ind WHERE doc_id IN (SELECT doc_id FROM winners)) WHERE rn = 1
 """
 
+
+def load_tree(spark, folder) -> DataFrame:
+    """Two stored loads: all but one language, then everything, of which only new
+    subjects and new codes are added."""
+    home = fresh_dir(spark, "stored")
+    docs = b.subject_docs(read_texts(spark, folder, "documents", "doc_id"))
+    store.load_standards(spark, docs.where(~F.col("subject.slug").startswith("de")), home, "doc_id", "first")
+    store.load_standards(spark, docs, home, "doc_id", "second")
+    t = store.read_tree(spark, home)
+    levels = {level: t[level].select("name") for level in ("subjects", "strands", "sub_strands")}
+    return _levels(levels | {"indicators": t["indicators"].select(F.concat_ws("|", "code", "text").alias("name"))}, ["name"])
+
+
+_LOADED_SQL = f"""
+WITH {b.SUBJECT_DOCS_SQL},
+winners AS (SELECT min(doc_id) AS doc_id, lang = 'de' AS second FROM documents GROUP BY lang, source)
+SELECT 'subjects' AS level, 'Subject ' || lang || '-' || source AS name FROM documents
+WHERE doc_id IN (SELECT doc_id FROM winners)
+UNION ALL
+SELECT 'strands', strand FROM d_strand WHERE doc_id IN (SELECT doc_id FROM winners)
+UNION ALL
+SELECT 'sub_strands', sub FROM d_sub WHERE doc_id IN (SELECT doc_id FROM winners)
+UNION ALL
+SELECT 'indicators', code || '|' || clause FROM (
+  SELECT *, row_number() OVER (PARTITION BY code ORDER BY second, slug, sp, bp, ip) AS rn
+  FROM d_ind JOIN winners USING (doc_id)) WHERE rn = 1
+"""
+
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
 
@@ -252,7 +292,9 @@ QUERIES = {
     "request_rows": request_rows,
     "bloom_expectation": bloom_lookup,
     "tree_normalize": tree_normalize,
+    "json_standards": json_standards,
     "insert_subtrees": insert_subtrees,
+    "load_tree": load_tree,
     "dedupe_first": dedupe_first,
     "insert_ignore": insert_ignore,
     "cascade_delete": cascade_delete,
@@ -306,7 +348,9 @@ ORACLES = {
           ELSE '{BLOOM_DEFAULT.replace("'", "''")}' END AS expectation
         FROM requests""",
     "tree_normalize": _NORMALIZE_SQL,
+    "json_standards": _NORMALIZE_SQL,
     "insert_subtrees": _SUBTREES_SQL,
+    "load_tree": _LOADED_SQL,
     "dedupe_first": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, {_LINE_RANK} AS rn FROM lineitem)
         WHERE rn = 1""",
     "insert_ignore": f"""SELECT * EXCLUDE (rn) FROM (

@@ -9,6 +9,15 @@ SUB_STRANDS = "id STRING, strand_id STRING, name STRING"
 INDICATORS = (
     "id STRING, sub_strand_id STRING, code STRING, text STRING, blooms_level STRING, grade STRING"
 )
+REJECTED = "level STRING, parent STRING, name STRING"
+LESSON_LOG = (
+    "id STRING, op STRING, ts TIMESTAMP_NTZ, seq BIGINT, indicator_code STRING, subject STRING, "
+    "grade STRING, strand STRING, sub_strand STRING, teacher_notes STRING, visual_prompts STRING, "
+    "student_reading STRING"
+)
+
+# Column that keeps a request line which is not JSON.
+MALFORMED = "malformed"
 
 # Nested documents.
 STANDARDS_DOC = (

@@ -58,6 +58,11 @@ def scratch_scope() -> Iterator[list[tuple[str, str]]]:
         _open_scopes[:] = [scope for scope in _open_scopes if scope is not made]
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

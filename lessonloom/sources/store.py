@@ -1,13 +1,19 @@
-"""The stored standards tree: four Parquet tables, one partition per load."""
+"""The stored standards tree: four Parquet tables, one partition per load and attempt.
+
+A load is visible once its marker in ``loads`` is written, which comes last. What
+an attempt that broke off left behind is never read.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonloom.operators.ingest import insert_new_subtrees
-from lessonloom.schemas import INDICATORS, STRANDS, SUB_STRANDS, SUBJECTS
+from lessonloom.schemas import INDICATORS, REJECTED, STRANDS, SUB_STRANDS, SUBJECTS
 
 LEVELS = {
     "subjects": SUBJECTS,
@@ -17,19 +23,33 @@ LEVELS = {
 }
 
 
-def _read(spark: SparkSession, folder: str, level: str) -> DataFrame:
-    schema = f"{LEVELS[level]}, load STRING"
+LOADS = "attempt STRING, load STRING"
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/{level}")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def _read(spark: SparkSession, folder: str, level: str) -> DataFrame:
+    """Rows of the committed attempt of every load."""
+    rows = _stored(spark, f"{folder}/{level}", f"{LEVELS[level]}, load STRING, attempt STRING")
+    return rows.join(_stored(spark, f"{folder}/loads", LOADS), ["load", "attempt"], "left_semi")
+
+
 def read_tree(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The four tables over all loads."""
-    return {level: _read(spark, folder, level).drop("load") for level in LEVELS}
+    """The four tables over all committed loads."""
+    return {level: _read(spark, folder, level).drop("load", "attempt") for level in LEVELS}
+
+
+def read_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """What committed loads left out for want of a key: ``level, parent, name, load``."""
+    rows = _stored(spark, f"{folder}/rejected", f"{REJECTED}, load STRING, attempt STRING")
+    return rows.join(_stored(spark, f"{folder}/loads", LOADS), ["load", "attempt"], "left_semi").drop("attempt")
 
 
 def load_standards(
@@ -42,9 +62,10 @@ def load_standards(
 ) -> None:
     """Add the new subjects among ``docs`` to the stored tree.
 
-    ``load`` names the batch. Its output goes to folders of its own and is
-    checked against the other loads only, so repeating a load that broke off
-    writes it anew and whole instead of skipping the subjects it got to.
+    ``load`` names the batch. It is checked against the other committed loads
+    only, writes to a folder of this attempt, and becomes visible with its marker
+    at the end. Repeating it replaces what it wrote before; a load that broke off
+    hides nothing from the loads after it. One load runs at a time.
     """
     others = {
         level: _read(spark, folder, level).where(F.col("load") != load)
@@ -54,5 +75,8 @@ def load_standards(
     stamp = F.current_timestamp() if created_at is None else created_at
     new["subjects"] = new["subjects"].withColumn("created_at", stamp.cast("timestamp_ntz"))
     new["indicators"] = new["indicators"].drop("source_order")
+    attempt = uuid.uuid4().hex
     for level, df in new.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{level}/load={load}")
+        df.write.parquet(f"{folder}/{level}/load={load}/attempt={attempt}")
+    marker = spark.range(1).select(F.lit(attempt).alias("attempt"))
+    marker.write.mode("overwrite").parquet(f"{folder}/loads/load={load}")

@@ -13,61 +13,68 @@ from pyspark.sql.streaming import StreamingQuery
 from lessonloom.operators.lessons import latest_per_id
 from lessonloom.operators.quality import with_status
 from lessonloom.operators.sections import section_responses
+from lessonloom.session import drop_dir, path_exists
 
-# Most bytes of a batch's ids that are broadcast to the state scan; measured before,
-# with an allowance per id for the hash table.
-MAX_BROADCAST_BYTES = 64 << 20
-BYTES_PER_ENTRY = 64
-# Batches between full snapshots of the id state.
-SNAPSHOT_EVERY = 50
+# Buckets of the id state, fixed for the life of a state folder: choose as many as keep
+# a bucket small enough for one task.
+BUCKETS = 64
 STATE_SCHEMA = "id STRING, op STRING, ts TIMESTAMP_NTZ, seq BIGINT"
+# One row per bucket: the batch that wrote it last, and its number of existing lessons.
+INDEX_SCHEMA = "bucket INT, version BIGINT, lessons BIGINT"
 
 
 def _trigger(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def _state_before(spark: SparkSession, path: str, epoch: int, snapshot_every: int) -> DataFrame:
-    """Latest known row per id before ``epoch``, possibly with older rows of the same id.
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
 
-    The state is a snapshot written every ``snapshot_every`` batches plus the
-    changed ids of each later batch.
-    """
-    if epoch == 0:
+
+def _index(spark: SparkSession, path: str, epoch: int) -> dict[int, tuple[int, int]]:
+    """Version and lesson count of each bucket after batch ``epoch``; at most one entry
+    per bucket."""
+    if epoch < 0:
+        return {}
+    rows = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index/epoch={epoch}")
+    entries = rows.agg(F.collect_list(F.struct("bucket", "version", "lessons"))).first()[0]
+    return {r["bucket"]: (r["version"], r["lessons"]) for r in entries}
+
+
+def _bucket_path(path: str, version: int, bucket: int) -> str:
+    return f"{path}/state/epoch={version}/bucket={bucket}"
+
+
+def _read_buckets(spark: SparkSession, path: str, index: dict[int, tuple[int, int]]) -> DataFrame:
+    folders = [_bucket_path(path, version, bucket) for bucket, (version, _) in index.items()]
+    if not folders:
         return spark.createDataFrame([], STATE_SCHEMA)
-    base = (epoch - 1) // snapshot_every * snapshot_every
-    folders = [f"{path}/epoch={e}" for e in range(base, epoch)]
     return spark.read.schema(STATE_SCHEMA).parquet(*folders)
 
 
-def read_state(spark: SparkSession, path: str, epochs: int, snapshot_every: int = SNAPSHOT_EVERY):
-    """Latest row per id after ``epochs`` batches."""
-    return latest_per_id(_state_before(spark, path, epochs, snapshot_every))
+def read_state(spark: SparkSession, path: str, epoch: int) -> DataFrame:
+    """Latest row per id after batch ``epoch``, the last or the one before it."""
+    return _read_buckets(spark, path, _index(spark, path, epoch))
 
 
 def stream_saved_count(
-    log: DataFrame,
-    state_path: str,
-    count_path: str,
-    checkpoint: str,
-    every: str | None = None,
-    snapshot_every: int = SNAPSHOT_EVERY,
+    log: DataFrame, path: str, checkpoint: str, every: str | None = None, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Keep the number of existing lessons up to date from the change log.
 
-    Each batch is reduced to its latest row per id, compared with the state of
-    just those ids, and leaves two outputs named by the batch number: the ids
-    that changed, and the change of the count. A batch that is run again after
-    a failure reads only earlier batches and overwrites its own output, and a
-    re-delivered event changes nothing, so neither counts twice. Deleting an
-    unknown id changes the count by zero.
-
-    State folders from before the last snapshot are not read again and may be
-    deleted by whatever clears old files.
+    The state, one row per id, lies in hash buckets of the id. A batch is reduced
+    to its latest row per id and merged with the buckets of those ids, which are
+    written anew under the batch's number; an index of one row per bucket then
+    names the valid version and the lesson count of each. A batch that is run
+    again after a failure reads only the index before it and overwrites its own
+    output, and a re-delivered event changes nothing, so neither counts twice.
+    Deleting an unknown id changes the count by zero. Versions that the index
+    before the running batch no longer names are deleted.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        _clear(spark, path, epoch)
         # The type of id is the stream's own; the state stores it as text.
         fresh = latest_per_id(
             batch.select(F.col("id").cast("string").alias("id"), "op", "ts", "seq")
@@ -78,79 +85,83 @@ def stream_saved_count(
             fresh.unpersist()
 
     def settle(spark: SparkSession, fresh: DataFrame, epoch: int) -> None:
-        before = _state_before(spark, state_path, epoch, snapshot_every)
-        snapshot = epoch % snapshot_every == 0
-        old = before
-        if not snapshot:
-            # Only the ids of this batch are needed. Where they are few enough to be
-            # sent to every task the state is read without being shuffled.
-            ids = fresh.select("id")
-            size = ids.agg(F.sum(F.octet_length("id") + BYTES_PER_ENTRY)).first()[0] or 0
-            small = size <= MAX_BROADCAST_BYTES
-            old = before.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        index = _index(spark, path, epoch - 1)
+        touched = set(fresh.select(_bucket(buckets)).agg(F.collect_set("bucket")).first()[0])
+        before = _read_buckets(spark, path, {b: v for b, v in index.items() if b in touched})
+        # Ids are one row each on both sides, so buckets are even; their one shuffle
+        # serves the grouping and leaves each bucket in one file.
+        both = before.unionByName(fresh).select(_bucket(buckets), "*").repartition("bucket")
         merged = (
-            old.withColumn("_new", F.lit(False))
-            .unionByName(fresh.withColumn("_new", F.lit(True)))
-            .groupBy("id")
-            .agg(
-                # on a re-delivery the stored row wins the tie: nothing changed
-                F.max_by(
-                    F.struct("op", "ts", "seq", "_new"), F.struct("ts", "seq", ~F.col("_new"))
-                ).alias("now"),
-                F.expr("max_by(op, struct(ts, seq)) FILTER (WHERE NOT _new)").alias("was"),
-            )
-        )
-        change = (F.col("now.op") == "save").cast("int") - (
-            F.coalesce(F.col("was"), F.lit("none")) == "save"
-        ).cast("int")
-        rows = merged.select("id", "now.op", "now.ts", "now.seq", "now._new", change.alias("change"))
-        kept = rows if snapshot else rows.where("_new")
-        here = f"{state_path}/epoch={epoch}"
-        kept.write.mode("overwrite").parquet(here)
-        (
-            spark.read.schema(STATE_SCHEMA + ", change INT")
-            .parquet(here)
-            .agg(F.coalesce(F.sum("change"), F.lit(0).cast("bigint")).alias("change"))
-            .write.mode("overwrite")
-            .parquet(f"{count_path}/epoch={epoch}")
+            both.groupBy("bucket", "id")
+            .agg(F.max_by(F.struct("op", "ts", "seq"), F.struct("ts", "seq")).alias("now"))
+            .select("bucket", "id", "now.*")
         )
+        here = f"{path}/state/epoch={epoch}"
+        if touched:
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(here)
+            counted = (
+                spark.read.schema(STATE_SCHEMA + ", bucket INT")
+                .parquet(here)
+                .groupBy("bucket")
+                .agg(F.count_if(F.col("op") == "save").alias("lessons"))
+                .agg(F.collect_list(F.struct("bucket", "lessons")))
+            ).first()[0]
+            index |= {r["bucket"]: (epoch, r["lessons"]) for r in counted}
+        rows = [(b, *entry) for b, entry in sorted(index.items())]
+        entries = spark.createDataFrame(rows, INDEX_SCHEMA)
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{path}/index/epoch={epoch}")
 
     writer = log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
-def live_count(spark: SparkSession, count_path: str) -> DataFrame:
-    """The count after the last batch: one tiny row per batch, summed."""
-    return (
-        spark.read.schema("change BIGINT, epoch INT")
-        .parquet(count_path)
-        .agg(F.coalesce(F.sum("change"), F.lit(0).cast("bigint")).alias("lessons"))
+def _clear(spark: SparkSession, path: str, epoch: int) -> None:
+    """Delete what batch ``epoch``, even when run again, does not read: the index two
+    batches back and the bucket versions that only it names."""
+    if epoch < 2:
+        return
+    if not path_exists(spark, f"{path}/index/epoch={epoch - 2}"):
+        return
+    valid = _index(spark, path, epoch - 1)
+    for bucket, (version, _) in _index(spark, path, epoch - 2).items():
+        if valid[bucket][0] != version:
+            drop_dir(spark, _bucket_path(path, version, bucket))
+    drop_dir(spark, f"{path}/index/epoch={epoch - 2}")
+
+
+def live_count(spark: SparkSession, path: str) -> DataFrame:
+    """The count after the last batch, from the last index alone (two are kept)."""
+    per_epoch = (
+        spark.read.schema(INDEX_SCHEMA + ", epoch BIGINT")
+        .parquet(f"{path}/index")
+        .groupBy("epoch")
+        .agg(F.sum("lessons").alias("lessons"))
     )
+    last = F.max_by("lessons", "epoch")
+    return per_epoch.agg(F.coalesce(last, F.lit(0).cast("bigint")).alias("lessons"))
 
 
 def stream_validate(
-    requests: DataFrame,
-    required: list[str],
-    good_path: str,
-    bad_path: str,
-    checkpoint: str,
-    every: str | None = None,
-) -> list[StreamingQuery]:
-    """Two file sinks: complete requests, and incomplete ones with their error."""
-    checked = with_status(requests, required)
-    sinks = {
-        good_path: checked.where("valid").drop("valid", "error"),
-        bad_path: checked.where(~F.col("valid")).drop("valid"),
-    }
-    return [
-        _trigger(
-            df.writeStream.format("parquet")
-            .option("path", path)
-            .option("checkpointLocation", f"{checkpoint}/{name}"),
-            every,
-        ).start()
-        for name, (path, df) in zip(("good", "bad"), sinks.items(), strict=True)
-    ]
+    requests: DataFrame, required: list[str], path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Requests with ``valid`` and ``error`` in one sink, partitioned by ``valid``.
+
+    The source is read and checked once; readers of either kind prune to its folder.
+    """
+    writer = (
+        with_status(requests, required)
+        .writeStream.format("parquet")
+        .partitionBy("valid")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+    )
+    return _trigger(writer, every).start()
+
+
+def read_validated(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and quarantined rows with their error; ``schema`` is that of the requests."""
+    rows = spark.read.schema(f"{schema}, error STRING, valid BOOLEAN").parquet(path)
+    return rows.where("valid").drop("valid", "error"), rows.where("NOT valid").drop("valid")
 
 
 def stream_sections(

@@ -146,3 +146,64 @@ def test_stored_loads(spark, seed, tmp_path):
     load_standards(spark, clash, home, "n", "c")  # new subject, but every code is taken
     after = read_tree(spark, home)
     assert after["subjects"].count() == 8 and after["indicators"].count() == 67
+
+
+def test_a_load_that_breaks_off_hides_nothing(spark, seed, tmp_path, monkeypatch):
+    from lessonloom.sources import store
+
+    docs = seed.withColumn("n", F.monotonically_increasing_id())
+    home = str(tmp_path / "tree")
+    whole = store.insert_new_subtrees
+
+    def broken(*args):
+        return whole(*args) | {"sub_strands": spark.range(1).selectExpr("raise_error('stop') AS id")}
+
+    monkeypatch.setattr(store, "insert_new_subtrees", broken)
+    with pytest.raises(Exception, match="stop"):
+        store.load_standards(spark, docs, home, "n", "a")
+    assert all(df.count() == 0 for df in store.read_tree(spark, home).values())
+    monkeypatch.setattr(store, "insert_new_subtrees", whole)
+    store.load_standards(spark, docs, home, "n", "b")
+    sizes = {k: df.count() for k, df in store.read_tree(spark, home).items()}
+    assert sizes == {"subjects": 7, "strands": 22, "sub_strands": 23, "indicators": 67}
+
+
+def test_rows_without_a_key_are_rejected_not_merged(spark, tmp_path):
+    from lessonloom.sources import store
+
+    leaf = "named_struct('code', code, 'text', text, 'bloomsLevel', 'Apply', 'grade', 'B7')"
+    docs = spark.createDataFrame(
+        [(1, "s", None, "x"), (2, "t", None, "y"), (3, None, "c", "z"), (4, "u", "c", "w")],
+        "n INT, slug STRING, code STRING, text STRING",
+    ).selectExpr(
+        "n",
+        "named_struct('name', text, 'slug', slug) AS subject",
+        "array(named_struct('name', 'x', 'subStrands', array(named_struct('name', 'y', 'indicators',"
+        f" array({leaf}))))) AS strands",
+    )
+    home = str(tmp_path / "tree")
+    store.load_standards(spark, docs, home, "n", "a")
+    tree_read = store.read_tree(spark, home)
+    assert [tree_read[k].count() for k in ("subjects", "indicators")] == [3, 1]
+    rejected = {tuple(r) for r in store.read_rejected(spark, home).select("level", "parent", "name").collect()}
+    assert rejected == {("indicators", "s", "x"), ("indicators", "t", "y"), ("subjects", None, "z")}
+
+
+def test_parents_without_children_stay(spark):
+    docs = spark.read.schema(read_schema()).json(
+        spark.createDataFrame(
+            [
+                (json.dumps({"subject": {"name": "A", "slug": "a"}, "strands": []}),),
+                (json.dumps({"subject": {"name": "B", "slug": "b"}, "strands": [
+                    {"name": "S", "subStrands": []},
+                    {"name": "T", "subStrands": [{"name": "U", "indicators": []}, {"name": "V", "indicators": None}]},
+                ]}),),
+            ],
+            "value STRING",
+        ).rdd.map(lambda r: r[0])
+    )
+    tables = ingest.normalize_tree(docs)
+    assert {k: sorted(r.name for r in tables[k].collect()) for k in ("subjects", "strands", "sub_strands")} == {
+        "subjects": ["A", "B"], "strands": ["S", "T"], "sub_strands": ["U", "V"],
+    }
+    assert tables["indicators"].count() == 0

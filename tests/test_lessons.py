@@ -113,7 +113,7 @@ def test_minutes(value):
 def test_lesson_prompt(spark):
     full = ("C1", "Add", "Maths", "B7", "Number", "", None, "", "", "gifted", "Twi")
     df = spark.createDataFrame([full], LESSON_REQUEST)
-    contexts = spark.createDataFrame([("C1", "Facts.")], "code STRING, context STRING")
+    contexts = spark.createDataFrame([("C1", "Facts.", 1)], "code STRING, context STRING, position INT")
     grounded = prompts.render_lesson(sections.ground(df, contexts)).first().prompt
     bare = prompts.render_lesson(sections.ground(df, contexts.where("false"))).first().prompt
     assert "Source material:\nFacts.\n" in grounded and "Source material" not in bare
@@ -134,10 +134,11 @@ def test_grid_and_citation(spark):
 def test_grounding_never_multiplies(spark):
     df = spark.createDataFrame([("C1",), ("C2",)], "indicatorCode STRING")
     contexts = spark.createDataFrame(
-        [("C1", "b"), ("C1", "a"), ("C2", "")], "code STRING, context STRING"
+        [("C1", "b", 1), ("C1", "a", 2), ("C1", "", 0), ("C2", "", 3)],
+        "code STRING, context STRING, position INT",
     )
     got = {r.indicatorCode: (r.foundryContext, r.grounded) for r in sections.ground(df, contexts).collect()}
-    assert got == {"C1": ("a", True), "C2": (None, False)}
+    assert got == {"C1": ("b", True), "C2": (None, False)}
     assert GENERATE_REQUIRED[0] == "indicatorCode"
 
 

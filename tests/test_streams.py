@@ -10,7 +10,7 @@ import pytest
 from lessonloom.operators import lessons, quality, sections
 from lessonloom.plans import bindings as b
 from lessonloom.schemas import LESSON_REQUIRED
-from lessonloom.sources.json_docs import stream_lesson_bodies
+from lessonloom.sources.json_docs import read_lesson_bodies, stream_lesson_bodies
 from lessonloom.sources.tables import read_table
 from lessonloom.streaming import jobs
 
@@ -31,31 +31,43 @@ BATCHES = [
 ]
 
 
-@pytest.mark.parametrize(("snapshot_every", "broadcast"), [(2, jobs.MAX_BROADCAST_BYTES), (50, 0)])
-def test_count_over_batches_and_restarts(spark, tmp_path, monkeypatch, snapshot_every, broadcast):
-    monkeypatch.setattr(jobs, "MAX_BROADCAST_BYTES", broadcast)
-    source, home = str(tmp_path / "log"), str(tmp_path)
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_count_over_batches_and_restarts(spark, tmp_path, buckets):
+    source, home = str(tmp_path / "log"), str(tmp_path / "out")
     seen, counts = [], []
     for rows in BATCHES:
         seen += rows
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(source)
         log = spark.readStream.schema(LOG).parquet(source)
-        jobs.drain(  # a new query each time: state comes from the checkpoint and the tables
-            [
-                jobs.stream_saved_count(
-                    log, f"{home}/state", f"{home}/count", f"{home}/cp",
-                    snapshot_every=snapshot_every,
-                )
-            ]
-        )
-        counts.append(jobs.live_count(spark, f"{home}/count").first().lessons)
+        # a new query each time: state comes from the checkpoint and the tables
+        jobs.drain([jobs.stream_saved_count(log, home, str(tmp_path / "cp"), buckets=buckets)])
+        counts.append(jobs.live_count(spark, home).first().lessons)
         batch = lessons.lesson_state(spark.createDataFrame(seen, LOG))
         assert counts[-1] == batch.count()
     assert counts == [1, 1, 1, 2, 2, 2]
-    final = jobs.read_state(spark, f"{home}/state", len(BATCHES), snapshot_every)
+    final = jobs.read_state(spark, home, len(BATCHES) - 1)
     assert {(r.id, r.op) for r in final.collect()} == {
         ("a", "save"), ("b", "save"), ("c", "delete"), ("zz", "delete"),
     }
+    kept = sorted(p.name for p in (tmp_path / "out" / "index").iterdir())
+    assert kept == [f"epoch={len(BATCHES) - n}" for n in (2, 1)]
+
+
+def test_a_small_batch_reads_and_writes_only_its_buckets(spark, tmp_path, monkeypatch):
+    source, home = str(tmp_path / "log"), str(tmp_path / "out")
+    read = []
+    inner = jobs._read_buckets
+    monkeypatch.setattr(jobs, "_read_buckets", lambda s, p, i: read.append(set(i)) or inner(s, p, i))
+    first = spark.range(500).selectExpr(
+        "CAST(id AS STRING) AS id", "'save' AS op", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "id AS seq"
+    )
+    for rows in (first, spark.createDataFrame([_row("7", "delete", 5, 900)], LOG)):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        log = spark.readStream.schema(LOG).parquet(source)
+        jobs.drain([jobs.stream_saved_count(log, home, str(tmp_path / "cp"), buckets=16)])
+    assert [len(buckets) for buckets in read] == [0, 1]
+    assert len(list((tmp_path / "out" / "state" / "epoch=1").glob("bucket=*"))) == 1
+    assert jobs.live_count(spark, home).first().lessons == 499
 
 
 def test_validation_stream(spark, tmp_path):
@@ -69,16 +81,18 @@ def test_validation_stream(spark, tmp_path):
     for i, body in enumerate(bodies):
         (source / f"{i}.json").write_text(json.dumps(body))
     stream = stream_lesson_bodies(spark, str(source))
-    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    jobs.drain(jobs.stream_validate(stream, LESSON_REQUIRED, good, bad, str(tmp_path / "cp")))
-    batch_good, batch_bad = quality.validate(
-        spark.read.schema(stream.schema).json(str(source)), LESSON_REQUIRED
-    )
-    assert spark.read.parquet(good).collect() == batch_good.collect()
-    assert spark.read.parquet(bad).collect() == batch_bad.collect()
-    assert batch_bad.first().error.endswith(
-        "subject, teacherNotes, visualPrompts, studentReading"
+    (source / "2.json").write_text("no json")
+    jobs.drain([jobs.stream_validate(stream, LESSON_REQUIRED, str(tmp_path / "out"), str(tmp_path / "cp"))])
+    batch_good, batch_bad = quality.validate(read_lesson_bodies(spark, str(source)), LESSON_REQUIRED)
+    good, bad = jobs.read_validated(
+        spark, str(tmp_path / "out"), ", ".join(f"{n} {t}" for n, t in stream.dtypes)
     )
+    assert good.collect() == batch_good.collect()
+    assert set(bad.collect()) == set(batch_bad.collect())
+    assert {(r.error, r.malformed) for r in bad.collect()} == {
+        ("Missing required fields: subject, teacherNotes, visualPrompts, studentReading", None),
+        (quality.NOT_JSON, "no json"),
+    }
 
 
 def test_section_stream(spark, sf, tmp_path):

@@ -42,6 +42,7 @@ def test_trim_and_units(value):
 def test_sections(texts, text, expected):
     row = sections.section_responses(texts([text])).first()
     got = (row.teacherNotes, row.visualPrompts, row.studentReading)
+    assert row.rawText == (text if expected is None else None)
     if expected is None:
         assert row.status == "failed" and row.error == sections.PARSE_ERROR and got == (None,) * 3
     else:
