@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lessonloom.functions.lookups import pick
 
 # What a message must contain for each class, tried in order,
-# and the title shown for it.
+# and the title and detail shown for it.
 KEYWORDS = {
     "quota": ["rate limit", "429", "quota"],
     "network": ["network", "fetch", "failed to fetch"],
@@ -22,6 +22,13 @@ TITLES = {
     "api_key": "API key issue",
     "other": "Generation failed",
 }
+DETAILS = {
+    "quota": "The AI service is busy. Wait a moment and retry — it usually resolves quickly.",
+    "network": "Check your internet connection and retry.",
+    "timeout": "The AI took too long to respond. Retrying almost always fixes this.",
+    "api_key": "There's a problem with the API credentials. Please contact support.",
+    "other": "Something went wrong on our end. Please try again.",
+}
 
 
 def error_class(col: Column) -> Column:
@@ -37,10 +44,11 @@ def error_class(col: Column) -> Column:
 
 
 def error_counts(df: DataFrame, message: str = "message") -> DataFrame:
-    """Messages per class, with its title."""
+    """Messages per class, with its title and detail."""
     return (
         df.select(error_class(F.col(message)).alias("error_class"))
         .groupBy("error_class")
         .agg(F.count(F.lit(1)).alias("messages"))
         .withColumn("title", pick(F.col("error_class"), TITLES, TITLES["other"]))
+        .withColumn("detail", pick(F.col("error_class"), DETAILS, DETAILS["other"]))
     )

@@ -392,7 +392,14 @@ ORACLES = {
         SELECT error_class, count(*) AS messages,
           CASE error_class WHEN 'quota' THEN 'API quota reached' WHEN 'network' THEN 'Network issue'
             WHEN 'timeout' THEN 'Generation timed out' WHEN 'api_key' THEN 'API key issue'
-            ELSE 'Generation failed' END AS title
+            ELSE 'Generation failed' END AS title,
+          CASE error_class
+            WHEN 'quota' THEN
+              'The AI service is busy. Wait a moment and retry — it usually resolves quickly.'
+            WHEN 'network' THEN 'Check your internet connection and retry.'
+            WHEN 'timeout' THEN 'The AI took too long to respond. Retrying almost always fixes this.'
+            WHEN 'api_key' THEN 'There''s a problem with the API credentials. Please contact support.'
+            ELSE 'Something went wrong on our end. Please try again.' END AS detail
         FROM classed GROUP BY error_class""",
     "ground_requests": f"""WITH {b.REQUESTS_SQL}, {b.CONTEXTS_SQL}, {GROUNDED_SQL}
         SELECT * FROM grounded""",

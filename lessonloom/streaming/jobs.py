@@ -16,8 +16,8 @@ from lessonloom.operators.sections import section_responses
 from lessonloom.session import drop_dir, path_exists
 
 # Buckets of the id state, fixed for the life of a state folder: choose as many as keep
-# a bucket small enough for one task.
-BUCKETS = 64
+# a bucket small enough for one task. Beyond 32 Spark lists their folders in a job.
+BUCKETS = 32
 STATE_SCHEMA = "id STRING, op STRING, ts TIMESTAMP_NTZ, seq BIGINT"
 # One row per bucket: the batch that wrote it last, and its number of existing lessons.
 INDEX_SCHEMA = "bucket INT, version BIGINT, lessons BIGINT"
