@@ -33,6 +33,7 @@ BLOCK, RADIUS, GENERATOR = 23, 3, 0b110001110101
 _CHECKS = 11
 _MASK = (1 << BLOCK) - 1
 _NEVER = 99
+STAR_TURNS = 2
 
 
 def shingles(text: str | None, width: int):
@@ -189,34 +190,97 @@ def simhash_components(
     )
 
 
-def _word_bits(tables: int):
-    """Fingerprints of the set of distinct words, one per table."""
-
-    def make(text):
-        words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-        base = hashed(words, 42)
-        made = []
-        for n in range(tables):
-            mixed = (base ^ np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            made.append(majority(mixed ^ (mixed >> np.uint64(32))) & ((1 << 2 * BLOCK) - 1))
-        return made
+def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    return with_fingerprints(
+        rows, ["_row"], "_t", lambda t: np.unique(hashed(shingles(t, width), 42)).view(np.int64), "array<bigint>"
+    )
 
-    return make
 
+def _common(docs: DataFrame, text: str, width: int, share: int = 8, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that repeat most in every ``share``-th text, sorted, and their counts.
 
-def _excess(fp: Column, anchor: Column) -> Column:
-    """By how much an anchor exceeds the covering radius of the two blocks in all."""
-    apart = fp.bitwiseXOR(anchor)
-    blocks = (apart.bitwiseAND(F.lit(_MASK << shift)) for shift in (0, BLOCK))
-    low, high = (F.greatest(F.bit_count(b) - RADIUS, F.lit(0)) for b in blocks)
-    return low + high
+    They only order shingles, so that hot ones come last; results do not depend on them.
+    """
 
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                made = np.unique(hashed(shingles(t, width), 42)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(made)], names=["s"])
+
+    some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(share)) == 0).select(F.col(text))
+    counts = map_batches(some, run, "s BIGINT").groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    top = counts.orderBy(F.desc("c"), "s").limit(most).toPandas()
+    found, times = top["s"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    order = np.argsort(found)
+    return found[order], times[order]
+
+
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set under one order for all sets, rare ones first: two
+    sets at ``similarity`` or more share at least one of them."""
+    keep = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+    hot, times = common
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+        found = found[np.lexsort((found, np.where(hot[at] == found, times[at], 0)))]
+    return found[:keep]
+
+
+def _prefixes(docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """``s, _row, n, at``: the prefix shingles of every text, the size of its set and
+    their places in the order. Wordless texts have one row of size 0."""
+    common = _common(docs, text, width)
+    schema = "s BIGINT, _row BIGINT, n INT, at INT"
 
-def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    return with_fingerprints(
-        rows, ["_row"], "_t", lambda t: np.unique(hashed(shingles(t, width), 42)).view(np.int64), "array<bigint>"
+    def run(batches):
+        for batch in batches:
+            ids, sizes, made = [], [], []
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.unique(hashed(shingles(t, width), 42)).view(np.int64)
+                made.append(prefix(found, common, similarity) if len(found) else np.zeros(1, np.int64))
+                ids.append(row)
+                sizes.append(len(found))
+            each = [len(m) for m in made]
+            columns = [
+                np.concatenate(made) if made else np.zeros(0, np.int64),
+                np.repeat(np.array(ids, np.int64), each),
+                np.repeat(np.array(sizes, np.int32), each),
+                np.concatenate([np.arange(k, dtype=np.int32) for k in each]) if each else np.zeros(0, np.int32),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "_row", "n", "at"])
+
+    return map_batches(docs.select("_row", F.col(text)), run, schema)
+
+
+def _may_reach(n: Column, at: Column, m: Column, to: Column, similarity: float) -> Column:
+    """False only if sets of ``n`` and ``m`` shingles whose first common one has places
+    ``at`` and ``to`` cannot reach ``similarity``."""
+    most = F.least(n - at, m - to)
+    return most * (1 + similarity) >= (n + m) * similarity - 1e-6
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``x, y`` of the ``pairs`` that reach ``similarity``, by their whole shingle sets."""
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("x").alias("_row")).union(pairs.select("y")).distinct()
+    sets = written(_shingle_sets(keyed.join(wanted, "_row", "left_semi"), width), "shingles")
+    links = (
+        pairs.join(sets.select(F.col("_row").alias("x"), F.col("fp").alias("s")), "x")
+        .join(sets.select(F.col("_row").alias("y"), F.col("fp").alias("t")), "y")
+        .withColumn("both", F.size(F.array_intersect("s", "t")))
+        .withColumn("any", F.size("s") + F.size("t") - F.col("both"))
+        .where(F.col("both") >= F.lit(similarity) * F.col("any"))
     )
+    return written(links.select("x", "y"), "links")
+
+
+def _apart(places: DataFrame, links: DataFrame) -> DataFrame:
+    """``places`` with ``root``, without the shingles whose texts are all joined by ``links``."""
+    joined = components(links, "x", "y").select(F.col("node").alias("_row"), "root")
+    named = places.join(joined, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
+    mixed = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return written(named.join(mixed.select("s"), "s", "left_semi"), "apart")
 
 
 def near_duplicates(
@@ -225,55 +289,47 @@ def near_duplicates(
     text: str = "text",
     width: int = 5,
     similarity: float = 0.8,
-    tables: int = 12,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, groups)``: ``docs`` with a ``_row`` number, and ``_row, root`` of every
     row that belongs to a group of near duplicates.
 
     Two texts are near duplicates if the Jaccard similarity of their word
-    shingle sets is at least ``similarity``; groups are the components. At 0.8
-    on five words, fingerprints of the shingles themselves differ in about ten
-    of 64 bits, out of reach of any covering. Each text therefore gets
-    ``tables`` independent 46-bit fingerprints of its distinct words, which
-    differ in about three bits, and is replicated to the anchors within the
-    radius plus 1: two fingerprints that differ in 2 bits always share one.
-    Candidates are then verified exactly. Texts with equal fingerprints are
-    compared with the first of them, not with each other.
+    shingle sets is at least ``similarity``; groups are the components. No link
+    is lost: sets that similar share a shingle of their prefixes (``prefix``),
+    and every pair that does is verified, unless sizes and places rule it out or
+    it is already joined. First each text is compared with one text of each of
+    its prefix shingles, ``STAR_TURNS`` times anew with another one, which joins
+    large groups without all their pairs; then all pairs of texts that are
+    still apart are compared.
     Wordless texts are near duplicates of each other only.
     """
     rows = with_rows(docs, "documents")
     keyed = rows.select("_row", F.col(text).alias("_t"))
-    fps = written(with_fingerprints(keyed, ["_row"], "_t", _word_bits(tables), "array<bigint>"), "fingerprints")
-    each = fps.select("_row", F.posexplode("fp").alias("table", "fp"))
-    firsts = written(each.groupBy("table", "fp").agg(F.min("_row").alias("first")), "distinct")
-    homed = at_anchors(firsts.select("table", "first", "fp"), 0).withColumnRenamed("anchor", "home")
-    placed = at_anchors(homed.select("table", "first", "home", "fp"), 1)
-    left = placed.select("table", "anchor", F.col("fp").alias("a"), F.col("first").alias("x"), F.col("home").alias("p"))
-    right = placed.select("table", "anchor", F.col("fp").alias("b"), F.col("first").alias("y"), F.col("home").alias("q"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    # A pair comes once, at one of its two homes, if the other one is there too;
-    # only pairs that part around both are taken from the anchors between them.
-    at_p, at_q = F.col("anchor") == F.col("p"), F.col("anchor") == F.col("q")
-    b_at_p, a_at_q = _excess(F.col("b"), F.col("p")) <= 1, _excess(F.col("a"), F.col("q")) <= 1
-    once = at_p | (~b_at_p & (at_q | ~a_at_q))
-    across = left.join(right, ["table", "anchor"]).where((F.col("a") < F.col("b")) & near & once).select("x", "y")
-    equal = each.join(firsts, ["table", "fp"]).where(F.col("first") != F.col("_row")).select(
-        F.col("first").alias("x"), F.col("_row").alias("y")
-    )
-    both = across.union(equal)
-    pairs = written(
-        both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs"
-    )
-    wanted = pairs.select(F.col("x").alias("_row")).union(pairs.select("y")).distinct()
-    sets = written(_shingle_sets(keyed.join(wanted, "_row", "left_semi"), width), "shingles")
-    links = (
-        pairs.join(sets.select(F.col("_row").alias("x"), F.col("fp").alias("s")), "x")
-        .join(sets.select(F.col("_row").alias("y"), F.col("fp").alias("t")), "y")
-        .withColumn("both", F.size(F.array_intersect("s", "t")))
-        .withColumn("any", F.size("s") + F.size("t") - F.col("both"))
-        .where(F.col("both") >= F.lit(similarity) * F.col("any"))
-    )
-    groups = components(links.select("x", "y"), "x", "y")
+    places = written(_prefixes(keyed, "_t", width, similarity), "prefixes")
+    firsts = places.groupBy("s").agg(F.min(F.struct("_row", "n", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
+    shared = written(places.join(firsts.where("c > 1"), "s"), "shared")
+
+    reach = _may_reach(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), similarity)
+    star = shared.where((F.col("_row") != F.col("first._row")) & reach)
+    links = _verified(star.select(F.col("first._row").alias("x"), F.col("_row").alias("y")), keyed, width, similarity)
+
+    # A shingle's first text has met the others; they may still be apart from each other.
+    met = shared.where((F.col("c") > 2) & (F.col("_row") != F.col("first._row"))).select("s", "_row", "n", "at")
+    others = _apart(met, links)
+    for turn in range(STAR_TURNS):
+        order = F.struct(F.xxhash64("_row", F.lit(turn)).alias("o"), "_row", "n", "at", "root")
+        firsts = others.groupBy("s").agg(F.min(order).alias("first"))
+        reach = _may_reach(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), similarity)
+        star = others.join(firsts, "s").where((F.col("root") != F.col("first.root")) & reach)
+        star = star.select(F.least("_row", "first._row").alias("x"), F.greatest("_row", "first._row").alias("y"))
+        links = links.union(_verified(star, keyed, width, similarity))
+        others = _apart(others.drop("root"), links)
+    left = others.select("s", F.col("_row").alias("x"), "n", "at", F.col("root").alias("p"))
+    right = others.select("s", F.col("_row").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("q"))
+    reach = _may_reach(F.col("n"), F.col("at"), F.col("m"), F.col("to"), similarity)
+    rest = left.join(right, "s").where((F.col("x") < F.col("y")) & (F.col("p") != F.col("q")) & reach)
+    links = links.union(_verified(rest.select("x", "y"), keyed, width, similarity))
+    groups = components(links, "x", "y")
     return rows, groups.select(F.col("node").alias("_row"), "root")
 
 

@@ -137,3 +137,40 @@ def test_radix_groups_match_plain_grouping(spark, texts):
     dropped = radix.drop_exact_duplicates(table(spark, rows))
     assert dropped.count() == len(groups)
     assert radix.exact_groups(table(spark, [])).count() == 0
+
+
+def brute_kept(rows):
+    """Ids that stay at five words and Jaccard 0.8, and the number of similar pairs."""
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = roots(sets, near)
+    return {i for i in sets if root[i] == i}, len(near)
+
+
+def test_runs_appended_and_replaced_are_near_duplicates(spark):
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(3000)}"
+    rows = []
+    for n in range(60):
+        base = [word() for _ in range(rng.randrange(100, 400))]
+        run = [word() for _ in range(len(base) * rng.randrange(4, 26) // 100)]
+        cut = rng.randrange(len(base) - len(run))
+        other = base + run if n % 2 else base[:cut] + run[: len(run) // 2] + base[cut + len(run) // 2 :]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(other))]
+    expected, pairs = brute_kept(rows)
+    assert pairs > 30
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, rows)).collect()} == expected
+
+
+def test_texts_of_the_same_words_in_another_order(spark):
+    """The smallest row is unlike two near copies over the same words."""
+    rng = random.Random(9)
+    words = [f"a{n}" for n in range(40)]
+    first = words * 7
+    rng.shuffle(first)
+    near = [w for _ in range(7) for w in rng.sample(words, 40)]
+    other = near[:-3] + near[-2:] + near[-3:-2]
+    rows = [(0, " ".join(first)), (1, " ".join(near)), (2, " ".join(other))]
+    expected, pairs = brute_kept(rows)
+    assert pairs == 1 and expected == {0, 1}
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, rows)).collect()} == expected
