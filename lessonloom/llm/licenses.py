@@ -1,11 +1,12 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of a text is a header candidate. Its terms are weighted by how rare
-they are among all lines of the corpus; terms outside the templates count as
-never seen elsewhere, each with the greatest weight, so prose around a notice
-lowers its cosine. A line can reach the threshold only if it shares enough of a
+Every line, every window of up to ``WINDOW`` lines and every paragraph of a
+license file is a candidate. Terms are weighted by how rare they are among all
+lines of the corpus: template terms on the driver, all others by a join of the
+few candidates that could reach the threshold if their other terms had the
+least weight. A candidate can reach the threshold only if it shares enough of a
 template's weight; terms that could never do that alone are found beforehand,
-and lines without any other template term are skipped without loss.
+and candidates without any other template term are skipped without loss.
 
 A file without a notice of its own takes the license of the nearest ancestor
 directory that holds a license file.
@@ -14,16 +15,20 @@ directory that holds a license file.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from math import log, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lessonloom.llm.tasks import map_batches
-from lessonloom.session import written
+from lessonloom.session import with_rows, written
 
 THRESHOLD = 0.6
+WINDOW = 6
+RESERVED = "Proprietary"
 LICENSE_FILE = r"(?i)^(LICEN[SC]E|COPYING)\b"
 # Usual notices of well-known licenses, by SPDX name.
 TEMPLATES = [
@@ -48,25 +53,33 @@ def _vocabulary(templates) -> set[str]:
     return {t for _, text in templates for t in terms(text)}
 
 
-def line_statistics(docs: DataFrame, text: str, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
-    """The number of lines of all texts, and in how many of them each template term
-    stands. One row per task and term is summed; the result is as small as the templates."""
-    vocabulary = _vocabulary(templates)
+def term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``term, n``: in how many lines of all texts each term stands; the empty term has the number of lines."""
 
     def run(batches):
-        lines, seen = 0, dict.fromkeys(vocabulary, 0)
         for batch in batches:
+            lines, seen = 0, Counter()
             for value in batch.column(0).to_pylist():
                 for line in (value or "").split("\n"):
                     lines += 1
-                    for term in vocabulary.intersection(terms(line)):
-                        seen[term] += 1
-        found = [("", lines), *((t, n) for t, n in seen.items() if n)]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found]), pa.array([n for _, n in found])], names=["term", "n"])
+                    seen.update(set(terms(line)))
+            found = [("", lines), *seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found]), pa.array([n for _, n in found])], names=["term", "n"])
+
+    counts = map_batches(docs.select(F.col(text).alias("_t")), run, "term STRING, n BIGINT")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    rows = map_batches(docs.select(F.col(text).alias("_t")), run, "term STRING, n BIGINT").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r["term"]: r["n"] for r in rows}
-    return counts.pop("", 0), counts
+def _of_templates(counts: DataFrame, templates) -> tuple[int, dict[str, int]]:
+    rows = counts.where(F.col("term").isin(["", *sorted(_vocabulary(templates))])).collect()
+    found = {r["term"]: r["n"] for r in rows}
+    return found.pop("", 0), found
+
+
+def line_statistics(docs: DataFrame, text: str, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
+    """The number of lines of all texts, and in how many of them each template term
+    stands. The result is as small as the templates."""
+    return _of_templates(term_counts(docs, text), templates)
 
 
 class Scanner:
@@ -91,48 +104,100 @@ class Scanner:
             common = grown
         self.telling = set(self.idf) - common
 
-    def best(self, line: str) -> tuple[float, str] | None:
-        found = terms(line)
+    def candidate(self, found: list[str]) -> tuple[str, float, float, dict[str, int]] | None:
+        """Best template, its cosine times the norm of ``found``, the squared norm of
+        template terms, and the other terms with their numbers; None if even other
+        terms of the least weight, 1, leave it below the threshold."""
         if self.telling.isdisjoint(found):
             return None
         own: dict[str, float] = {}
-        rest = 0
+        rest: dict[str, int] = {}
         for t in found:
             if t in self.idf:
                 own[t] = own.get(t, 0) + self.idf[t]
             else:
-                rest += 1
-        norm = sqrt(sum(w * w for w in own.values()) + rest * self.unknown**2)
+                rest[t] = rest.get(t, 0) + 1
+        square = sum(w * w for w in own.values())
+        least = self.threshold * sqrt(square + sum(n * n for n in rest.values())) * (1 - 1e-9)
         top = None
         for name, weights, size in self.templates:
-            score = sum(w * weights[t] for t, w in own.items() if t in weights) / (norm * size)
-            if score >= self.threshold and (top is None or score > top[0]):
-                top = (score, name)
+            part = sum(w * weights[t] for t, w in own.items() if t in weights) / size
+            if part >= least and (top is None or part > top[1]):
+                top = (name, part, square, rest)
         return top
 
-    def scan(self, text: str | None) -> tuple[str | None, float | None, int | None]:
-        """License, cosine and line number of the best line, the first of equals."""
-        top = None
-        for number, line in enumerate((text or "").split("\n")):
-            found = self.best(line)
-            if found and (top is None or found[0] > top[1]):
-                top = (found[1], found[0], number)
-        return top or (None, None, None)
+    def best(self, line: str) -> tuple[float, str] | None:
+        """Cosine and license of a line whose other terms stand in no line of the corpus."""
+        found = self.candidate(terms(line))
+        if found is None:
+            return None
+        name, part, square, rest = found
+        score = part / sqrt(square + sum(n * n for n in rest.values()) * self.unknown**2)
+        return (score, name) if score >= self.threshold else None
+
+    def candidates(self, text: str | None, paragraphs: bool) -> list[dict]:
+        """All candidates of a text: windows that begin and end with a template term, and paragraphs."""
+        lines = [terms(line) for line in (text or "").split("\n")]
+        telling = [i for i, found in enumerate(lines) if not self.telling.isdisjoint(found)]
+        spans = set()
+        for i in telling:
+            for start in range(max(0, i - WINDOW + 1), i + 1):
+                for end in range(i + 1, min(len(lines), start + WINDOW) + 1):
+                    if not (self.idf.keys().isdisjoint(lines[start]) or self.idf.keys().isdisjoint(lines[end - 1])):
+                        spans.add((start, end))
+            if paragraphs:
+                start, end = i, i + 1
+                while start and lines[start - 1]:
+                    start -= 1
+                while end < len(lines) and lines[end]:
+                    end += 1
+                spans.add((start, end))
+        made = []
+        for start, end in sorted(spans):
+            if found := self.candidate([t for line in lines[start:end] for t in line]):
+                name, part, square, rest = found
+                made.append({"line": start, "lines": end - start, "name": name, "part": part, "square": square, "rest": list(rest.items())})
+        return made
+
+
+_CANDIDATES = "array<struct<line:int,lines:int,name:string,part:double,square:double,rest:array<struct<term:string,k:int>>>>"
+_ARROW = pa.list_(
+    pa.struct(
+        [("line", pa.int32()), ("lines", pa.int32()), ("name", pa.string()), ("part", pa.float64()), ("square", pa.float64())]
+        + [("rest", pa.list_(pa.struct([("term", pa.string()), ("k", pa.int32())])))]
+    )
+)
 
 
-def scan_texts(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``files`` without ``text`` and with ``own_license, score, line``."""
-    scanner = Scanner(*line_statistics(files, text, templates), templates, threshold)
-    keep = [c for c in files.columns if c not in (text, "own_license", "score", "line")]
-    schema = files.select(*keep).schema.add("own_license", "string").add("score", "double").add("line", "integer")
+def scan_texts(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, path: str = "path") -> DataFrame:
+    """``files`` without ``text`` and with ``own_license, score, line``: the best
+    candidate, of equals the first and shortest. A reservation of rights counts
+    only where no license is granted."""
+    counts = written(term_counts(files, text), "terms")
+    total, known = _of_templates(counts, templates)
+    scanner = Scanner(total, known, templates, threshold)
+    keep = [c for c in files.columns if c not in (text, "own_license", "score", "line", "_row", "_found")]
+    schema = files.select(*keep).schema.add("_found", T._parse_datatype_string(_CANDIDATES))
 
     def run(batches):
         for batch in batches:
-            found = [scanner.scan(t) for t in batch.column(len(keep)).to_pylist()]
-            added = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *added], names=[*keep, "own_license", "score", "line"])
-
-    return map_batches(files.select(*keep, F.col(text).alias("_t")), run, schema)
+            texts, whole = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
+            found = pa.array([scanner.candidates(t, bool(w)) for t, w in zip(texts, whole)], _ARROW)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, "_found"])
+
+    whole = F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE)
+    rows = with_rows(map_batches(files.select(*keep, F.col(text).alias("_t"), whole.alias("_w")), run, schema), "candidates")
+    each = rows.select("_row", F.explode("_found").alias("f")).select("_row", "f.*")
+    idf = F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1
+    others = each.select("_row", "line", "lines", F.explode("rest").alias("o")).select("_row", "line", "lines", "o.term", "o.k")
+    weights = others.join(counts, "term").groupBy("_row", "line", "lines").agg(F.sum((F.col("k") * idf) ** 2).alias("w"))
+    score = F.col("part") / F.sqrt(F.col("square") + F.coalesce("w", F.lit(0.0)))
+    scored = each.join(weights, ["_row", "line", "lines"], "left").withColumn("score", score).where(F.col("score") >= threshold)
+    order = F.struct(
+        (F.col("name") == RESERVED).alias("r"), (-F.round("score", 12)).alias("o"), "line", "lines", F.col("name").alias("own_license"), "score"
+    )
+    best = scored.groupBy("_row").agg(F.min(order).alias("b"))
+    return rows.join(best, "_row", "left").select(*keep, "b.own_license", "b.score", "b.line")
 
 
 def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
@@ -174,4 +239,4 @@ def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
 
 def license_scan(files: DataFrame, path: str = "path", text: str = "text", **how) -> DataFrame:
     """Scan and inheritance; the scanned rows are written once in between."""
-    return inherit(written(scan_texts(files, text, **how), "scanned"), path)
+    return inherit(written(scan_texts(files, text, path=path, **how), "scanned"), path)

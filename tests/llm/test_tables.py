@@ -157,3 +157,18 @@ def test_fixity_finds_exactly_the_damage(spark):
     assert sorted((r["page_id"], r["status"]) for r in found) == sorted([(17, "changed")] * 4 + [(99, "missing")] * 3)
     assert {r["status"] for r in fixity.audit(two, one).collect()} == {"changed", "extra"}
     assert fixity.audit(one.limit(0), one.limit(0)).count() == 0
+
+
+def test_license_blocks_and_counted_weights(spark):
+    """Notices over several lines, headings of license files, and notices among common words."""
+    prose = "see the file for details on use, copyright 2019 the project authors\n" * 200
+    rows = [
+        ("a/x.py", prose + "# Permission is hereby granted, free of\n# charge, to any person obtaining a copy of\n# this software and associated\n# documentation files\n"),
+        ("b/x.py", prose + "Licensed under the Apache License, Version 2.0, see the file for details on use."),
+        ("c/x.py", prose),
+        ("d/LICENSE", "Redistribution and use in source\nand binary forms,\nwith or\nwithout\nmodification,\nare permitted\nprovided that\nthe following\nconditions\nare met\n\n" + prose),
+    ]
+    found = licenses.license_scan(spark.createDataFrame(rows, "path STRING, text STRING")).collect()
+    got = {r["path"]: (r["own_license"], round(r["score"] or 0, 2)) for r in found}
+    assert got["a/x.py"] == ("MIT", 1.0) and got["d/LICENSE"] == ("BSD-3-Clause", 1.0)
+    assert got["b/x.py"][0] == "Apache-2.0" and got["c/x.py"][0] is None
