@@ -172,3 +172,25 @@ def test_license_blocks_and_counted_weights(spark):
     got = {r["path"]: (r["own_license"], round(r["score"] or 0, 2)) for r in found}
     assert got["a/x.py"] == ("MIT", 1.0) and got["d/LICENSE"] == ("BSD-3-Clause", 1.0)
     assert got["b/x.py"][0] == "Apache-2.0" and got["c/x.py"][0] is None
+
+
+def test_reserved_rights_and_sibling_licenses(spark):
+    """An own notice stops inheritance; siblings are not taken for their near neighbour."""
+    prose = "the quick brown fox and the lazy dog\n" * 100
+    notices = {
+        "Proprietary": "All rights reserved.",
+        "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+        "CC-BY-4.0": "Licensed under CC BY 4.0.",
+        "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+        "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+        "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    }
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/both", prose + "All rights reserved.\nReleased under the MIT License.")]
+    rows += [(f"a/{name}", prose + notice + "\n" + prose) for name, notice in notices.items()]
+    found = licenses.license_scan(spark.createDataFrame(rows, "path STRING, text STRING")).collect()
+    got = {r["path"]: (r["license"], r["license_from"]) for r in found}
+    assert got.pop("a/LICENSE")[0] == "MIT" and got.pop("a/both") == ("MIT", "a/both")
+    assert got == {f"a/{name}": (name, f"a/{name}") for name in notices}
