@@ -317,12 +317,17 @@ def near_duplicates(
     met = shared.where((F.col("c") > 2) & (F.col("_row") != F.col("first._row"))).select("s", "_row", "n", "at")
     others = _apart(met, links)
     for turn in range(STAR_TURNS):
-        order = F.struct(F.xxhash64("_row", F.lit(turn)).alias("o"), "_row", "n", "at", "root")
-        firsts = others.groupBy("s").agg(F.min(order).alias("first"))
-        reach = _may_reach(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), similarity)
-        star = others.join(firsts, "s").where((F.col("root") != F.col("first.root")) & reach)
-        star = star.select(F.least("_row", "first._row").alias("x"), F.greatest("_row", "first._row").alias("y"))
-        links = links.union(_verified(star, keyed, width, similarity))
+        # One member, another one per shingle, of the group with most texts there.
+        order = F.struct(F.xxhash64("_row", "s", F.lit(turn)).alias("o"), "_row", "n", "at")
+        each = others.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("o"))
+        firsts = each.groupBy("s").agg(F.max(F.struct("c", "root", "o")).alias("f")).select("s", "f.root", "f.o").toDF("s", "r", "f")
+        reach = _may_reach(F.col("n"), F.col("at"), F.col("f.n"), F.col("f.at"), similarity)
+        star = others.join(firsts, "s").where((F.col("root") != F.col("r")) & reach)
+        star = star.select(F.least("_row", "f._row").alias("x"), F.greatest("_row", "f._row").alias("y"))
+        more = _verified(star, keyed, width, similarity)
+        if more.isEmpty():
+            break
+        links = links.union(more)
         others = _apart(others.drop("root"), links)
     left = others.select("s", F.col("_row").alias("x"), "n", "at", F.col("root").alias("p"))
     right = others.select("s", F.col("_row").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("q"))
