@@ -5,10 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(app: str = "lessonloom", master: str | None = None) -> SparkSession:
     """A session for tests and local benchmarks; a cluster brings its own settings."""
     builder = (
@@ -36,13 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-_open_scopes: list[list[tuple[str, str]]] = []
+# Folders made in the present scope, and where they lie; of this thread's own call chain only.
+_scopes: ContextVar[tuple[list[tuple[str, str]], ...]] = ContextVar("scopes", default=())
+_homes: ContextVar[tuple[str, ...]] = ContextVar("homes", default=())
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path below :func:`shared_dir`."""
-    path = f"{shared_dir(spark)}/lessonloom-{label}-{uuid.uuid4().hex}"
-    for made in _open_scopes:
+    """A new, unused path in the present :func:`scratch` folder, else in :func:`shared_dir`."""
+    home = _homes.get()[-1] if _homes.get() else shared_dir(spark)
+    path = f"{home}/lessonloom-{label}-{uuid.uuid4().hex}"
+    for made in _scopes.get():
         made.append((label, path))
     return path
 
@@ -51,11 +58,35 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def scratch_scope() -> Iterator[list[tuple[str, str]]]:
     """Collects (label, path) of the scratch folders made while it is open."""
     made: list[tuple[str, str]] = []
-    _open_scopes.append(made)
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield made
     finally:
-        _open_scopes[:] = [scope for scope in _open_scopes if scope is not made]
+        _scopes.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A folder for everything written while it is open, deleted at its end.
+
+    What must outlive it is written with :func:`lasting`.
+    """
+    path = fresh_dir(spark, "scratch")
+    token = _homes.set((*_homes.get(), path))
+    try:
+        yield
+    finally:
+        _homes.reset(token)
+        drop_dir(spark, path)
+
+
+def lasting(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written outside the present :func:`scratch` folder and read back."""
+    token = _homes.set(_homes.get()[:-1])
+    try:
+        return written(df, label)
+    finally:
+        _homes.reset(token)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -69,15 +100,31 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs meanwhile are deleted when it has ended."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs a reread, and values that depend on
-    how rows were laid out (row numbers, range bounds) stay as they were.
+    how rows were laid out (row numbers, range bounds) stay as they were. The
+    shuffle files it took are deleted, as nothing can need them any more.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
