@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm import fixity, licenses, mixing, packing, quality, radix, simhash, token_files, topk, toxicity
+from lessonloom.llm import (
+    bayes_dedup,
+    collocations,
+    fixity,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    radix,
+    simhash,
+    token_files,
+    topk,
+    toxicity,
+    vector_codes,
+)
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +81,18 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_read(spark, folder, "documents"))
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bayes_dedup.near_duplicate_groups(_read(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.vector_codes(_read(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +106,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_warc_fixity,
         op10_quality,
+        op11_collocations,
+        op12_minhash,
+        op13_vector_codes,
     )
 }
 
@@ -140,7 +169,96 @@ PACKED = """
 SELECT doc_id, n_tokens, bucket_len, r // per_batch AS batch, r % per_batch AS slot,
   bucket_len - n_tokens AS padding, md5(coalesce(text, '')) AS text_md5 FROM ranked"""
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Assignments and averages round by round; each round is three more tables."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+distance{r} AS (
+  SELECT c.rn, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+  FROM components c JOIN book{r} b USING (part, pos) GROUP BY ALL),
+assigned{r} AS (
+  SELECT rn, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM distance{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+averaged{r} AS (
+  SELECT part, entry, pos, sum(x) AS s, count(*) AS n
+  FROM components JOIN assigned{r} USING (rn, part) GROUP BY ALL),
+book{r + 1} AS (
+  SELECT part, entry, pos, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), b.x) AS x
+  FROM book{r} b LEFT JOIN averaged{r} USING (part, entry, pos))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rn, vec_id, label,
+    [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+components AS MATERIALIZED (
+  SELECT rn, i // (len(v) // {parts}) AS part, i % (len(v) // {parts}) AS pos, v[i + 1] AS x
+  FROM kept, LATERAL (SELECT unnest(range(0, len(v))) AS i)),
+book0 AS (SELECT part, rn AS entry, pos, x FROM components WHERE rn < {entries}),{",".join(steps)},
+coded AS (
+  SELECT rn, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM assigned{rounds} GROUP BY rn),
+labelled AS (SELECT vec_id, label, code, error FROM coded JOIN kept USING (rn))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM labelled"""
+
+
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex({_LOWERED.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, k, array_to_string(g, ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest([w[i : i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g
+    FROM lists, LATERAL (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.a, cut, l.f AS l, r.f AS r,
+    CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN phrases l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN phrases r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1 : c.k], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3) GROUP BY ALL),
+ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, c.a DESC, phrase) AS rank,
+    phrase, c.a, l, r, n, score
+  FROM lowest c JOIN totals USING (lang) LEFT JOIN inside i USING (lang, phrase)
+  WHERE c.k = 3 OR i.a IS NULL OR 100 * i.a < 50 * c.a)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
+NEAR_GROUPS = f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT row, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words),
+shingles AS (SELECT row, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.row AS x, b.row AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.row <> b.row
+  GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (SELECT row AS x, row AS y FROM sets UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+lowest AS (SELECT r.x AS row, min(s.doc_id) AS component_id FROM reached r JOIN sets s ON s.row = r.y GROUP BY r.x)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM sets JOIN lowest USING (row)"""
+
 ORACLES = {
+    "op11_collocations": COLLOCATIONS,
+    "op12_minhash": NEAR_GROUPS,
+    "op13_vector_codes": _codes_sql(),
     "op5_mixing": "WITH" + MIXED.format(docs="documents") + """
 SELECT doc_id, source, copy, md5('17-order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy) AS shuffle_key,
   md5(coalesce(text, '')) AS text_md5 FROM mixed""",
