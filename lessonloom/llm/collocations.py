@@ -1,10 +1,13 @@
 """Phrase collocations by top-order marginalisation.
 
 Each word of a piece starts one window: the word and the two that follow it
-there, padded with nulls at the piece's end. These windows are the only thing
-counted in the texts; tasks combine theirs before they leave. A phrase occurs
-as often as windows begin with it, so a ROLLUP over the window's columns gives
-the counts of all shorter phrases, of words, and of all words of a language.
+there, padded at the piece's end. These windows are the only thing counted in
+the texts. Tasks combine theirs and send them on as blocks, dealt by a hash of
+their first two words, so all windows of a pair meet. There a window too rare to
+be a phrase loses its third word, and then its second, as it only counts for what
+it begins with. A phrase occurs as often as windows begin with it: a ROLLUP over
+the window's columns gives the counts of pairs, of words, and of all words of a
+language.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +30,9 @@ WORDS = ("w1", "w2", "w3")
 _SLICE = 1 << 21  # bytes split at once, so at most 2^20 words
 _HELD = 1 << 22  # windows combined before they leave
 _BITS = 21  # of a word's number within a task's windows
-_OUT = 1 << 16
+_OUT, _BLOCKS_OUT = 1 << 16, 64
+_TEXT_PER_BLOCK = 1 << 22  # bytes of text whose windows meet in one block
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = b"\xff"  # in no UTF-8 text
 _LETTERS = bytearray(range(256))
 for _b in range(ord("A"), ord("Z") + 1):
@@ -51,9 +59,10 @@ def word_slices(data: bytes):
 
 
 class WindowCounts:
-    """Counts of the padded windows of many texts, by language."""
+    """Counts of the padded windows of many texts, by language and block."""
 
-    def __init__(self):
+    def __init__(self, blocks: int):
+        self.blocks = np.uint64(blocks)
         self._clear()
 
     def _clear(self):
@@ -77,24 +86,43 @@ class WindowCounts:
                 yield from self.flush()
 
     def flush(self):
-        words = pa.array([None, *list(self.numbers)[1:]], pa.binary()).cast(pa.string())
+        """Batches of ``lang, block, phrases, counts``: a line per window, and its count."""
+        listed = [b"", *list(self.numbers)[1:]]
+        words = pa.array(listed, pa.large_binary())
+        marks = np.fromiter(map(xxhash.xxh64_intdigest, listed), np.uint64, len(listed))
+        small = (1 << _BITS) - 1
         for lang, parts in self.windows.items():
             packed, counts = np.unique(np.concatenate(parts), return_counts=True)
-            for at in range(0, len(packed), _OUT):
-                some = packed[at : at + _OUT]
-                ids = [some >> 2 * _BITS, some >> _BITS & (1 << _BITS) - 1, some & (1 << _BITS) - 1]
-                columns = [words.take(pa.array(i)) for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(some), pa.string()), *columns, pa.array(counts[at : at + _OUT])], names=["lang", *WORDS, "f"]
-                )
+            if not len(packed):
+                continue
+            first, second = packed >> 2 * _BITS, packed >> _BITS & small
+            mixed = (marks[first] ^ (marks[second] >> np.uint64(7))) * _MIX + marks[second]
+            block = (mixed ^ (mixed >> np.uint64(32))) % self.blocks
+            order = np.argsort(block, kind="stable")
+            first, second, third = (words.take(pa.array(x[order])) for x in (first, second, packed & small))
+            nothing, space, end = (pa.scalar(x, pa.large_binary()) for x in (b"", b" ", b"\n"))
+            lines = pc.binary_join_element_wise(first, second, pc.binary_join_element_wise(third, end, nothing), space)
+            ends = np.frombuffer(lines.buffers()[1], np.int64)[: len(lines) + 1]
+            letters, counts, block = memoryview(lines.buffers()[2]), counts[order], block[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            squeezed = zstandard.ZstdCompressor(level=1)
+            for at in range(0, len(cuts) - 1, _BLOCKS_OUT):
+                spans = list(zip(cuts[at : at + _BLOCKS_OUT], cuts[at + 1 : at + 1 + _BLOCKS_OUT]))
+                columns = [
+                    pa.array([lang] * len(spans), pa.string()),
+                    pa.array([int(block[i]) for i, _ in spans], pa.int64()),
+                    pa.array([squeezed.compress(letters[ends[i] : ends[j]]) for i, j in spans], pa.binary()),
+                    pa.array([squeezed.compress(counts[i:j].astype("<i8").tobytes()) for i, j in spans], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "block", "phrases", "counts"])
         self._clear()
 
 
-def windows(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """``lang, w1, w2, w3, f``: padded windows with their counts in part of the texts."""
+def window_blocks(docs: DataFrame, text: str, lang: str, blocks: int) -> DataFrame:
+    """Padded windows with their counts in part of the texts, packed by language and block."""
 
     def run(batches):
-        counts = WindowCounts()
+        counts = WindowCounts(blocks)
         for batch in batches:
             by_lang = defaultdict(list)
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -105,16 +133,69 @@ def windows(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     whole = F.make_valid_utf8(F.coalesce(F.col(text), F.lit(""))).cast("binary")
     named = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), whole.alias("text"))
-    return map_batches(named, run, "lang STRING, w1 STRING, w2 STRING, w3 STRING, f BIGINT")
+    return map_batches(named, run, "lang STRING, block BIGINT, phrases BINARY, counts BINARY")
+
+
+def _unpacked(phrases: bytes, counts: bytes):
+    plain = zstandard.ZstdDecompressor()
+    lines = plain.decompress(phrases).split(b"\n")  # the last line is empty
+    return zip(lines, np.frombuffer(plain.decompress(counts), "<i8").tolist())
+
+
+def trimmed(lang: str, windows: dict, least: int):
+    """The windows of a whole block as batches of ``lang, w1, w2, w3, f``, their rare ends left out."""
+    pairs, longer, kept = defaultdict(int), defaultdict(int), []
+    for phrase, f in windows.items():
+        pair, _, third = phrase.rpartition(b" ")
+        if third and f >= least:
+            kept.append((*pair.split(b" "), third, f))
+            pairs[pair] += 0
+            longer[pair] += f
+        else:
+            pairs[pair] += f
+    rest = defaultdict(int)
+    for pair, f in pairs.items():
+        first, _, second = pair.partition(b" ")
+        if second and f + longer.get(pair, 0) >= least:
+            if f:
+                kept.append((first, second, None, f))
+        else:
+            rest[first] += f
+    kept += [(first, None, None, f) for first, f in rest.items()]
+    for at in range(0, len(kept), _OUT):
+        some = kept[at : at + _OUT]
+        columns = [pa.array([row[i] for row in some], pa.binary()).cast(pa.string()) for i in range(3)]
+        names = pa.array([lang] * len(some), pa.string())
+        yield pa.RecordBatch.from_arrays([names, *columns, pa.array([row[3] for row in some], pa.int64())], names=["lang", *WORDS, "f"])
+
+
+def windows(docs: DataFrame, text: str, lang: str, least: int) -> DataFrame:
+    """``lang, w1, w2, w3, f``: windows whose sums over any prefix are those of all texts,
+    without the third and second words of phrases that occur less than ``least`` times."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    packed = window_blocks(docs, text, lang, 1 + size // _TEXT_PER_BLOCK)
+    dealt = packed.repartition("lang", "block").sortWithinPartitions("lang", "block")
+
+    def run(batches):
+        key, held = None, defaultdict(int)
+        for batch in batches:
+            for name, block, phrases, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                if (name, block) != key:
+                    if key is not None:
+                        yield from trimmed(key[0], held, least)
+                    key, held = (name, block), defaultdict(int)
+                for phrase, f in _unpacked(phrases, counts):
+                    held[phrase] += f
+        if key is not None:
+            yield from trimmed(key[0], held, least)
+
+    return map_batches(dealt, run, "lang STRING, w1 STRING, w2 STRING, w3 STRING, f BIGINT")
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
     """``lang, w1, w2, w3, f, level``: phrases of 3 words (level 0), 2 words (1) and
     words (3) that occur at least ``least`` times, and all words per language (7)."""
-    counted = windows(docs, text, lang).groupBy("lang", *WORDS).agg(F.sum("f").alias("f"))
-    # A rarer window is no phrase itself; it only counts for what it begins with.
-    third = F.when(F.col("f") >= least, F.col("w3")).alias("w3")
-    longest = written(counted.select("lang", "w1", "w2", third, "f"), "windows")
+    longest = written(windows(docs, text, lang, least), "windows")
     sums = longest.rollup("lang", *WORDS).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
     phrase = (
         (F.col("level") == 0) & F.col("w3").isNotNull()
