@@ -63,27 +63,31 @@ def _exploded(docs: DataFrame) -> DataFrame:
     )
 
 
-def normalize_tree(docs: DataFrame) -> dict[str, DataFrame]:
+def normalize_tree(docs: DataFrame, rooted: bool = False) -> dict[str, DataFrame]:
     """Split nested subject documents into the four tables.
 
+    With ``rooted`` every row also has ``root``, the key of its subject.
+
     Every child carries its parent's key. A key hashes the path of slug,
     ordinals and names, so siblings with equal names stay distinct. The
     documents are read and exploded once, into a table in the shared folder;
     each level is a narrow selection of its rows, without a shuffle.
     """
     rows = written(_exploded(docs), "tree")
+    root = [_key(F.col("slug")).alias("root")] if rooted else []
     on_sub = _first("ind_pos")
     on_strand = on_sub & _first("sub_pos")
     subjects = rows.where(on_strand & _first("strand_pos")).select(
-        _key(F.col("slug")).alias("id"), F.col("subject_name").alias("name"), "slug"
+        _key(F.col("slug")).alias("id"), F.col("subject_name").alias("name"), "slug", *root
     )
     strands = rows.where(F.col("strand_pos").isNotNull() & on_strand).select(
         F.col("strand_id").alias("id"),
         _key(F.col("slug")).alias("subject_id"),
         F.col("strand_name").alias("name"),
+        *root,
     )
     sub_strands = rows.where(F.col("sub_pos").isNotNull() & on_sub).select(
-        F.col("sub_id").alias("id"), "strand_id", F.col("sub_name").alias("name")
+        F.col("sub_id").alias("id"), "strand_id", F.col("sub_name").alias("name"), *root
     )
     indicators = rows.where(F.col("ind_pos").isNotNull()).select(
         _key(F.col("sub_id"), F.col("ind_pos").cast("string"), F.col("ind.code")).alias("id"),
@@ -94,6 +98,7 @@ def normalize_tree(docs: DataFrame) -> dict[str, DataFrame]:
         F.col("ind.grade").alias("grade"),
         # source order of the indicator, for first-wins on a repeated code
         F.struct("slug", "strand_pos", "sub_pos", "ind_pos").alias("source_order"),
+        *root,
     )
     return {
         "subjects": subjects,
@@ -131,6 +136,7 @@ def insert_new_subtrees(
     docs: DataFrame,
     order: str,
     existing_indicators: DataFrame | None = None,
+    rooted: bool = False,
 ) -> dict[str, DataFrame]:
     """Tables for the documents whose subject is new.
 
@@ -150,7 +156,7 @@ def insert_new_subtrees(
         .join(existing_subjects.select("slug").distinct(), "slug", "left_anti"),
         "winners",
     )
-    tables = normalize_tree(docs.join(winners, order, "left_semi"))
+    tables = normalize_tree(docs.join(winners, order, "left_semi"), rooted)
     coded = tables["indicators"].where(F.col("code").isNotNull())
     codes = first_per_key(coded, ["code"], ["source_order"])
     if existing_indicators is not None:

@@ -18,6 +18,7 @@ from lessonloom.schemas import (
     LESSON_REQUIRED,
 )
 from lessonloom.session import fresh_dir
+from lessonloom.sources import lesson_log
 from lessonloom.sources.json_docs import read_requests
 from lessonloom.sources.tables import read_table, read_texts
 
@@ -75,6 +76,25 @@ def lesson_store(spark, folder) -> DataFrame:
     return lessons.lesson_state(lessons.read_log(spark, path))
 
 
+def lesson_compacted(spark, folder) -> DataFrame:
+    """The stored log with a compaction between the saves and the deletes, and one after a
+    second delivery; what the last does not reach is merged when read."""
+    path = fresh_dir(spark, "lessons")
+    saved = lesson_append(spark, folder)
+    lesson_log.append(saved, path)
+    lesson_log.compact(spark, path)
+    unwanted = read_table(spark, folder, "part").where(F.col("p_partkey") % 9 == 0).select(
+        F.sha2(F.col("p_partkey").cast("string"), 256).alias("id"), F.col("p_partkey").alias("seq")
+    )
+    deleted, _ = lessons.delete_event(unwanted, F.expr(f"{NOON} + INTERVAL 1 HOUR"), F.col("seq"))
+    lesson_log.append(deleted.where(F.col("seq") % 2 == 0), path)
+    lesson_log.append(saved, path)
+    lesson_log.compact(spark, path)
+    lesson_log.vacuum(spark, path)
+    lesson_log.append(deleted, path)
+    return lesson_log.read_state(spark, path)
+
+
 def json_requests(spark, folder) -> DataFrame:
     """Request bodies as JSON lines, some of them no JSON, written, read back and checked."""
     path = fresh_dir(spark, "requests")
@@ -286,6 +306,7 @@ QUERIES = {
     "lesson_append": lesson_append,
     "lesson_delete": lesson_delete,
     "lesson_store": lesson_store,
+    "lesson_compacted": lesson_compacted,
     "json_requests": json_requests,
     "lesson_state": lambda spark, folder: lessons.lesson_state(
         b.change_log(_events(spark, folder))
@@ -356,6 +377,7 @@ ORACLES = {
         FROM orders""",
     "lesson_append": _append_sql("'save' AS op,"),
     "lesson_store": _append_sql("", " AND request_id % 9 <> 0"),
+    "lesson_compacted": _append_sql("", " AND request_id % 9 <> 0"),
     "json_requests": _json_requests_sql(),
     "lesson_delete": """SELECT event_id AS id, ts, event_id AS seq, event_type AS subject
         FROM events WHERE event_type <> 'error'""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.lookups import lookup
-from lessonloom.operators import ingest, quality, tree
+from lessonloom.operators import ingest, quality, search_index, tree
 from lessonloom.operators.prompts import BLOOM_DEFAULT, BLOOM_EXPECTATIONS, bloom_expectation
 from lessonloom.plans import bindings as b
 from lessonloom.session import fresh_dir
@@ -196,6 +196,50 @@ SELECT 'indicators', code || '|' || clause FROM (
   FROM d_ind JOIN winners USING (doc_id)) WHERE rn = 1
 """
 
+
+def delete_tree(spark, folder) -> DataFrame:
+    """A stored load; the subjects of two languages are deleted, those of one loaded again."""
+    home = fresh_dir(spark, "stored")
+    docs = b.subject_docs(read_texts(spark, folder, "documents", "doc_id"))
+    store.load_standards(spark, docs, home, "doc_id", "first")
+    slug = F.col("slug")
+    gone = store.read_tree(spark, home)["subjects"].where(slug.startswith("en") | slug.startswith("fr"))
+    store.delete_subjects(spark, home, gone.select("id"), "two languages")
+    store.load_standards(spark, docs.where(F.col("subject.slug").startswith("en")), home, "doc_id", "again")
+    t = store.read_tree(spark, home)
+    levels = {level: t[level].select("name") for level in ("subjects", "strands", "sub_strands")}
+    return _levels(levels | {"indicators": t["indicators"].select(F.concat_ws("|", "code", "text").alias("name"))}, ["name"])
+
+
+_DELETED_SQL = f"""
+WITH {b.SUBJECT_DOCS_SQL},
+winners AS (SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, source),
+kept AS (SELECT * FROM winners WHERE lang <> 'fr'),
+firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY code ORDER BY slug, sp, bp, ip) AS rn FROM d_ind JOIN winners USING (doc_id))
+SELECT 'subjects' AS level, 'Subject ' || lang || '-' || source AS name FROM documents
+WHERE doc_id IN (SELECT doc_id FROM kept)
+UNION ALL
+SELECT 'strands', strand FROM d_strand WHERE doc_id IN (SELECT doc_id FROM kept)
+UNION ALL
+SELECT 'sub_strands', sub FROM d_sub WHERE doc_id IN (SELECT doc_id FROM kept)
+UNION ALL
+SELECT 'indicators', code || '|' || clause FROM (
+  SELECT *, row_number() OVER (PARTITION BY code ORDER BY lang = 'en', slug, sp, bp, ip) AS again
+  FROM firsts f JOIN kept USING (doc_id, lang)
+  WHERE lang = 'en' OR rn = 1) WHERE again = 1
+"""
+
+
+def tree_search_indexed(spark, folder) -> DataFrame:
+    """The keyword search over stored postings of the whole tree."""
+    home = fresh_dir(spark, "index")
+    rows = tree.tree_rows(b.tree(spark, folder))
+    search_index.build_index(rows, home)
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return search_index.search_indexed(spark, home, TERM, schema)
+
+
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
 
@@ -274,6 +318,7 @@ QUERIES = {
     "tree_rows": _tree_query(tree.tree_rows),
     "tree_filter": _tree_query(lambda t: tree.tree_rows(t, SLUG, GRADE)),
     "tree_search": _tree_query(lambda t: tree.search(tree.tree_rows(t), TERM)),
+    "tree_search_indexed": tree_search_indexed,
     "tree_search_nested": _tree_query(nested_search),
     "strand_indicators": _tree_query(
         lambda t: tree.strand_indicators(t, SLUG, GRADE, STRAND)
@@ -295,6 +340,7 @@ QUERIES = {
     "json_standards": json_standards,
     "insert_subtrees": insert_subtrees,
     "load_tree": load_tree,
+    "delete_tree": delete_tree,
     "dedupe_first": dedupe_first,
     "insert_ignore": insert_ignore,
     "cascade_delete": cascade_delete,
@@ -310,6 +356,7 @@ ORACLES = {
     "tree_filter": f"""WITH {b.TREE_SQL} SELECT {TREE_COLUMNS} FROM tree
         WHERE slug = '{SLUG}' AND indicator_grade = '{GRADE}'""",
     "tree_search": f"WITH {b.TREE_SQL} SELECT {TREE_COLUMNS} FROM tree WHERE {_SEARCH}",
+    "tree_search_indexed": f"WITH {b.TREE_SQL} SELECT {TREE_COLUMNS} FROM tree WHERE {_SEARCH}",
     "tree_search_nested": _json_sql(f"slug = '{SLUG}'", "all", _SEARCH),
     "strand_indicators": f"""WITH {b.TREE_SQL}
         SELECT indicator_code AS code, indicator_text AS text, indicator_blooms AS blooms_level,
@@ -351,6 +398,7 @@ ORACLES = {
     "json_standards": _NORMALIZE_SQL,
     "insert_subtrees": _SUBTREES_SQL,
     "load_tree": _LOADED_SQL,
+    "delete_tree": _DELETED_SQL,
     "dedupe_first": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, {_LINE_RANK} AS rn FROM lineitem)
         WHERE rn = 1""",
     "insert_ignore": f"""SELECT * EXCLUDE (rn) FROM (

@@ -155,8 +155,8 @@ def test_a_load_that_breaks_off_hides_nothing(spark, seed, tmp_path, monkeypatch
     home = str(tmp_path / "tree")
     whole = store.insert_new_subtrees
 
-    def broken(*args):
-        return whole(*args) | {"sub_strands": spark.range(1).selectExpr("raise_error('stop') AS id")}
+    def broken(*args, **how):
+        return whole(*args, **how) | {"sub_strands": spark.range(1).selectExpr("raise_error('stop') AS id")}
 
     monkeypatch.setattr(store, "insert_new_subtrees", broken)
     with pytest.raises(Exception, match="stop"):
