@@ -7,140 +7,19 @@ or continuously with a processing-time trigger.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lessonloom.operators.lessons import latest_per_id
 from lessonloom.operators.quality import with_status
 from lessonloom.operators.sections import section_responses
-from lessonloom.session import drop_dir, path_exists
+from lessonloom.streaming.live_count import live_count, read_state, stream_saved_count
 
-# Buckets of the id state, fixed for the life of a state folder: choose as many as keep
-# a bucket small enough for one task. Beyond 32 Spark lists their folders in a job.
-BUCKETS = 32
-STATE_SCHEMA = "id STRING, op STRING, ts TIMESTAMP_NTZ, seq BIGINT"
-# One row per bucket: the batch that wrote it last, and its number of existing lessons.
-INDEX_SCHEMA = "bucket INT, version BIGINT, lessons BIGINT"
+__all__ = ["drain", "live_count", "read_state", "read_validated", "stream_saved_count", "stream_sections", "stream_validate"]
 
 
 def _trigger(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def _index(spark: SparkSession, path: str, epoch: int) -> dict[int, tuple[int, int]]:
-    """Version and lesson count of each bucket after batch ``epoch``; at most one entry
-    per bucket."""
-    if epoch < 0:
-        return {}
-    rows = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index/epoch={epoch}")
-    entries = rows.agg(F.collect_list(F.struct("bucket", "version", "lessons"))).first()[0]
-    return {r["bucket"]: (r["version"], r["lessons"]) for r in entries}
-
-
-def _bucket_path(path: str, version: int, bucket: int) -> str:
-    return f"{path}/state/epoch={version}/bucket={bucket}"
-
-
-def _read_buckets(spark: SparkSession, path: str, index: dict[int, tuple[int, int]]) -> DataFrame:
-    folders = [_bucket_path(path, version, bucket) for bucket, (version, _) in index.items()]
-    if not folders:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(*folders)
-
-
-def read_state(spark: SparkSession, path: str, epoch: int) -> DataFrame:
-    """Latest row per id after batch ``epoch``, the last or the one before it."""
-    return _read_buckets(spark, path, _index(spark, path, epoch))
-
-
-def stream_saved_count(
-    log: DataFrame, path: str, checkpoint: str, every: str | None = None, buckets: int = BUCKETS
-) -> StreamingQuery:
-    """Keep the number of existing lessons up to date from the change log.
-
-    The state, one row per id, lies in hash buckets of the id. A batch is reduced
-    to its latest row per id and merged with the buckets of those ids, which are
-    written anew under the batch's number; an index of one row per bucket then
-    names the valid version and the lesson count of each. A batch that is run
-    again after a failure reads only the index before it and overwrites its own
-    output, and a re-delivered event changes nothing, so neither counts twice.
-    Deleting an unknown id changes the count by zero. Versions that the index
-    before the running batch no longer names are deleted.
-    """
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        _clear(spark, path, epoch)
-        # The type of id is the stream's own; the state stores it as text.
-        fresh = latest_per_id(
-            batch.select(F.col("id").cast("string").alias("id"), "op", "ts", "seq")
-        ).persist()
-        try:
-            settle(spark, fresh, epoch)
-        finally:
-            fresh.unpersist()
-
-    def settle(spark: SparkSession, fresh: DataFrame, epoch: int) -> None:
-        index = _index(spark, path, epoch - 1)
-        touched = set(fresh.select(_bucket(buckets)).agg(F.collect_set("bucket")).first()[0])
-        before = _read_buckets(spark, path, {b: v for b, v in index.items() if b in touched})
-        # Ids are one row each on both sides, so buckets are even; their one shuffle
-        # serves the grouping and leaves each bucket in one file.
-        both = before.unionByName(fresh).select(_bucket(buckets), "*").repartition("bucket")
-        merged = (
-            both.groupBy("bucket", "id")
-            .agg(F.max_by(F.struct("op", "ts", "seq"), F.struct("ts", "seq")).alias("now"))
-            .select("bucket", "id", "now.*")
-        )
-        here = f"{path}/state/epoch={epoch}"
-        if touched:
-            merged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(here)
-            counted = (
-                spark.read.schema(STATE_SCHEMA + ", bucket INT")
-                .parquet(here)
-                .groupBy("bucket")
-                .agg(F.count_if(F.col("op") == "save").alias("lessons"))
-                .agg(F.collect_list(F.struct("bucket", "lessons")))
-            ).first()[0]
-            index |= {r["bucket"]: (epoch, r["lessons"]) for r in counted}
-        rows = [(b, *entry) for b, entry in sorted(index.items())]
-        entries = spark.createDataFrame(rows, INDEX_SCHEMA)
-        entries.coalesce(1).write.mode("overwrite").parquet(f"{path}/index/epoch={epoch}")
-
-    writer = log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return _trigger(writer, every).start()
-
-
-def _clear(spark: SparkSession, path: str, epoch: int) -> None:
-    """Delete what batch ``epoch``, even when run again, does not read: the index two
-    batches back and the bucket versions that only it names."""
-    if epoch < 2:
-        return
-    if not path_exists(spark, f"{path}/index/epoch={epoch - 2}"):
-        return
-    valid = _index(spark, path, epoch - 1)
-    for bucket, (version, _) in _index(spark, path, epoch - 2).items():
-        if valid[bucket][0] != version:
-            drop_dir(spark, _bucket_path(path, version, bucket))
-    drop_dir(spark, f"{path}/index/epoch={epoch - 2}")
-
-
-def live_count(spark: SparkSession, path: str) -> DataFrame:
-    """The count after the last batch, from the last index alone (two are kept)."""
-    per_epoch = (
-        spark.read.schema(INDEX_SCHEMA + ", epoch BIGINT")
-        .parquet(f"{path}/index")
-        .groupBy("epoch")
-        .agg(F.sum("lessons").alias("lessons"))
-    )
-    last = F.max_by("lessons", "epoch")
-    return per_epoch.agg(F.coalesce(last, F.lit(0).cast("bigint")).alias("lessons"))
-
-
 def stream_validate(
     requests: DataFrame, required: list[str], path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
