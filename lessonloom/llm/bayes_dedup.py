@@ -9,8 +9,9 @@ pair is dropped once its chance of reaching the wanted similarity falls below
 
 Texts with equal sets are one class, so copies cost one row. In a bucket all
 classes are first compared with one of them, which joins large groups without
-all their pairs; then only classes that are still apart are compared with each
-other.
+all their pairs. Then classes that are still apart are compared with each other in
+groups of bounded size that carry their signatures and sets: no table of pairs is
+made, and a group returns only the links that join what it holds apart.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lessonloom.llm.graph import components
-from lessonloom.llm.tasks import map_batches
+from lessonloom.llm.tasks import block_batches, map_batches
 from lessonloom.session import lasting, scratch, with_rows, written
 
 # At similarity 0.85 a pair agrees in no band with a chance of 2 in 10^8.
 BANDS, BAND_ROWS = 30, 5
 HASHES = BANDS * BAND_ROWS
 BATCH, MISS = 25, 1e-8
-STAR_TURNS = 2
+BLOCK = 1024  # classes of a bucket that are compared with as many others in one group
+_AT_ONCE = 1 << 18
 _KNOWN_WORDS = 1 << 20
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _HALF = np.uint64(32)
@@ -116,7 +118,7 @@ def _scanned(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
-            T.StructField("key", T.StringType()),
+            T.StructField("key", T.BinaryType()),
             T.StructField("n", T.LongType()),
             T.StructField("digest", T.BinaryType()),
             T.StructField("signature", T.BinaryType()),
@@ -140,7 +142,8 @@ def _scanned(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
 
 def _key(text: str) -> Column:
-    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("key")
+    """Names a text: the bytes of its SHA-256."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("key")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -149,7 +152,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         known = _WordHashes()
         for batch in batches:
-            made = [shingle_set(t, width, known).view(np.int64) for t in batch.column(1).to_pylist()]
+            made = [np.sort(shingle_set(t, width, known).view(np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["c", "s"])
 
     return map_batches(texts.select("c", F.col("_t").cast("binary")), run, "c BIGINT, s ARRAY<BIGINT>")
@@ -159,26 +162,107 @@ def _size_allows(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _portions(at: np.ndarray, n: np.ndarray):
+    """``at`` in runs whose sets hold about ``_AT_ONCE`` shingles in all."""
+    part = np.cumsum(n[at]) // _AT_ONCE
+    return np.split(at, np.flatnonzero(np.diff(part)) + 1)
+
+
+def joining_links(lo: int, hi: int, rows: list, percent: int) -> pa.RecordBatch:
+    """Links among the rows ``(band, block, class, size, root, signature, set)`` of a
+    bucket that join different roots, and none that joins what they already do.
+
+    A pair belongs to the first band it agrees in, and to the two blocks it lies in.
+    """
+    band, blocks = rows[0][0], np.array([r[1] for r in rows])
+    c, n, root = (np.array([r[at] for r in rows], dtype=np.int64) for at in (2, 3, 4))
+    marks = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(-1, HASHES)
+    found = []
+    for i in range(len(rows) - 1):
+        others = np.arange(i + 1, len(rows))
+        small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
+        others = others[(root[others] != root[i]) & (small * 100 >= large * percent) & ((lo == hi) | (blocks[others] != blocks[i]))]
+        if not len(others):
+            continue
+        agree = (marks[others, : band * BAND_ROWS] == marks[i, : band * BAND_ROWS]).reshape(len(others), band, BAND_ROWS)
+        others = others[~agree.all(axis=2).any(axis=1)]
+        others = others[plausible(marks[others], np.broadcast_to(marks[i], (len(others), HASHES)), percent)]
+        if not len(others):
+            continue
+        for some in _portions(others, n):
+            sets = [rows[j][6] for j in some]
+            met = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(rows[i][6], met), n[i] - 1)
+            both = np.add.reduceat((rows[i][6][at] == met).astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
+            for j in some[both * 100 >= (n[some] + n[i] - both) * percent]:
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    found.append((min(c[i], c[j]), max(c[i], c[j])))
+    columns = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["x", "y"])
+
+
 class _Verifier:
-    """Turns candidate pairs of classes into links."""
+    """Turns candidate pairs of classes into links.
+
+    The texts of all classes that share a bucket are fetched once, one per class.
+    What is wanted of them grows with the input, so it is never broadcast.
+    """
 
-    def __init__(self, docs: DataFrame, text: str, classes: DataFrame, width: int, percent: int):
-        self.texts = docs.select(_key(text), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    def __init__(self, docs: DataFrame, text: str, classes: DataFrame, members: DataFrame, width: int, percent: int):
         self.classes, self.width, self.percent = classes, width, percent
+        wanted = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "key")
+        whole = docs.select(_key(text), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+        found = whole.join(wanted.hint("merge"), "key").groupBy("key").agg(F.first("c").alias("c"), F.first("_t").alias("_t"))
+        self.texts = written(found.select("c", "_t"), "texts")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``c, s``: the shingle sets of the classes ``wanted``."""
+        return written(_sets(self.texts.join(wanted.hint("merge"), "c", "left_semi"), self.width), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """``x, y`` of the pairs that reach the similarity on their whole sets."""
-        survivors = written(self._survivors(written(pairs.distinct(), "pairs")), "survivors")
-        wanted = survivors.select(F.col("x").alias("c")).union(survivors.select("y")).distinct()
-        keys = written(wanted.join(self.classes.select("c", "key"), "c"), "wanted")
-        texts = self.texts.join(keys, "key").groupBy("c").agg(F.first("_t").alias("_t"))
-        sets = written(_sets(texts, self.width), "sets")
-        met = survivors.join(sets.select(F.col("c").alias("x"), "s"), "x").join(
-            sets.select(F.col("c").alias("y"), F.col("s").alias("t")), "y"
-        )
-        both = met.withColumn("both", F.size(F.array_intersect("s", "t")).cast("bigint"))
-        either = F.size("s") + F.size("t") - F.col("both")
-        return written(both.where(F.col("both") * 100 >= either * self.percent).select("x", "y"), "links")
+        """``x, y`` of the pairs that no signature rules out and that reach the similarity."""
+        with scratch(pairs.sparkSession):
+            survivors = written(self._survivors(written(pairs.distinct(), "pairs")), "survivors")
+            sets = self.sets(survivors.select(F.col("x").alias("c")).union(survivors.select("y")).distinct())
+            met = survivors.join(sets.select(F.col("c").alias("x"), "s"), "x").join(
+                sets.select(F.col("c").alias("y"), F.col("s").alias("t")), "y"
+            )
+            both = met.withColumn("both", F.size(F.array_intersect("s", "t")).cast("bigint"))
+            either = F.size("s") + F.size("t") - F.col("both")
+            return lasting(both.where(F.col("both") * 100 >= either * self.percent).select("x", "y"), "links")
+
+    def links_within(self, apart: DataFrame) -> DataFrame:
+        """``x, y``: links that join all classes of ``apart`` that are linked in a bucket.
+
+        A bucket's classes are dealt to blocks by a hash, and every two blocks meet
+        in a group of their own of about twice ``BLOCK`` rows.
+        """
+        percent = self.percent
+        many = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        placed = apart.join(many, "bucket").withColumn("i", F.pmod(F.xxhash64("c", "bucket"), F.col("blocks")).cast("int"))
+        met = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets = self.sets(apart.select("c").distinct())
+        whole = met.join(self.classes.select("c", "signature"), "c").join(sets, "c")
+        grouped = whole.select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "b", "i", "c", "n", "root", "signature", "s")
+        dealt = grouped.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+        def run(batches):
+            key, rows = None, []
+            for batch in batches:
+                columns = [column.to_pylist() for column in batch.columns[:-1]]
+                ends, flat = batch.column(9).offsets.to_numpy(), batch.column(9).values.to_numpy()
+                for at, (bucket, lo, hi, *rest) in enumerate(zip(*columns)):
+                    if (bucket, lo, hi) != key:
+                        if len(rows) > 1:
+                            yield joining_links(key[1], key[2], rows, percent)
+                        key, rows = (bucket, lo, hi), []
+                    rows.append((*rest, flat[ends[at] : ends[at + 1]]))
+            if len(rows) > 1:
+                yield joining_links(key[1], key[2], rows, percent)
+
+        with block_batches(apart.sparkSession):
+            return written(map_batches(dealt, run, "x BIGINT, y BIGINT"), "links")
 
     def _survivors(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -194,46 +278,28 @@ class _Verifier:
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``bucket, c, n, root`` of the buckets whose classes are not all joined by ``links``."""
+    """``bucket, b, c, n, root`` of the buckets whose classes are not all joined by ``links``."""
     joined = components(links, "x", "y").select(F.col("node").alias("c"), "root")
     named = members.join(joined, "c", "left").withColumn("root", F.coalesce("root", "c"))
     open_ = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return written(named.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "c", "n", "root"), "apart")
+    return written(named.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "b", "c", "n", "root"), "apart")
 
 
 def _class_links(docs: DataFrame, text: str, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    verifier = _Verifier(docs, text, classes, width, percent)
     size = 2 * BAND_ROWS
     band = F.expr(f"substring(signature, b * {size} + 1, {size})")
     banded = classes.select("c", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
-    buckets = banded.select(F.xxhash64("b", band).alias("bucket"), "c", "n")
+    buckets = banded.select(F.xxhash64("b", band).alias("bucket"), "b", "c", "n")
     firsts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("c", "n")).alias("first"))
     shared = written(buckets.join(firsts.where("many > 1"), "bucket"), "shared")
+    verifier = _Verifier(docs, text, classes, shared, width, percent)
 
     others = shared.where(F.col("c") != F.col("first.c"))
     star = others.where(_size_allows(F.col("n"), F.col("first.n"), percent))
     links = verifier.links(star.select(F.col("first.c").alias("x"), F.col("c").alias("y")))
-
     # A bucket's first class has met the others, which may still be apart from each other.
-    apart = _apart(others.where("many > 2").select("bucket", "c", "n"), links)
-    for turn in range(STAR_TURNS):
-        order = F.struct(F.xxhash64("c", "bucket", F.lit(turn)).alias("o"), "c", "n")
-        groups = apart.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("many"), F.min(order).alias("one"))
-        chosen = groups.groupBy("bucket").agg(F.max(F.struct("many", "root", "one")).alias("f"))
-        met = apart.join(chosen, "bucket").where(
-            (F.col("root") != F.col("f.root")) & _size_allows(F.col("n"), F.col("f.one.n"), percent)
-        )
-        pairs = met.select(F.least("c", "f.one.c").alias("x"), F.greatest("c", "f.one.c").alias("y"))
-        more = verifier.links(pairs)
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        apart = _apart(apart.drop("root"), links)
-    left, right = apart.toDF("bucket", "x", "n", "p"), apart.toDF("bucket", "y", "m", "q")
-    rest = left.join(right, "bucket").where(
-        (F.col("x") < F.col("y")) & (F.col("p") != F.col("q")) & _size_allows(F.col("n"), F.col("m"), percent)
-    )
-    return links.union(verifier.links(rest.select("x", "y")))
+    apart = _apart(others.where("many > 2").select("bucket", "b", "c", "n"), links)
+    return links.union(verifier.links_within(apart))
 
 
 def near_duplicate_groups(
