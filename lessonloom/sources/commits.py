@@ -16,10 +16,17 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COMMIT = "n BIGINT, kind STRING, name STRING, attempt STRING, upto BIGINT"
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows."""
+    fields = T.StructType.fromDDL(schema)
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, empty if nothing has been written there yet."""
     try:
@@ -27,7 +34,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
 
 
 def read_commits(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +44,7 @@ def read_commits(spark: SparkSession, folder: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], COMMIT)
+        return empty(spark, COMMIT)
 
 
 def history(spark: SparkSession, folder: str, after: int = -1) -> list[Row]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from lessonloom.operators.lessons import latest_per_id
 from lessonloom.schemas import LESSON_LOG
 from lessonloom.session import drop_dir
-from lessonloom.sources.commits import append_commit, history
+from lessonloom.sources.commits import append_commit, empty, history
 
 
 def append(events: DataFrame, path: str) -> int:
@@ -90,5 +90,5 @@ def _merged(spark: SparkSession, path: str, past: list[Row]) -> DataFrame:
     folders = [_part(path, c["attempt"]) for c in later]
     folders += [] if last is None else [_snapshot(path, last["attempt"])]
     if not folders:
-        return spark.createDataFrame([], LESSON_LOG)
+        return empty(spark, LESSON_LOG)
     return latest_per_id(spark.read.schema(LESSON_LOG).parquet(*folders))
