@@ -151,10 +151,11 @@ def test_slices_lose_no_window(monkeypatch):
     text = "".join(rng.choice(["ab", "c", "déf", "x" * 90]) + rng.choice([" ", "  ", "\t", ". ", "\n"]) for _ in range(3000)).encode()
 
     def counted():
-        counts, found = collocations.WindowCounts(), Counter()
+        counts, found = collocations.WindowCounts(5), Counter()
         for batch in [*counts.add("en", [text, b"", text]), *counts.flush()]:
             for row in batch.to_pylist():
-                found[row["w1"], row["w2"], row["w3"]] += row["f"]
+                for phrase, f in collocations._unpacked(row["phrases"], row["counts"]):
+                    found[phrase, row["block"]] += f
         return found
 
     whole = counted()
