@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonloom.session import written
+from lessonloom.session import lasting, scratch, written
 
 
 def _starred(edges: DataFrame, small: bool) -> DataFrame:
@@ -45,21 +45,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shared folder, so lineage stays short. Self links and nulls are ignored.
     """
     u, v = F.greatest(a, b), F.least(a, b)
-    edges = written(
-        links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(u.alias("u"), v.alias("v"))
-        .distinct(),
-        "edges",
-    )
-    state = None
-    while True:
-        now = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
-        edges = written(_starred(_starred(edges, small=False), small=True), "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        edges.select(F.col("v"), F.col("v")).distinct()
-    )
+    with scratch(links.sparkSession):
+        edges = written(
+            links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+            .select(u.alias("u"), v.alias("v"))
+            .distinct(),
+            "edges",
+        )
+        state = None
+        while True:
+            now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state or now[0] == 0:
+                break
+            state = now
+            edges = written(_starred(_starred(edges, small=False), small=True), "edges")
+        stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return lasting(stars.union(edges.select(F.col("v"), F.col("v")).distinct()), "components")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lessonloom.session import fresh_dir, with_rows, written
+from lessonloom.session import fresh_dir, lasting, scratch, shuffles_dropped, with_rows, written
 
 FIRST_DIGIT, GROWTH, WIDEST = 64, 4, 1 << 20
 _DONE, _OPEN = 0, 1
@@ -48,7 +48,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         active = body
     else:  # written once, so that row numbers stay as they are
         start = fresh_dir(spark, "radix")
-        body.write.parquet(start)
+        with shuffles_dropped(spark):
+            body.write.parquet(start)
         active = spark.read.schema(body.schema).parquet(start)
     active = _narrowed(active)
     kept_type = T.StructType([T.StructField("n", T.BooleanType()), T.StructField("i", docs.schema[doc_id].dataType), T.StructField("_row", T.LongType())])
@@ -65,7 +66,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     finished, width = [], FIRST_DIGIT
     while True:
         path = fresh_dir(spark, "radix")
-        _round(active, width).select(*schema.names).write.partitionBy("_state").parquet(path)
+        with shuffles_dropped(spark):
+            _round(active, width).select(*schema.names).write.partitionBy("_state").parquet(path)
         split = spark.read.schema(schema).parquet(path)
         finished.append(split.where(F.col("_state") == _DONE))
         active = split.where(F.col("_state") == _OPEN).select(*body.columns)
@@ -129,6 +131,7 @@ def _round(active: DataFrame, width: int) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts: the first with the smallest id."""
     rows = with_rows(docs, "documents")
-    groups = exact_groups(rows, doc_id, text)
-    dropped = groups.where(F.col("_row") != F.col("keep_row")).select("_row")
+    with scratch(docs.sparkSession):
+        groups = exact_groups(rows, doc_id, text)
+        dropped = lasting(groups.where(F.col("_row") != F.col("keep_row")).select("_row"), "dropped")
     return rows.join(dropped, "_row", "left_anti").select(*docs.columns)

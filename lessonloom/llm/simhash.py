@@ -26,14 +26,14 @@ from pyspark.sql import types as T
 
 from lessonloom.llm.graph import components
 from lessonloom.llm.tasks import map_batches
-from lessonloom.session import drop_dir, scratch_scope, with_rows, written
+from lessonloom.session import lasting, scratch, with_rows, written
 
 # Fixed values of the code: length, covering radius, generator polynomial.
 BLOCK, RADIUS, GENERATOR = 23, 3, 0b110001110101
 _CHECKS = 11
 _MASK = (1 << BLOCK) - 1
 _NEVER = 99
-STAR_TURNS = 2
+STAR_TURNS = 3
 
 
 def shingles(text: str | None, width: int):
@@ -210,8 +210,9 @@ def _common(docs: DataFrame, text: str, width: int, share: int = 8, most: int =
 
     some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(share)) == 0).select(F.col(text))
     counts = map_batches(some, run, "s BIGINT").groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    top = counts.orderBy(F.desc("c"), "s").limit(most).toPandas()
-    found, times = top["s"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    top = written(counts.orderBy(F.desc("c"), "s").limit(most), "common")
+    s, c = top.agg(F.collect_list("s"), F.collect_list("c")).first()  # at most ``most`` numbers each
+    found, times = np.array(s, np.int64), np.array(c, np.int64)
     order = np.argsort(found)
     return found[order], times[order]
 
@@ -262,17 +263,19 @@ def _may_reach(n: Column, at: Column, m: Column, to: Column, similarity: float)
 
 def _verified(pairs: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
     """``x, y`` of the ``pairs`` that reach ``similarity``, by their whole shingle sets."""
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("x").alias("_row")).union(pairs.select("y")).distinct()
-    sets = written(_shingle_sets(keyed.join(wanted, "_row", "left_semi"), width), "shingles")
-    links = (
-        pairs.join(sets.select(F.col("_row").alias("x"), F.col("fp").alias("s")), "x")
-        .join(sets.select(F.col("_row").alias("y"), F.col("fp").alias("t")), "y")
-        .withColumn("both", F.size(F.array_intersect("s", "t")))
-        .withColumn("any", F.size("s") + F.size("t") - F.col("both"))
-        .where(F.col("both") >= F.lit(similarity) * F.col("any"))
-    )
-    return written(links.select("x", "y"), "links")
+    with scratch(pairs.sparkSession):
+        pairs = written(pairs.distinct(), "pairs")
+        # These grow with the input, so they are never broadcast.
+        wanted = pairs.select(F.col("x").alias("_row")).union(pairs.select("y")).distinct()
+        sets = written(_shingle_sets(keyed.join(wanted.hint("merge"), "_row", "left_semi"), width), "shingles")
+        links = (
+            pairs.join(sets.select(F.col("_row").alias("x"), F.col("fp").alias("s")), "x")
+            .join(sets.select(F.col("_row").alias("y"), F.col("fp").alias("t")), "y")
+            .withColumn("both", F.size(F.array_intersect("s", "t")))
+            .withColumn("any", F.size("s") + F.size("t") - F.col("both"))
+            .where(F.col("both") >= F.lit(similarity) * F.col("any"))
+        )
+        return lasting(links.select("x", "y"), "links")
 
 
 def _apart(places: DataFrame, links: DataFrame) -> DataFrame:
@@ -283,9 +286,17 @@ def _apart(places: DataFrame, links: DataFrame) -> DataFrame:
     return written(named.join(mixed.select("s"), "s", "left_semi"), "apart")
 
 
+def _repeated(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The prefix rows whose shingle is in the prefix of more than one text. Repeated
+    shingles are found on hashes alone, before the wider rows are shuffled."""
+    with scratch(keyed.sparkSession):
+        places = written(_prefixes(keyed, "_t", width, similarity), "prefixes")
+        often = places.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s")
+        return lasting(places.join(written(often, "often"), "s", "left_semi"), "repeated")
+
+
 def near_duplicates(
     docs: DataFrame,
-    doc_id: str = "doc_id",
     text: str = "text",
     width: int = 5,
     similarity: float = 0.8,
@@ -298,16 +309,22 @@ def near_duplicates(
     is lost: sets that similar share a shingle of their prefixes (``prefix``),
     and every pair that does is verified, unless sizes and places rule it out or
     it is already joined. First each text is compared with one text of each of
-    its prefix shingles, ``STAR_TURNS`` times anew with another one, which joins
-    large groups without all their pairs; then all pairs of texts that are
+    its prefix shingles, ``STAR_TURNS`` times anew with another one, which
+    joins large groups without all their pairs; then all pairs of texts that are
     still apart are compared.
     Wordless texts are near duplicates of each other only.
     """
     rows = with_rows(docs, "documents")
-    keyed = rows.select("_row", F.col(text).alias("_t"))
-    places = written(_prefixes(keyed, "_t", width, similarity), "prefixes")
+    with scratch(docs.sparkSession):
+        groups = components(_links(rows.select("_row", F.col(text).alias("_t")), width, similarity), "x", "y")
+        return rows, lasting(groups.select(F.col("node").alias("_row"), "root"), "groups")
+
+
+def _links(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links that join every group of :func:`near_duplicates`."""
+    places = _repeated(keyed, width, similarity)
     firsts = places.groupBy("s").agg(F.min(F.struct("_row", "n", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
-    shared = written(places.join(firsts.where("c > 1"), "s"), "shared")
+    shared = written(places.join(firsts, "s"), "shared")
 
     reach = _may_reach(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), similarity)
     star = shared.where((F.col("_row") != F.col("first._row")) & reach)
@@ -333,9 +350,7 @@ def near_duplicates(
     right = others.select("s", F.col("_row").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("q"))
     reach = _may_reach(F.col("n"), F.col("at"), F.col("m"), F.col("to"), similarity)
     rest = left.join(right, "s").where((F.col("x") < F.col("y")) & (F.col("p") != F.col("q")) & reach)
-    links = links.union(_verified(rest.select("x", "y"), keyed, width, similarity))
-    groups = components(links, "x", "y")
-    return rows, groups.select(F.col("node").alias("_row"), "root")
+    return links.union(_verified(rest.select("x", "y"), keyed, width, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
@@ -344,12 +359,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> Data
     Null ids come after all others; among equal ids the first row stays. The
     columns are those of ``docs``.
     """
-    with scratch_scope() as made:
-        rows, groups = near_duplicates(docs, doc_id, **how)
-        groups = written(groups, "groups")
-    for label, path in made:
-        if label not in ("documents", "groups"):
-            drop_dir(docs.sparkSession, path)
+    rows, groups = near_duplicates(docs, **how)
     ids = rows.select("_row", F.col(doc_id).alias("_id")).join(groups, "_row")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("_row"))
     kept = ids.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o._row").alias("_row"))
