@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import lessonloom
@@ -39,10 +43,23 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = folder
 
 
+def _tidy(run):
+    """``run``, whose worker gives back at the end of a task what it no longer uses."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with the package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidy(run), schema)
 
 
 @contextmanager
