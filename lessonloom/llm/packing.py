@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonloom.functions.ranks import global_rank
+from lessonloom.functions.ranks import global_rank, unused
+from lessonloom.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,9 +81,11 @@ def pack(
     ``docs`` are replaced. Repeated rows are packed one by one. An empty table
     gives no rows.
     """
-    added = ["n_tokens", "bucket_len", "batch", "slot", "padding", "_order"]
+    added = ["n_tokens", "bucket_len", "batch", "slot", "padding"]
     own = [c for c in docs.columns if c not in added]
-    counted = docs.select(*own).withColumn("n_tokens", token_count(F.col(text)))
+    # Words are counted once; all that follows but the ranking reads only the counts.
+    counted = written(docs.select(*own).withColumn("n_tokens", token_count(F.col(text))), "counted")
+    order, rank = unused(counted, "_order"), unused(counted, "_rank")
     histogram = (
         counted.groupBy(cell(F.col("n_tokens")).alias("cell"))
         .agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
@@ -94,14 +97,14 @@ def pack(
     for end in reversed(ends[:-1]):
         bucket = F.when(F.col("n_tokens") <= end, F.lit(end).cast("bigint")).otherwise(bucket)
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    placed = counted.withColumn("bucket_len", bucket).withColumn("_order", F.md5(F.concat_ws("|", F.lit(str(seed)), name)))
-    ranked = global_rank(placed, ["bucket_len"], ["_order", doc_id], "_rank")
+    placed = counted.withColumn("bucket_len", bucket).withColumn(order, F.md5(F.concat_ws("|", F.lit(str(seed)), name)))
+    ranked = global_rank(placed, ["bucket_len"], [order, doc_id], rank)
     per_batch = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(budget) / F.col("bucket_len")))
     return ranked.select(
         *own,
         "n_tokens",
         "bucket_len",
-        F.floor(F.col("_rank") / per_batch).alias("batch"),
-        (F.col("_rank") % per_batch).alias("slot"),
+        F.floor(F.col(rank) / per_batch).alias("batch"),
+        (F.col(rank) % per_batch).alias("slot"),
         (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
     )
