@@ -22,8 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, d
 
     The rows with the smallest hashed ids are taken, half of them from the rows
     with label 1 and half from those with label 0 if both have enough. Rows with
-    null id or label are not used; of a doc_id that occurs more than once one
-    row is.
+    null id or label are not used; of a doc_id that occurs more than once the text
+    with the smallest hash is.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     narrow = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y"))
@@ -33,8 +33,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, d
     )
     chosen = written(chosen, "sample").groupBy("_id").agg(F.min("y").alias("y"))  # at most ``most`` narrow rows
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    met = texts.join(F.broadcast(chosen), "_id")
-    return written(met.select("_id", "y", "text").orderBy(F.xxhash64("_id", "text")), "sample")
+    met = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return written(met.orderBy(F.xxhash64("_id", "text")), "sample")
 
 
 def fitted(sample: DataFrame, fit):

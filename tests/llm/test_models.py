@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
 
 import numpy as np
 
 import corpus_pipeline
 from lessonloom.llm import quality, toxicity
 from lessonloom.llm.text_hash import Hashed, pieces
+from lessonloom.llm.training import labelled_sample
+from lessonloom.session import path_exists, shared_dir, written
 
 
 def test_hashes_agree_with_words():
@@ -66,7 +70,7 @@ def test_pipeline_stages_keep_their_contract(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     before = docs
     for name, stage in corpus_pipeline.STAGES:
-        after = corpus_pipeline.written(stage(spark, before, sf), name)
+        after = written(stage(spark, before, sf), name)
         ids, old = [r[0] for r in after.select("doc_id").collect()], [r[0] for r in before.select("doc_id").collect()]
         if name == "toxicity":
             assert np.mean([labels.get(i, 0) == 0 for i in ids]) > 0.9 and len(ids) > 0.7 * len(old)
@@ -86,3 +90,29 @@ def test_fitting_without_both_labels():
     model = toxicity.fit([0, 0], ["a", "b"])
     assert toxicity.score_texts(model, model.table(), ["", "x"]).max() < 0.3
     assert quality.score_texts(quality.fit([1, 1], ["a", "b"]), ["", "x"]).min() > 0.7
+
+
+def test_two_runs_leave_only_what_their_results_read(spark, sf):
+    def folders():
+        where = shared_dir(spark)
+        return set(os.listdir(where.removeprefix("file:"))) if path_exists(spark, where) else set()
+
+    before = folders()
+    first, second = corpus_pipeline.run(spark, sf), corpus_pipeline.run(spark, sf)
+    rows = sorted(str(r) for r in first.collect())
+    assert rows and rows == sorted(str(r) for r in second.collect())
+    left = folders() - before
+    assert not [name for name in left if re.search("scratch|toxicity|dedup", name)], left
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.range(20000).selectExpr("id % 3 AS doc_id", "concat('t', id % 5) AS text").union(
+        spark.range(50).selectExpr("id AS doc_id", "'x' AS text")
+    )
+    labels = spark.range(50).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic").union(
+        spark.range(900).selectExpr("0 AS doc_id", "1 AS toxic")
+    )
+    rows = labelled_sample(docs, labels, "toxic", 40, "doc_id", "text").collect()
+    assert 20 <= len(rows) <= 40 and len({r["_id"] for r in rows}) == len(rows)
+    again = labelled_sample(docs.repartition(7), labels, "toxic", 40, "doc_id", "text").collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
