@@ -62,9 +62,25 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     (RESERVED, "All rights reserved."),
     (RESERVED, "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 ]
+# Identifier lines, by the license they name. An identifier that is none of these is most
+# like the line without any, so it is found as unknown and stops inheritance as well.
+UNKNOWN = "NOASSERTION"
+IDENTIFIERS = [
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause",
+    "BSD-3-Clause", "ISC", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense",
+]
+TEMPLATES += [(UNKNOWN, "SPDX-License-Identifier:")]
+TEMPLATES += [
+    (name, f"SPDX-License-Identifier: {name}{ending}")
+    for name in IDENTIFIERS
+    for ending in (("", "-only", "-or-later") if "GPL" in name else ("",))
+]
 _TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 

@@ -194,3 +194,19 @@ def test_reserved_rights_and_sibling_licenses(spark):
     got = {r["path"]: (r["license"], r["license_from"]) for r in found}
     assert got.pop("a/LICENSE")[0] == "MIT" and got.pop("a/both") == ("MIT", "a/both")
     assert got == {f"a/{name}": (name, f"a/{name}") for name in notices}
+
+
+def test_identifier_lines_stop_inheritance(spark):
+    prose = "some words about nothing at all in this line\n" * 30
+    rows = [("a/LICENSE", "Released under the MIT License.\n"), ("a/plain.py", prose), ("a/free.c", prose + "# This is free and unencumbered software released into the public domain.\n")]
+    names = {
+        "GPL-3.0-only": "GPL-3.0", "GPL-2.0-or-later": "GPL-2.0", "Apache-2.0": "Apache-2.0", "LGPL-2.1-only": "LGPL-2.1",
+        "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC", "CC0-1.0": "CC0-1.0", "MPL-2.0": "MPL-2.0",
+        "MIT": "MIT", "Zlib": "NOASSERTION", "LicenseRef-Own": "NOASSERTION",
+    }
+    rows += [(f"a/{name}.py", f"# SPDX-License-Identifier: {name}\n" + prose) for name in names]
+    found = licenses.license_scan(spark.createDataFrame(rows, "path STRING, text STRING")).collect()
+    got = {r["path"]: (r["license"], r["license_from"]) for r in found}
+    assert {name: got[f"a/{name}.py"][0] for name in names} == names
+    assert all(got[f"a/{name}.py"][1] in (f"a/{name}.py", None) or got[f"a/{name}.py"][1] != "a/LICENSE" for name in names)
+    assert got["a/plain.py"][0] == "MIT" and got["a/free.c"][0] == "Unlicense"
