@@ -39,19 +39,21 @@ def md_math(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def md_lines(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per line with its kind, number (numbered lines only) and content."""
     exploded = each(df, keys, lines(F.col(text)), "line_no", "_line")
-    line, mark = F.col("_line"), F.col("_mark")
-    # The first character spares most lines the pattern.
+    line, lead = F.col("_line"), F.col("_lead")
+    # The first character spares most lines the pattern, which runs once per line: the
+    # mark is the lead without its white space.
     may_lead = F.substring(line, 1, 1).rlike("[-#•0-9]")
-    led = exploded.withColumn("_mark", F.when(may_lead, F.regexp_extract(line, LEAD, 1)).otherwise(""))
+    led = exploded.withColumn("_lead", F.when(may_lead, F.regexp_extract(line, LEAD, 0)).otherwise(""))
+    mark = trimmed(lead)
     kind = (
-        F.when(mark == "", F.when(trimmed(line) == "", "blank").otherwise("paragraph"))
+        F.when(lead == "", F.when(trimmed(line) == "", "blank").otherwise("paragraph"))
         .when(mark == "###", "h3")
         .when(mark == "##", "h2")
         .when(mark == "#", "h1")
         .when(mark.isin("-", "•"), "bullet")
         .otherwise("numbered")
     )
-    rest = F.substr(line, F.length(F.regexp_extract(line, LEAD, 0)) + 1)
+    rest = F.substr(line, F.length(lead) + 1)
     first_line = F.when(one_line(line), rest).otherwise(F.regexp_extract(rest, rf"^{DOT}*", 0))
     kinds = led.withColumn("kind", kind)
     return kinds.select(

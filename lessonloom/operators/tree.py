@@ -79,18 +79,18 @@ def tree_rows(
 def strand_indicators(
     tables: dict[str, DataFrame], subject: str, grade: str | None, strand: str
 ) -> DataFrame:
-    """Indicators of the first strand of this name that has any, each with its sub-strand."""
-    rows = tree_rows(tables, subject, grade, strand)
-    first = rows.agg(F.min("strand_id").alias("strand_id"))
-    return (
-        rows.join(first, "strand_id", "left_semi")
-        .select(
-            F.col("indicator_code").alias("code"),
-            F.col("indicator_text").alias("text"),
-            F.col("indicator_blooms").alias("blooms_level"),
-            F.col("indicator_grade").alias("grade"),
-            F.col("sub_strand_name").alias("sub_strand"),
-        )
+    """Indicators of the first strand of this name that has any, each with its sub-strand.
+
+    The first strand is the least of its sub-strands that hold an indicator, found on
+    keys alone; texts are joined for that strand only.
+    """
+    groups, indicators = _chosen(tables, subject, grade)
+    if strand:
+        groups = groups.where(F.col("strand_name") == strand)
+    used = groups.join(indicators.select("sub_strand_id"), "sub_strand_id", "left_semi")
+    first = used.agg(F.min("strand_id").alias("strand_id"))
+    return groups.join(first, "strand_id", "left_semi").join(indicators, "sub_strand_id").select(
+        "code", "text", "blooms_level", "grade", F.col("sub_strand_name").alias("sub_strand")
     )
 
 
