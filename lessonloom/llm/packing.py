@@ -1,11 +1,12 @@
 """Packing documents into batches of like length.
 
-Bucket boundaries minimise the padding over the whole corpus: a dynamic
-program over the global histogram of lengths. The histogram has cells of one
-length up to 511 and 256 cells per doubling beyond, so at most a few thousand
-rows reach the driver whatever the corpus. Within a bucket documents take
-global ranks in an order hashed from their ids, and every token budget's worth
-of consecutive ranks is a batch.
+Bucket boundaries have the least padding over the whole corpus: a dynamic
+program over the global histogram of exact lengths. A corpus of T tokens has
+at most sqrt(2 T) different lengths, so the histogram that reaches the driver,
+in Arrow columns, is small whatever the corpus; the best cut before a length
+never moves back as lengths grow, so the program halves its way through them.
+Within a bucket documents take global ranks in an order hashed from their ids,
+and every token budget's worth of consecutive ranks is a batch.
 """
 
 from __future__ import annotations
@@ -25,44 +26,62 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint") + 1
 
 
-def cell(n: Column) -> Column:
-    """The histogram cell of a length, named by its largest length."""
-    bits = F.greatest(F.length(F.bin(n)) - 9, F.lit(0))
-    step = F.expr("1L") * F.pow(F.lit(2), bits).cast("bigint")
-    return F.ceil(n / step).cast("bigint") * step
+def _least(best: np.ndarray, size: np.ndarray, docs: np.ndarray, tokens: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every end ``j`` from ``first`` on, the least padding with one more bucket over
+    lengths ``i`` to ``j - 1``, and the smallest such ``i``.
+
+    Middle ends are solved first; the cuts of the ends on either side then lie on
+    either side of theirs. All middles of a level are solved together.
+    """
+    n = len(size)
+    found, cut = np.full(n + 1, np.iinfo(np.int64).max // 4), np.zeros(n + 1, dtype=np.int64)
+    low, high = np.array([first]), np.array([n])
+    left, right = np.array([first - 1]), np.array([n - 1])
+    while len(low):
+        middle = (low + high) // 2
+        widths = np.minimum(right, middle - 1) - left + 1
+        starts = np.concatenate([[0], np.cumsum(widths)[:-1]])
+        i = np.arange(widths.sum()) + np.repeat(left - starts, widths)
+        j = np.repeat(middle, widths)
+        cost = best[i] + size[j - 1] * (docs[j] - docs[i]) - (tokens[j] - tokens[i])
+        least = np.minimum.reduceat(cost, starts)
+        hits = np.flatnonzero(cost == np.repeat(least, widths))
+        at = i[hits[np.searchsorted(hits, starts)]]
+        found[middle], cut[middle] = least, at
+        below, above = middle > low, middle < high
+        low, high, left, right = (
+            np.concatenate([low[below], middle[above] + 1]),
+            np.concatenate([middle[below] - 1, high[above]]),
+            np.concatenate([left[below], at[above]]),
+            np.concatenate([at[below], right[above]]),
+        )
+    return found, cut
 
 
-def boundaries(lengths: list[int], counts: list[int], totals: list[int], buckets: int) -> list[int]:
+def boundaries(lengths, counts, buckets: int) -> list[int]:
     """The at most ``buckets`` boundaries (largest lengths) with the least padding.
 
-    ``lengths`` ascend; ``counts`` and ``totals`` are documents and tokens per
-    cell. Of equally good boundaries the smallest are taken, from the last
-    bucket down.
+    ``lengths`` ascend; ``counts`` are the documents of each. Of equally good
+    boundaries the smallest are taken, from the last bucket down.
     """
-    n = len(lengths)
+    size, many = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+    n = len(size)
     if n == 0:
         return []
     buckets = min(buckets, n)
-    size = np.array(lengths, dtype=np.int64)
-    docs = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
-    tokens = np.concatenate([[0], np.cumsum(np.array(totals, dtype=np.int64))])
-    far = np.iinfo(np.int64).max // 4
-    best = np.full(n + 1, far)
+    docs = np.concatenate([[0], np.cumsum(many)])
+    tokens = np.concatenate([[0], np.cumsum(size * many)])
+    best = np.full(n + 1, np.iinfo(np.int64).max // 4)
     best[0] = 0
-    choice = np.zeros((buckets + 1, n + 1), dtype=np.int64)
+    cuts = []
     for b in range(1, buckets + 1):
-        now = np.full(n + 1, far)
-        for j in range(b, n + 1):
-            i = np.arange(b - 1, j)
-            cost = best[i] + size[j - 1] * (docs[j] - docs[i]) - (tokens[j] - tokens[i])
-            at = int(np.argmin(cost))
-            now[j], choice[b, j] = cost[at], i[at]
-        best = now
-    found, j = [], n
-    for b in range(buckets, 0, -1):
-        found.append(int(size[j - 1]))
-        j = int(choice[b, j])
-    return found[::-1]
+        best, cut = _least(best, size, docs, tokens, b)
+        cuts.append(cut)
+    ends, j = [], n
+    for cut in reversed(cuts):
+        ends.append(int(size[j - 1]))
+        j = int(cut[j])
+    return ends[::-1]
 
 
 def pack(
@@ -86,13 +105,8 @@ def pack(
     # Words are counted once; all that follows but the ranking reads only the counts.
     counted = written(docs.select(*own).withColumn("n_tokens", token_count(F.col(text))), "counted")
     order, rank = unused(counted, "_order"), unused(counted, "_rank")
-    histogram = (
-        counted.groupBy(cell(F.col("n_tokens")).alias("cell"))
-        .agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
-        .orderBy("cell")
-        .collect()
-    )
-    ends = boundaries([r["longest"] for r in histogram], [r["n"] for r in histogram], [r["total"] for r in histogram], buckets)
+    histogram = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
+    ends = boundaries(histogram.column("n_tokens").to_numpy(), histogram.column("n").to_numpy(), buckets)
     bucket: Column = F.lit(ends[-1] if ends else 1).cast("bigint")
     for end in reversed(ends[:-1]):
         bucket = F.when(F.col("n_tokens") <= end, F.lit(end).cast("bigint")).otherwise(bucket)

@@ -135,13 +135,10 @@ mixed AS (
 LENGTHS = """
 lengths AS (
   SELECT d.*, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS n_tokens FROM {docs} d),
-celled AS (
-  SELECT n_tokens, 1 << greatest(length(bin(n_tokens)) - 9, 0) AS step FROM lengths),
 cells AS (
-  SELECT row_number() OVER (ORDER BY cell) AS j, longest,
-    sum(n) OVER (ORDER BY cell) AS docs, sum(total) OVER (ORDER BY cell) AS tokens
-  FROM (SELECT CAST(ceil(n_tokens / step) AS BIGINT) * step AS cell, max(n_tokens) AS longest,
-          count(*) AS n, sum(n_tokens) AS total FROM celled GROUP BY ALL)),
+  SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS longest,
+    sum(n) OVER (ORDER BY n_tokens) AS docs, sum(n * n_tokens) OVER (ORDER BY n_tokens) AS tokens
+  FROM (SELECT n_tokens, count(*) AS n FROM lengths GROUP BY n_tokens)),
 edges AS (SELECT j, longest, docs, tokens FROM cells UNION ALL SELECT 0, 0, 0, 0),
 best AS (
   SELECT 0 AS b, 0 AS j, CAST(0 AS HUGEINT) AS cost

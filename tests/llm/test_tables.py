@@ -85,17 +85,22 @@ def test_boundaries_are_optimal():
     from itertools import combinations
 
     rng = random.Random(5)
-    for _ in range(20):
-        lengths = sorted(rng.sample(range(1, 60), 8))
-        counts = [rng.randrange(1, 9) for _ in lengths]
-        totals = [n * c for n, c in zip(lengths, counts)]
+    for _ in range(40):
+        lengths = sorted(rng.sample(range(1, 60), 9))
+        counts = [rng.randrange(1, 4) for _ in lengths]
 
         def padding(ends):
             return sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))
 
-        best = min(padding([*e, lengths[-1]]) for e in combinations(lengths[:-1], 2))
-        assert padding(packing.boundaries(lengths, counts, totals, 3)) == best
-    assert packing.boundaries([], [], [], 3) == [] and packing.boundaries([4], [2], [8], 3) == [4]
+        def last_first(ends):
+            return padding(ends), ends[::-1]
+
+        for buckets in (1, 2, 4):
+            every = [[*e, lengths[-1]] for e in combinations(lengths[:-1], buckets - 1)]
+            assert packing.boundaries(lengths, counts, buckets) == min(every, key=last_first)
+    assert packing.boundaries([], [], 3) == [] and packing.boundaries([4], [2], 3) == [4]
+    many = np.arange(1, 200_001)
+    assert packing.boundaries(many, np.ones(len(many)), 2) == [100_000, 200_000]
 
 
 def test_packing_fills_batches(spark):
