@@ -24,13 +24,18 @@ BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
 KINDS, PRIOR = 2 + len(GRAMS), 10
 
 
+def _pieces(texts):
+    return pieces(texts, overlap=1, back=max(GRAMS) - 1)
+
+
 def _features(group):
-    """For each kind of feature: bucket ids, first of each piece, number in each piece."""
+    """For each kind of feature: bucket ids, first that each piece adds, number that it adds."""
     h = Hashed(group, lower=False)
     mask = np.uint64(BUCKETS - 1)
-    yield h, (h.words & mask).astype(np.int64), h.firsts, h.counts
+    yield h, (h.words & mask).astype(np.int64), h.fresh, h.added
     again = np.concatenate([[0], (h.words[1:] == h.words[:-1]).astype(np.int64)])[: len(h.words)]
-    yield h, BUCKETS + again, h.firsts, h.counts
+    again[h.firsts[h.counts > 0]] = 0
+    yield h, BUCKETS + again, h.fresh, h.added
     for n in GRAMS:
         found, firsts, counts = h.grams(n)
         yield h, (found & mask).astype(np.int64), firsts, counts
@@ -39,7 +44,7 @@ def _features(group):
 def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares of its average."""
     kinds: list[list[np.ndarray]] = [[] for _ in range(KINDS)]
-    for group in pieces([text]):
+    for group in _pieces([text]):
         for kind, (_, ids, firsts, counts) in enumerate(_features(group)):
             kinds[kind] += [ids[f : f + c] for f, c in zip(firsts, counts)]
     ids, shares = [], []
@@ -54,10 +59,11 @@ def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(shares)
 
 
-def fit(y: list[int], texts: list[str], epochs: int = 5, rate: float = 2.0, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit(y: list[int], texts: list[str], weights: list[float] | None = None, epochs: int = 5, rate: float = 2.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """Per-bucket numbers and a constant whose sum is the logit of label 1.
 
-    Without both labels the constant gives the one label there is.
+    Without both labels the constant gives the one label there is. ``weights`` are not
+    used: the score's middle is that of rows taken evenly from both labels.
     """
     y = np.array(y, dtype=np.int64)
     if len(np.unique(y)) < 2:
@@ -94,7 +100,7 @@ def score_texts(model: tuple[np.ndarray, float], texts: list) -> np.ndarray:
     weights, constant = model
     sums = np.zeros((KINDS, len(texts)))
     counts = np.zeros((KINDS, len(texts)))
-    for group in pieces(texts):
+    for group in _pieces(texts):
         for kind, (h, ids, firsts, many) in enumerate(_features(group)):
             running = np.concatenate([[0.0], np.cumsum(weights[ids], dtype=np.float64)])
             np.add.at(sums[kind], h.owner, running[firsts + many] - running[firsts])

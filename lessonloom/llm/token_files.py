@@ -109,7 +109,7 @@ class Encoder:
     def _together(self, texts: list[bytes]) -> list[bytes]:
         """Ids of several lower-cased texts. Equal words are found by their hashes, and
         each is compared byte by byte with the one that stands for it."""
-        h = Hashed(list(enumerate(texts)), lower=False)
+        h = Hashed([(n, t, 0, False) for n, t in enumerate(texts)], lower=False)
         _, first, which = np.unique(h.words, return_index=True, return_inverse=True)
         sizes = h.ends - h.starts
         seen = np.flatnonzero(~h.blank)

@@ -6,10 +6,12 @@ A word that shares one row with a telling word by chance gets part of its
 weight only. Filters
 of widths 1 to 3 run over the words; each is max-pooled over the whole text and
 a linear layer scores the pooled values. The embeddings start from the smoothed
-log odds of each hash bucket and all weights are then trained together by Adam
-in numpy. Decision thresholds are set on rows apart from those, per language as
-recognised from the text's own function words, and scores are shifted so that
-each threshold comes to lie at ``CUT``.
+log odds of each hash bucket. All weights are then trained together in numpy, the
+embedding rows under the peaks of filters of every width by plain gradient steps,
+the rest by Adam. Decision thresholds are set on rows apart from those, weighted to
+the label shares of all labelled rows, per language as recognised from the text's
+own function words, and scores are shifted so that each threshold comes to lie at
+``CUT``.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ class Model:
 def _language_hashes() -> tuple[np.ndarray, np.ndarray]:
     words, which = [], []
     for n, listed in enumerate(FUNCTION_WORDS.values()):
-        h = _hashed([(0, listed.encode())]).words
+        h = _hashed([(0, listed.encode(), 0, False)]).words
         words.append(h)
         which.append(np.full(len(h), n))
     words, which = np.concatenate(words), np.concatenate(which)
@@ -78,6 +80,10 @@ def _hashed(group) -> Hashed:
     return Hashed(group, lower=True, bare=True)
 
 
+def _pieces(texts):
+    return pieces(texts, overlap=max(WIDTHS) - 1, bare=True)
+
+
 def _responses(table, filters, ids, counts):
     """Filter responses at every word, texts kept apart by two zero vectors."""
     place = np.arange(len(ids)) + 2 * np.repeat(np.arange(len(counts)), counts)
@@ -99,16 +105,21 @@ def logits(model: Model, table: np.ndarray, texts: list, speech=None) -> tuple[n
     speech = speech or _language_hashes()
     pooled = np.full((len(texts), len(WIDTHS) * FILTERS), -np.inf, dtype=np.float32)
     tongue = np.zeros((len(texts), len(FUNCTION_WORDS)), dtype=np.int64)
-    for group in pieces(texts, overlap=2):
+    for group in _pieces(texts):
         h = _hashed(group)
         full = h.counts > 0
         if not full.any():
             continue
         found, _, _ = _responses(table, model.filters, _buckets(h), h.counts)
+        number = np.repeat(np.arange(len(h.counts)), h.counts)
+        left = (h.firsts + h.counts)[number] - np.arange(len(h.words))
+        for n, width in enumerate(WIDTHS):
+            # A window that passes the end of a piece is met whole in the next one.
+            found[h.more[number] & (left < width), n * FILTERS : (n + 1) * FILTERS] = -np.inf
         np.maximum.at(pooled, h.owner[full], np.maximum.reduceat(found, h.firsts[full], axis=0))
         at = np.minimum(np.searchsorted(speech[0], h.words), len(speech[0]) - 1)
-        known = speech[0][at] == h.words
-        owners = np.repeat(h.owner, h.counts)
+        known = (speech[0][at] == h.words) & (np.arange(len(h.words)) >= h.fresh[number])
+        owners = h.owner[number]
         np.add.at(tongue, (owners[known], speech[1][at[known]]), 1)
     pooled = np.where(np.isinf(pooled), 0, pooled)
     z = np.maximum(pooled + model.bias, 0) @ model.out + model.base
@@ -127,20 +138,21 @@ def _log_odds(words: list[np.ndarray], y: np.ndarray, strength: float = 4.0) ->
     return np.where(seen > 0, np.log(p / (1 - p)) - np.log(prior / (1 - prior)), 0)
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit with the best F1; between perfectly parted classes, the middle."""
+def _threshold(z: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    """The logit with the best weighted F1; between perfectly parted classes, the middle."""
     order = np.argsort(-z, kind="stable")
-    z, hits = z[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
+    z, hits, picked = z[order], np.cumsum((weights * y)[order]), np.cumsum(weights[order])
+    f1 = 2 * hits / (picked + (weights * y).sum())
     best = int(np.argmax(f1))
     after = z[best + 1] if best + 1 < len(z) else z[best] - 1
     return float((z[best] + after) / 2)
 
 
-def fit(y: list[int], texts: list[str], epochs: int = 4, rate: float = 0.005, seed: int = 5) -> Model:
+def fit(y: list[int], texts: list[str], weights: list[float] | None = None, epochs: int = 4, rate: float = 0.005, seed: int = 5) -> Model:
     """Train on three quarters of the rows, set thresholds on the rest. Without
     both labels every score is the same low one."""
     y = np.array(y, dtype=np.float64)
+    weights = np.ones(len(y)) if weights is None else np.array(weights, dtype=np.float64)
     rng = np.random.default_rng(seed)
     columns = sum(WIDTHS) * FILTERS
     width = len(WIDTHS) * FILTERS
@@ -186,18 +198,22 @@ def fit(y: list[int], texts: list[str], epochs: int = 4, rate: float = 0.005, se
             error = ((p - y[batch]) / len(batch)).astype(np.float32)
             back = error[:, None] * out * (pooled + bias > 0)
             grad = np.zeros_like(filters)
-            column = 0
+            all_words = np.concatenate([words[i] for i in batch])
+            column, moves = 0, []
             for n, w in enumerate(WIDTHS):
                 cols = slice(n * FILTERS, (n + 1) * FILTERS)
                 for k in range(w):
+                    weight = filters[:, column : column + FILTERS]
+                    at_word = peak[:, cols] + k
                     seen = vectors[place[peak[:, cols]] + k]  # (batch, FILTERS, DIM)
                     grad[:, column : column + FILTERS] = np.einsum("bf,bfd->df", back[:, cols], seen)
+                    # Behind a text's last word lie zero vectors, which have no rows to move.
+                    real = at_word < ends[:, None]
+                    pull = np.einsum("bf,df->bfd", back[:, cols], weight)[real]
+                    moves += [(ids, 0.5 * pull) for ids in all_words[at_word[real]].T]
                     column += FILTERS
-            # Embedding rows at the peaks of the single-word filters move by plain gradient steps.
-            all_words = np.concatenate([words[i] for i in batch])
-            pull = np.einsum("bf,df->bfd", back[:, :FILTERS], filters[:, :FILTERS]).reshape(-1, DIM)
-            for ids in all_words[peak[:, :FILTERS].reshape(-1)].T:
-                np.subtract.at(table, ids, 0.5 * pull)
+            for ids, pull in moves:
+                np.subtract.at(table, ids, pull)
             adam("f", filters, grad)
             adam("b", bias, back.sum(axis=0))
             adam("o", out, active.T @ error)
@@ -206,11 +222,11 @@ def fit(y: list[int], texts: list[str], epochs: int = 4, rate: float = 0.005, se
     model = Model(rows, table[rows], filters, bias, out, float(base), np.zeros(len(LANGUAGES)))
     test = np.flatnonzero(~part)
     z, language = logits(model, table, [texts[i] for i in test])
-    model.thresholds[:] = _threshold(z, y[test])
+    model.thresholds[:] = _threshold(z, y[test], weights[test])
     for n in range(len(LANGUAGES)):
         own = language == n
         if (y[test][own] == 1).sum() >= 20 and (y[test][own] == 0).sum() >= 20:
-            model.thresholds[n] = _threshold(z[own], y[test][own])
+            model.thresholds[n] = _threshold(z[own], y[test][own], weights[test][own])
     return model
 
 

@@ -21,8 +21,8 @@ def test_hashes_agree_with_words():
     seen = {}
     for group in pieces(texts, size=200):
         h = Hashed(group, lower=True)
-        assert h.counts.tolist() == [len(data.split()) for _, data in group]
-        words = [w for _, data in group for w in data.split()]
+        assert h.counts.tolist() == [len(data.split()) for _, data, *_ in group]
+        words = [w for _, data, *_ in group for w in data.split()]
         for w, x in zip(words, h.words.tolist()):
             assert seen.setdefault(w, x) == x
     assert len(set(seen.values())) == len(seen)
@@ -30,6 +30,94 @@ def test_hashes_agree_with_words():
     assert sum(Hashed(g, lower=True).counts.sum() for g in pieces([long], size=300)) == 1000
 
 
+def odd_texts(rows=200):
+    rng = random.Random(7)
+    words = ["the", "und", "vile", "Vile!!", "ab", "x", "longer-word", "été", "--", "42", "der", "bad"]
+    gaps = [" ", "  ", "\n", "\t", "\r\n"]
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(40))) for _ in range(rows)]
+    return texts + [None, "", " ", "\n".join(["line"] * 300), "z" * 900, "the\t" * 200]
+
+
+def test_pieces_lose_and_add_nothing():
+    """Words, spans and repeats of texts cut into small pieces are those of whole texts."""
+
+    def counted(size):
+        seen = {}
+        for group in pieces(odd_texts(), overlap=1, back=3, size=size):
+            h = Hashed(group, lower=False)
+            grams, firsts, many = h.grams(4)
+            for p, owner in enumerate(h.owner.tolist()):
+                words, spans = seen.setdefault(owner, ([], []))
+                words += h.words[h.fresh[p] : h.fresh[p] + h.added[p]].tolist()
+                spans += grams[firsts[p] : firsts[p] + many[p]].tolist()
+        return seen
+
+    assert counted(50) == counted(1 << 20)
+    long = "word\n" * 60000 + "last"
+    assert sum(Hashed(g, lower=True).added.sum() for g in pieces([long], overlap=2)) == 60001
+
+
+def plain_hash(word, lower=False, bare=False):
+    return int(Hashed([(0, word, 0, False)], lower, bare).words[0])
+
+
+def plain_quality(model, text):
+    """One text by counting its features one at a time."""
+    weights, constant = model
+    data = (text or "").encode()
+    words = data.split()
+    kinds = [
+        [weights[plain_hash(w) % quality.BUCKETS] for w in words],
+        [weights[quality.BUCKETS + int(i > 0 and words[i - 1] == w)] for i, w in enumerate(words)],
+    ]
+    for n in quality.GRAMS:
+        spans = [data[i : i + n] for i in range(len(data) - n + 1)]
+        kinds.append([weights[int(Hashed([(0, g, 0, False)], False).grams(n)[0][0]) % quality.BUCKETS] for g in spans])
+    z = sum(float(sum(map(float, k))) / (len(k) + quality.PRIOR) for k in kinds) / quality.KINDS + constant
+    return 1 / (1 + np.exp(-z))
+
+
+def plain_toxicity(model, table, text):
+    """One text by every filter at every word."""
+    words = [w.lower().encode() for w in re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or "")]
+    zero = np.zeros(toxicity.DIM)
+    vectors = []
+    for w in words:
+        parts = [w, *(w[:n] for n in toxicity.STEMS)]
+        vectors.append(sum(table[plain_hash(p, True, True) % toxicity.BUCKETS + n * toxicity.BUCKETS].astype(float) for n, p in enumerate(parts)))
+    pooled, column = [], 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            at = [column + k * toxicity.FILTERS + f for k in range(width)]
+            values = [
+                sum((vectors[i + k] if i + k < len(vectors) else zero) @ model.filters[:, c] for k, c in enumerate(at))
+                for i in range(len(vectors))
+            ]
+            pooled.append(max(values, default=0.0))
+        column += width * toxicity.FILTERS
+    z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.base
+    counts = [sum(w.decode() in listed.split() for w in words) for listed in toxicity.FUNCTION_WORDS.values()]
+    language = int(np.argmax(counts)) if any(counts) else len(counts)
+    shifted = z - model.thresholds[language] + np.log(toxicity.CUT / (1 - toxicity.CUT))
+    return 1 / (1 + np.exp(-np.clip(shifted, -30, 30)))
+
+
+def test_scores_are_those_of_a_plain_scorer(monkeypatch):
+    texts = odd_texts()
+    y = [int("ile" in (t or "")) for t in texts]
+    model = toxicity.fit(y, [t or "" for t in texts], [1.0] * len(y))
+    table = model.table()
+    good = quality.fit(y, [t or "" for t in texts])
+    whole = toxicity.pieces
+    for size in (1 << 18, 64):
+        for module in (toxicity, quality):
+            monkeypatch.setattr(module, "pieces", lambda texts, size=size, **how: whole(texts, size=size, **how))
+        found = toxicity.score_texts(model, table, texts)
+        assert np.allclose(found, [plain_toxicity(model, table, t) for t in texts], atol=1e-4)
+        found = quality.score_texts(good, texts)
+        assert np.allclose(found, [plain_quality(good, t) for t in texts], atol=1e-4)
+
+
 def corpus(spark, rows=500):
     rng = random.Random(2)
     docs, labels = [], []
