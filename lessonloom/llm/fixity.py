@@ -4,7 +4,8 @@ Every record is hashed; records whose offsets fall in the same fixed range of
 a file form a leaf range, hashed over its records in offset order, and each
 FANOUT consecutive ranges form a range of the next level, up to one root per
 file. Two replicas are compared root by root, and only branches that differ
-are descended to the records.
+are descended to the records. Replicas are stored tables of records at offsets of
+files; what is hashed is what is read back from them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lessonloom.functions.ranks import global_rank
-from lessonloom.session import written
+from lessonloom.session import lasting, scratch, written
 
 RANGE_BYTES, FANOUT = 1 << 16, 16
 RECORDS_PER_FILE = 500
@@ -37,9 +38,19 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 def warc_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
     """``file, offset, length, page_id, record``: pages as WARC records in id order,
     ``per_file`` to a file, nulls first and repeated rows one by one. Records of one
-    id and url come in the order of their hashes."""
+    id and url come in the order of their hashes; other columns of ``pages`` are left out.
+
+    Offsets are summed on lengths alone. They meet the records as one row per file,
+    of 8 bytes a record, written first so that Spark sees its size.
+    """
     made = _records(pages, page_id, url, html).withColumn("hash", F.sha2("record", 256))
-    return laid_out(made, per_file).select("file", "offset", "length", "page_id", "record")
+    ranked = global_rank(made, [], ["page_id", "url", "hash"], "_rank").withColumn("file", F.floor(F.col("_rank") / per_file))
+    before = Window.partitionBy("file").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint"))
+    placed = ranked.select("file", "_rank", offset.alias("offset")).groupBy("file")
+    files = written(placed.agg(F.array_sort(F.collect_list("offset")).alias("_offsets")), "offsets")
+    place = F.get("_offsets", (F.col("_rank") % per_file).cast("int"))
+    return ranked.join(files, "file").select("file", place.alias("offset"), "length", "page_id", "record")
 
 
 def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -48,19 +59,6 @@ def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     return made.withColumn("length", F.octet_length("record").cast("bigint"))
 
 
-def laid_out(records: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """``records`` (page_id, url, hash, length, ...) with the ``file`` and ``offset`` of each.
-
-    Columns beside these travel along, so records that are only to be audited
-    come here as hashes, without their bytes.
-    """
-    ranked = global_rank(records, [], ["page_id", "url", "hash"], "_rank")
-    filed = ranked.withColumn("file", F.floor(F.col("_rank") / per_file))
-    before = Window.partitionBy("file").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint"))
-    return filed.withColumn("offset", offset).drop("_rank")
-
-
 def record_hashes(records: DataFrame) -> DataFrame:
     """``file, offset, length, page_id, hash``, written once."""
     hashed = records.select("file", "offset", "length", "page_id", F.sha2("record", 256).alias("hash"))
@@ -100,11 +98,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     sits at another offset is missing at one and extra at the other. Equal
     replicas and empty tables give no rows.
     """
-    return audit_hashes(record_hashes(first), record_hashes(second))
-
-
-def audit_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """:func:`audit` of replicas given as ``record_hashes`` gives them."""
+    a, b = record_hashes(first), record_hashes(second)
     last = a.union(b).agg(F.max("offset")).first()[0] or 0
     count, ranges = 1, last // RANGE_BYTES + 1
     while ranges > 1:
@@ -130,11 +124,14 @@ def audit_hashes(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.select("file", "offset", F.coalesce("_pa", "_pb").alias("page_id"), status.alias("status"), "hash_a", "hash_b")
 
 
-def damaged(records: DataFrame, changed: Column, lost: Column) -> DataFrame:
-    """A replica with the last byte before the record's end marker altered where
-    ``changed`` holds and without the records where ``lost`` holds."""
+def damaged(records: DataFrame, changed: Column, lost: Column, moved: Column | None = None, doubled: Column | None = None) -> DataFrame:
+    """A replica that went wrong where the conditions hold (null is no): the last byte
+    before the record's end marker altered (``changed``), the record gone (``lost``), two
+    bytes further on (``moved``), or there once more one byte further on (``doubled``)."""
     kept = records.where(~F.coalesce(lost, F.lit(False)))
-    return kept.withColumn("record", _altered(changed))
+    at = F.col("offset") if moved is None else F.col("offset") + F.when(moved, 2).otherwise(0)
+    places = F.array(at) if doubled is None else F.when(doubled, F.array(at, at + 1)).otherwise(F.array(at))
+    return kept.select("file", F.explode(places).alias("offset"), "length", "page_id", _altered(changed).alias("record"))
 
 
 def _altered(changed: Column) -> Column:
@@ -148,17 +145,16 @@ def _altered(changed: Column) -> Column:
 
 
 def audit_damaged(pages: DataFrame) -> DataFrame:
-    """Audit of a replica of ``pages`` with every 50th record altered and every 211th lost.
+    """Audit of a stored replica of ``pages`` against a second one, in which every 50th
+    record is altered, every 211th lost, every 197th moved and every 199th there twice.
 
-    Both replicas' records are hashed where the pages are read; only hashes are moved.
+    Both replicas are written to the shared folder and read back; they go when the
+    audit's rows are written.
     """
-    records = _records(pages, "page_id", "url", "html").select(
-        "page_id",
-        "url",
-        "length",
-        F.sha2("record", 256).alias("hash"),
-        F.sha2(_altered(F.col("page_id") % 50 == 7), 256).alias("hash_b"),
-    )
-    both = written(laid_out(records).drop("url"), "records")
-    kept = both.where(~F.coalesce(F.col("page_id") % 211 == 5, F.lit(False)))
-    return audit_hashes(both.drop("hash_b"), kept.drop("hash").withColumnRenamed("hash_b", "hash"))
+    spark = pages.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            first = lasting(warc_table(pages), "replica")
+        page = F.col("page_id")
+        second = written(damaged(first, page % 50 == 7, page % 211 == 5, page % 197 == 3, page % 199 == 1), "replica")
+        return lasting(audit(first, second), "audit")

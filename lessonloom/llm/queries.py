@@ -286,10 +286,16 @@ WITH r AS (
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
 o AS (
   SELECT page_id, n // 500 AS file, encode(record) AS record, coalesce(sum(strlen(record)) OVER (
-    PARTITION BY n // 500 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
-SELECT file, CAST(before AS BIGINT) AS "offset", page_id,
-  CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS status, sha256(record) AS hash_a,
-  CASE WHEN page_id % 211 <> 5 THEN sha256(record[:octet_length(record) - 5] || '\\x00'::BLOB
-    || record[octet_length(record) - 3:]) END AS hash_b
-FROM o WHERE page_id % 211 = 5 OR page_id % 50 = 7""",
+    PARTITION BY n // 500 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+h AS (
+  SELECT file, CAST(before AS BIGINT) AS a, page_id, sha256(record) AS hash_a,
+    CASE WHEN page_id % 50 = 7 THEN sha256(record[:octet_length(record) - 5] || '\\x00'::BLOB
+      || record[octet_length(record) - 3:]) ELSE sha256(record) END AS hash_b,
+    coalesce(page_id % 50 = 7, false) AS changed, coalesce(page_id % 211 = 5, false) AS lost,
+    coalesce(page_id % 197 = 3, false) AS moved, coalesce(page_id % 199 = 1, false) AS doubled FROM o),
+b AS (SELECT *, a + CASE WHEN moved THEN 2 ELSE 0 END AS b FROM h WHERE NOT lost)
+SELECT file, a AS "offset", page_id, 'missing' AS status, hash_a, NULL AS hash_b FROM h WHERE lost OR moved
+UNION ALL SELECT file, a, page_id, 'changed', hash_a, hash_b FROM b WHERE changed AND NOT moved
+UNION ALL SELECT file, b, page_id, 'extra', NULL, hash_b FROM b WHERE moved
+UNION ALL SELECT file, b + 1, page_id, 'extra', NULL, hash_b FROM b WHERE doubled""",
 }
