@@ -4,12 +4,14 @@ Every record is hashed; records whose offsets fall in the same fixed range of
 a file form a leaf range, hashed over its records in offset order, and each
 FANOUT consecutive ranges form a range of the next level, up to one root per
 file. Two replicas are compared root by root, and only branches that differ
-are descended to the records. Replicas are stored tables of records at offsets of
-files; what is hashed is what is read back from them.
+are descended to the records. A replica is stored as its records and an index of the
+places they have in files; what is hashed is what is read back from it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,22 +37,33 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def warc_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """``file, offset, length, page_id, record``: pages as WARC records in id order,
-    ``per_file`` to a file, nulls first and repeated rows one by one. Records of one
-    id and url come in the order of their hashes; other columns of ``pages`` are left out.
+@dataclass
+class Replica:
+    """``records`` (place, page_id, record) and ``index`` (place, page_id, file, offset), both stored.
 
-    Offsets are summed on lengths alone. They meet the records as one row per file,
-    of 8 bytes a record, written first so that Spark sees its size.
+    The index is narrow, so records are neither shuffled nor copied to find their offsets.
     """
+
+    records: DataFrame
+    index: DataFrame
+
+    def table(self) -> DataFrame:
+        """``file, offset, length, page_id, record``."""
+        length = F.octet_length("record").cast("bigint").alias("length")
+        return self.index.drop("page_id").join(self.records, "place").select("file", "offset", length, "page_id", "record")
+
+
+def stored(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", per_file: int = RECORDS_PER_FILE) -> Replica:
+    """Pages as WARC records in id order, ``per_file`` to a file, nulls first and repeated
+    rows one by one. Records of one id and url come in the order of their hashes; other
+    columns of ``pages`` are left out."""
     made = _records(pages, page_id, url, html).withColumn("hash", F.sha2("record", 256))
-    ranked = global_rank(made, [], ["page_id", "url", "hash"], "_rank").withColumn("file", F.floor(F.col("_rank") / per_file))
-    before = Window.partitionBy("file").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = global_rank(made, [], ["page_id", "url", "hash"], "place")
+    filed = ranked.select("place", F.floor(F.col("place") / per_file).alias("file"), "length", "page_id")
+    before = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint"))
-    placed = ranked.select("file", "_rank", offset.alias("offset")).groupBy("file")
-    files = written(placed.agg(F.array_sort(F.collect_list("offset")).alias("_offsets")), "offsets")
-    place = F.get("_offsets", (F.col("_rank") % per_file).cast("int"))
-    return ranked.join(files, "file").select("file", place.alias("offset"), "length", "page_id", "record")
+    index = filed.select("place", "page_id", "file", offset.alias("offset"))
+    return Replica(ranked.select("place", "page_id", "record"), written(index, "index"))
 
 
 def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -59,10 +72,15 @@ def _records(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     return made.withColumn("length", F.octet_length("record").cast("bigint"))
 
 
-def record_hashes(records: DataFrame) -> DataFrame:
-    """``file, offset, length, page_id, hash``, written once."""
-    hashed = records.select("file", "offset", "length", "page_id", F.sha2("record", 256).alias("hash"))
-    return written(hashed, "records")
+def record_hashes(replica: Replica) -> DataFrame:
+    """``file, offset, length, page_id, hash``, written once.
+
+    Records are hashed and measured where they are read. An entry of the index without
+    its record is not there.
+    """
+    length = F.octet_length("record").cast("bigint").alias("length")
+    hashed = replica.records.select("place", length, F.sha2("record", 256).alias("hash"))
+    return written(replica.index.join(hashed, "place").select("file", "offset", "length", "page_id", "hash"), "records")
 
 
 def _parents(nodes: DataFrame, idx: Column, part: Column, order: str) -> DataFrame:
@@ -90,9 +108,9 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "full_outer").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
 
 
-def audit(first: DataFrame, second: DataFrame) -> DataFrame:
+def audit(first: Replica, second: Replica) -> DataFrame:
     """``file, offset, page_id, status, hash_a, hash_b`` of all records in which two
-    replicas (tables as ``warc_table`` gives) differ.
+    replicas differ.
 
     ``status`` is changed, missing (not in the second) or extra. A record that
     sits at another offset is missing at one and extra at the other. Equal
@@ -124,14 +142,22 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     return met.select("file", "offset", F.coalesce("_pa", "_pb").alias("page_id"), status.alias("status"), "hash_a", "hash_b")
 
 
-def damaged(records: DataFrame, changed: Column, lost: Column, moved: Column | None = None, doubled: Column | None = None) -> DataFrame:
-    """A replica that went wrong where the conditions hold (null is no): the last byte
-    before the record's end marker altered (``changed``), the record gone (``lost``), two
-    bytes further on (``moved``), or there once more one byte further on (``doubled``)."""
-    kept = records.where(~F.coalesce(lost, F.lit(False)))
-    at = F.col("offset") if moved is None else F.col("offset") + F.when(moved, 2).otherwise(0)
-    places = F.array(at) if doubled is None else F.when(doubled, F.array(at, at + 1)).otherwise(F.array(at))
-    return kept.select("file", F.explode(places).alias("offset"), "length", "page_id", _altered(changed).alias("record"))
+def damaged(replica: Replica, changed: Column, lost: Column, moved: Column | None = None, doubled: Column | None = None) -> Replica:
+    """A stored copy that went wrong where the conditions on ``page_id`` hold (null is no):
+    the last byte before the record's end marker altered (``changed``), the record gone
+    (``lost``), two bytes further on (``moved``), or there once more one byte further on
+    (``doubled``)."""
+    def survivors(df: DataFrame) -> DataFrame:
+        copies = F.array(F.lit(0)) if doubled is None else F.when(doubled, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        kept = df.where(~F.coalesce(lost, F.lit(False))).select("*", F.explode(copies).alias("copy"))
+        return kept.withColumn("place", F.col("place") * 2 + F.col("copy"))
+
+    records, index = survivors(replica.records), survivors(replica.index)
+    by = F.col("copy") if moved is None else F.col("copy") + F.when(moved, 2).otherwise(0)
+    return Replica(
+        written(records.select("place", "page_id", _altered(changed).alias("record")), "replica"),
+        written(index.select("place", "page_id", "file", (F.col("offset") + by).alias("offset")), "index"),
+    )
 
 
 def _altered(changed: Column) -> Column:
@@ -151,10 +177,7 @@ def audit_damaged(pages: DataFrame) -> DataFrame:
     Both replicas are written to the shared folder and read back; they go when the
     audit's rows are written.
     """
-    spark = pages.sparkSession
-    with scratch(spark):
-        with scratch(spark):
-            first = lasting(warc_table(pages), "replica")
-        page = F.col("page_id")
-        second = written(damaged(first, page % 50 == 7, page % 211 == 5, page % 197 == 3, page % 199 == 1), "replica")
+    with scratch(pages.sparkSession):
+        first, page = stored(pages), F.col("page_id")
+        second = damaged(first, page % 50 == 7, page % 211 == 5, page % 197 == 3, page % 199 == 1)
         return lasting(audit(first, second), "audit")

@@ -154,20 +154,20 @@ def test_license_scan_and_inheritance(spark):
 def test_fixity_finds_exactly_the_damage(spark):
     rows = [(i % 190, f"http://h/{i}", "<p>" + "z" * (i * 37 % 3000) + "</p>", i) for i in range(600)] + [(None, None, None, 0)]
     pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, hash INT")
-    one = fixity.written(fixity.warc_table(pages, per_file=200), "one")
-    assert one.groupBy("file").count().count() == 4
+    one = fixity.stored(pages, per_file=200)
+    assert one.table().groupBy("file").count().count() == 4
     assert fixity.audit(one, one).count() == 0
     two = fixity.damaged(one, F.col("page_id") == 17, F.col("page_id") == 99)
     found = fixity.audit(one, two).collect()
     assert sorted((r["page_id"], r["status"]) for r in found) == sorted([(17, "changed")] * 4 + [(99, "missing")] * 3)
     assert {r["status"] for r in fixity.audit(two, one).collect()} == {"changed", "extra"}
-    lengths = one.orderBy("file", "offset").collect()
+    lengths = one.table().orderBy("file", "offset").collect()
     assert all(b["offset"] == (a["offset"] + a["length"] if a["file"] == b["file"] else 0) for a, b in zip(lengths, lengths[1:]))
     three = fixity.damaged(one, F.col("page_id") == 17, F.lit(False), F.col("page_id") == 17, F.col("page_id") == 5)
     places = {(r["file"], r["offset"]): r["page_id"] for r in lengths}
     found = sorted((r["status"], r["page_id"], (r["file"], r["offset"] - 2) in places, (r["file"], r["offset"] - 1) in places) for r in fixity.audit(one, three).collect())
     assert found == [("extra", 5, False, True)] * 4 + [("extra", 17, True, False)] * 4 + [("missing", 17, False, False)] * 4
-    assert fixity.audit(one.limit(0), one.limit(0)).count() == 0
+    assert fixity.audit(fixity.stored(pages.limit(0)), fixity.stored(pages.limit(0))).count() == 0
 
 
 def test_license_blocks_and_counted_weights(spark):
