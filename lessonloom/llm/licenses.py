@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lessonloom.functions.ranks import unused
 from lessonloom.llm.tasks import map_batches
 from lessonloom.session import with_rows, written
 
@@ -174,17 +175,19 @@ class Scanner:
         score = part / sqrt(square + sum(n * n for n in rest.values()) * self.unknown**2)
         return (score, name) if score >= self.threshold else None
 
-    def candidates(self, text: str | None, paragraphs: bool) -> list[dict]:
-        """All candidates of a text: windows that begin and end with a template term, and paragraphs."""
+    def candidates(self, text: str | None) -> list[dict]:
+        """All candidates of a text: windows of a few lines that begin and end with a
+        template term, and whole paragraphs (runs of lines that hold terms)."""
         lines = [terms(line) for line in (text or "").split("\n")]
-        telling = [i for i, found in enumerate(lines) if not self.telling.isdisjoint(found)]
-        spans = set()
-        for i in telling:
+        spans, end = set(), 0
+        for i, found in enumerate(lines):
+            if self.telling.isdisjoint(found):
+                continue
             for start in range(max(0, i - WINDOW + 1), i + 1):
-                for end in range(i + 1, min(len(lines), start + WINDOW) + 1):
-                    if not (self.idf.keys().isdisjoint(lines[start]) or self.idf.keys().isdisjoint(lines[end - 1])):
-                        spans.add((start, end))
-            if paragraphs:
+                for stop in range(i + 1, min(len(lines), start + WINDOW) + 1):
+                    if not (self.idf.keys().isdisjoint(lines[start]) or self.idf.keys().isdisjoint(lines[stop - 1])):
+                        spans.add((start, stop))
+            if i >= end:  # not in the paragraph found last, so every line is passed once
                 start, end = i, i + 1
                 while start and lines[start - 1]:
                     start -= 1
@@ -211,22 +214,26 @@ _ARROW = pa.list_(
 def scan_texts(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, path: str = "path") -> DataFrame:
     """``files`` without ``text`` and with ``own_license, score, line``: the best
     candidate, of equals the first and shortest. A reservation of rights counts
-    only where no license is granted."""
+    only where no license is granted.
+
+    Null, empty and blank texts have no license of their own. Repeated rows are scanned
+    one by one, whole texts whatever their length, in time linear in their lines. Columns
+    of ``files`` named like the added ones are replaced, all others kept."""
     counts = written(term_counts(files, text), "terms")
     total, known = _of_templates(counts, templates)
     scanner = Scanner(total, known, templates, threshold)
-    keep = [c for c in files.columns if c not in (text, "own_license", "score", "line", "_row", "_found")]
-    schema = files.select(*keep).schema.add("_found", T._parse_datatype_string(_CANDIDATES))
+    keep = [c for c in files.columns if c not in (text, "own_license", "score", "line")]
+    row, candidates, top = (unused(files, name) for name in ("_row", "_found", "_best"))
+    schema = files.select(*keep).schema.add(candidates, T._parse_datatype_string(_CANDIDATES))
 
     def run(batches):
         for batch in batches:
-            texts, whole = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
-            found = pa.array([scanner.candidates(t, bool(w)) for t, w in zip(texts, whole)], _ARROW)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, "_found"])
+            found = pa.array([scanner.candidates(t) for t in batch.column(len(keep)).to_pylist()], _ARROW)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), found], names=[*keep, candidates])
 
-    whole = F.element_at(F.split(path, "/"), -1).rlike(LICENSE_FILE)
-    rows = with_rows(map_batches(files.select(*keep, F.col(text).alias("_t"), whole.alias("_w")), run, schema), "candidates")
-    each = rows.select("_row", F.explode("_found").alias("f")).select("_row", "f.*")
+    texts = files.select(*keep, F.col(text).alias(unused(files, "_t")))
+    rows = with_rows(map_batches(texts, run, schema), "candidates", row)
+    each = rows.select(F.col(row).alias("_row"), F.explode(candidates).alias("f")).select("_row", "f.*")
     idf = F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1
     others = each.select("_row", "line", "lines", F.explode("rest").alias("o")).select("_row", "line", "lines", "o.term", "o.k")
     weights = others.join(counts, "term").groupBy("_row", "line", "lines").agg(F.sum((F.col("k") * idf) ** 2).alias("w"))
@@ -235,8 +242,8 @@ def scan_texts(files: DataFrame, text: str = "text", templates=TEMPLATES, thresh
     order = F.struct(
         (F.col("name") == RESERVED).alias("r"), (-F.round("score", 12)).alias("o"), "line", "lines", F.col("name").alias("own_license"), "score"
     )
-    best = scored.groupBy("_row").agg(F.min(order).alias("b"))
-    return rows.join(best, "_row", "left").select(*keep, "b.own_license", "b.score", "b.line")
+    best = scored.groupBy(F.col("_row").alias(row)).agg(F.min(order).alias(top))
+    return rows.join(best, row, "left").select(*keep, *[F.col(top)[c].alias(c) for c in ("own_license", "score", "line")])
 
 
 def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
@@ -246,15 +253,17 @@ def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
     path, its own included, that holds a license file with a recognised notice
     decides; of several in one directory the best match, then the smallest
     path. Null paths inherit nothing. Only distinct directories are expanded
-    to their ancestors, not files.
+    to their ancestors, not files. Columns named ``license`` or ``license_from``
+    in ``scanned`` are replaced, all others kept.
     """
-    keep = [c for c in scanned.columns if c not in ("license", "license_from", "_dir")]
-    folder = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise("")
-    files = scanned.select(*keep, folder.alias("_dir"))
+    keep = [c for c in scanned.columns if c not in ("license", "license_from")]
+    home, of, near = (unused(scanned, name) for name in ("_dir", "_of", "_near"))
+    folder = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).when(F.col(path).isNotNull(), "")
+    files = scanned.select(*keep, folder.alias(home))
     name = F.element_at(F.split(path, "/"), -1)
     holders = files.where(name.rlike(LICENSE_FILE) & F.col("own_license").isNotNull())
     order = F.struct((-F.col("score")).alias("s"), F.col(path).alias("p"), F.col("own_license").alias("l"))
-    licensed = holders.groupBy(F.col("_dir").alias("_at")).agg(F.min(order).alias("o")).select(
+    licensed = holders.groupBy(F.col(home).alias("_at")).agg(F.min(order).alias("o")).select(
         "_at", F.col("o.l").alias("_l"), F.col("o.p").alias("_p")
     )
     parts = F.split("_dir", "/")
@@ -262,17 +271,17 @@ def inherit(scanned: DataFrame, path: str = "path") -> DataFrame:
         F.sequence(F.lit(0), F.size(parts)),
         lambda n: F.struct(n.alias("d"), F.concat_ws("/", F.slice(parts, F.lit(1), n)).alias("a")),
     )
-    folders = files.select("_dir").where(F.col("_dir").isNotNull()).distinct()
+    folders = files.select(F.col(home).alias("_dir")).where(F.col("_dir").isNotNull()).distinct()
     steps = folders.select("_dir", F.explode(up).alias("u")).select("_dir", F.col("u.d").alias("_d"), F.col("u.a").alias("_at"))
-    nearest = steps.join(licensed, "_at").groupBy(F.col("_dir").alias("_of")).agg(
-        F.max(F.struct("_d", "_l", "_p")).alias("n")
+    nearest = steps.join(licensed, "_at").groupBy(F.col("_dir").alias(of)).agg(
+        F.max(F.struct("_d", "_l", "_p")).alias(near)
     )
-    met = files.join(nearest, files["_dir"] == nearest["_of"], "left")
+    met = files.join(nearest, F.col(home) == F.col(of), "left")
     own = F.col("own_license").isNotNull()
     return met.select(
         *keep,
-        F.coalesce("own_license", "n._l").alias("license"),
-        F.when(own, F.col(path)).otherwise(F.col("n._p")).alias("license_from"),
+        F.coalesce(F.col("own_license"), F.col(near)["_l"]).alias("license"),
+        F.when(own, F.col(path)).otherwise(F.col(near)["_p"]).alias("license_from"),
     )
 
 

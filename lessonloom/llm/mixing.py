@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lessonloom.functions.ranks import unused
 from lessonloom.llm.tasks import ship
 from lessonloom.session import written
 
@@ -90,11 +91,12 @@ def mix(
     that Spark knows their size when it decides whether to broadcast them.
     """
     ship(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("_copy", "_key", "_source", "_rate", "_n")]
-    rates = written(source_rates(docs, weights, exponent, epochs, source, text), "rates")
+    own = [c for c in docs.columns if c not in ("_copy", "_key")]
+    of, rate, n = (unused(docs, c) for c in ("_source", "_rate", "_n"))
+    rates = written(source_rates(docs, weights, exponent, epochs, source, text).toDF(of, rate), "rates")
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    met = docs.select(*own).join(rates, F.col(source).eqNullSafe(F.col("_source")))
-    drawn = met.withColumn("_n", _drawn(unit(F.lit(str(seed)), name), F.col("_rate"))).where(F.col("_n") > 0)
-    copies = drawn.select(*own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_copy"))
+    met = docs.select(*own).join(rates, F.col(source).eqNullSafe(F.col(of)))
+    drawn = met.withColumn(n, _drawn(unit(F.lit(str(seed)), name), F.col(rate))).where(F.col(n) > 0)
+    copies = drawn.select(*own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("_copy"))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), name, F.col("_copy").cast("string")))
     return copies.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key")

@@ -31,12 +31,15 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files: two levels of directories per source, every fifth file a license file."""
+    """Documents as files: two levels of directories per source, every fifth file a license
+    file, which lie at all three levels."""
     docs = _read(spark, folder, "documents")
-    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
-    path = F.concat_ws(
-        "/", "source", F.concat(F.lit("d"), F.col("doc_id") % 3), F.concat(F.lit("e"), F.floor(F.col("doc_id") / 64)), name
-    )
+    is_license = F.col("doc_id") % 5 == 0
+    level = F.when(is_license, F.floor(F.col("doc_id") / 5) % 3).otherwise(2)
+    name = F.when(is_license, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    outer = F.when(level > 0, F.concat(F.lit("d"), F.col("doc_id") % 3))
+    inner = F.when(level > 1, F.concat(F.lit("e"), F.floor(F.col("doc_id") / 64)))
+    path = F.concat_ws("/", "source", outer, inner, name)
     found = licenses.license_scan(docs.select("doc_id", path.alias("path"), "text"))
     return found.select("doc_id", "path", "own_license", F.round("score", 6).alias("score"), "line", "license", "license_from")
 

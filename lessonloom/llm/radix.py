@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lessonloom.llm.tasks import set_aside
 from lessonloom.session import fresh_dir, lasting, scratch, shuffles_dropped, with_rows, written
 
 FIRST_DIGIT, GROWTH, WIDEST = 64, 4, 1 << 20
@@ -129,9 +130,11 @@ def _round(active: DataFrame, width: int) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts: the first with the smallest id."""
+    """``docs`` with one row of each group of equal texts: the first with the smallest id.
+    The columns are those of ``docs``, whatever their names."""
+    docs, own = set_aside(docs, "_row")
     rows = with_rows(docs, "documents")
     with scratch(docs.sparkSession):
         groups = exact_groups(rows, doc_id, text)
         dropped = lasting(groups.where(F.col("_row") != F.col("keep_row")).select("_row"), "dropped")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "_row", "left_anti").select(*own)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lessonloom.llm.graph import components
-from lessonloom.llm.tasks import map_batches
+from lessonloom.llm.tasks import map_batches, set_aside
 from lessonloom.session import lasting, scratch, with_rows, written
 
 # Fixed values of the code: length, covering radius, generator polynomial.
@@ -357,11 +357,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> Data
     """``docs`` without all but the row with the smallest id of each near-duplicate group.
 
     Null ids come after all others; among equal ids the first row stays. The
-    columns are those of ``docs``.
+    columns are those of ``docs``, whatever their names.
     """
+    docs, own = set_aside(docs, "_row")
     rows, groups = near_duplicates(docs, **how)
     ids = rows.select("_row", F.col(doc_id).alias("_id")).join(groups, "_row")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("_row"))
     kept = ids.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o._row").alias("_row"))
     dropped = groups.select("_row").join(kept, "_row", "left_anti")
-    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "_row", "left_anti").select(*own)

@@ -11,9 +11,11 @@ import zipfile
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import lessonloom
+from lessonloom.functions.ranks import unused
 
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}  # kept while the application may fetch
 
@@ -71,3 +73,10 @@ def block_batches(spark: SparkSession, rows: int = 64):
         yield
     finally:
         spark.conf.set(BATCH, before)
+
+
+def set_aside(df: DataFrame, name: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` without a column called ``name``, and the columns that give it back as it was."""
+    other = unused(df, name)
+    clashing = {c: other for c in df.columns if c.lower() == name.lower()}
+    return df.withColumnsRenamed(clashing), [F.col(clashing.get(c, c)).alias(c) for c in df.columns]

@@ -221,3 +221,57 @@ def test_identifier_lines_stop_inheritance(spark):
     assert {name: got[f"a/{name}.py"][0] for name in names} == names
     assert all(got[f"a/{name}.py"][1] in (f"a/{name}.py", None) or got[f"a/{name}.py"][1] != "a/LICENSE" for name in names)
     assert got["a/plain.py"][0] == "MIT" and got["a/free.c"][0] == "Unlicense"
+
+
+def test_nearest_ancestor_matches_brute_force(spark):
+    rng = random.Random(11)
+    names = ["MIT", "ISC", None]
+    rows = []
+    for n in range(300):
+        path = "/".join([rng.choice("abc") for _ in range(rng.randrange(5))] + [rng.choice(["LICENSE", "COPYING", "x.py", "y.py"]) + (f".{n % 7}" if n % 2 else "")])
+        own = rng.choice(names)
+        rows.append((n, path, own, rng.choice([0.7, 0.9]) if own else None, "kept", 1, "b"))
+    rows.append((300, None, None, None, "kept", 1, "b"))
+    schema = "i INT, path STRING, own_license STRING, score DOUBLE, _dir STRING, n INT, _of STRING"
+    found = {r["i"]: r for r in licenses.inherit(spark.createDataFrame(rows, schema)).collect()}
+    assert all((r["_dir"], r["n"], r["_of"]) == ("kept", 1, "b") for r in found.values())
+    import re
+
+    for i, path, own, *_ in rows:
+        expected = (own, path if own else None)
+        parts = path.split("/")[:-1] if path else []
+        for depth in range(len(parts), -1, -1) if path and not own else ():
+            here = [(-s, p, o) for _, p, o, s, *_ in rows if p and o and p.split("/")[:-1] == parts[:depth] and re.search(licenses.LICENSE_FILE, p.split("/")[-1])]
+            if here:
+                expected = (min(here)[2], min(here)[1])
+                break
+        assert (found[i]["license"], found[i]["license_from"]) == expected, path
+
+
+def test_long_headers_are_scored_whole_in_linear_time(spark):
+    """A header over more lines than a window, in any file; very long texts; clashing names."""
+    header = "Redistribution and use in source\nand binary forms,\nwith or\nwithout\nmodification,\nare permitted\nprovided that\nthe following\nconditions\nare met\n\n"
+    rows = [("a/x.c", header + "int main\n" * 50, 1, 2), ("a/x.c", header + "int main\n" * 50, 1, 2), ("b/none", None, 1, 2), ("c/" , "   \n", 1, 2)]
+    found = licenses.license_scan(spark.createDataFrame(rows, "path STRING, text STRING, _row INT, _best INT")).collect()
+    assert sorted((r["path"], r["license"], r["_row"], r["_best"]) for r in found if r["license"]) == [("a/x.c", "BSD-3-Clause", 1, 2)] * 2
+    assert len(found) == 4
+    scanner = licenses.Scanner(100, {})
+    calls = []
+    scanner.candidate = lambda found: calls.append(len(found))
+    scanner.candidates("Released under the MIT License\n" * 3000)
+    assert sum(calls) < 3000 * 200
+
+
+def test_clashing_names_are_kept(spark):
+    from lessonloom.llm import radix, simhash
+
+    docs = spark.createDataFrame(
+        [(i, "s", f"text of row {i % 6} " * 9, 7, 8, 9, 10, 11) for i in range(30)],
+        "doc_id BIGINT, source STRING, text STRING, _row INT, _rate INT, _n INT, _source INT, _order INT",
+    )
+    for kept in (radix.drop_exact_duplicates(docs), simhash.drop_near_duplicates(docs), mixing.mix(docs).drop("_copy", "_key")):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(tuple(r)[3:] == (7, 8, 9, 10, 11) for r in rows)
+    assert sorted(r["doc_id"] for r in radix.drop_exact_duplicates(docs).collect()) == list(range(6))
+    assert all(tuple(r[c] for c in ("_row", "_order")) == (7, 11) for r in packing.pack(docs).collect())
