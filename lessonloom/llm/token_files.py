@@ -11,6 +11,7 @@ block all strides at once, by one table lookup per id.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -36,7 +37,8 @@ class Encoder:
     """The library's ids of whole texts, each distinct word encoded once.
 
     For a tokenizer that normalises by NFC and lower case, splits by ``PRE_TOKEN``
-    and works on bytes: a word's ids then do not depend on its neighbours. Words
+    and works on bytes, which its file is checked for: a word's ids then do not
+    depend on its neighbours. Texts of any other tokenizer are encoded whole. Words
     of plain Latin letters, digits and signs go straight to the library's model
     by pre-token; any other word through the whole tokenizer. Two generations of
     remembered words keep the frequent ones in bounded memory.
@@ -53,14 +55,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind, self.end = kind, np.array([end_id], dtype=kind).tobytes()
+        self.by_word = self._splits_by_word(path)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.marks = {m.encode(): self._ids(m) for m in ".,"}
+        self.marks = {ord(m): self._ids(m) for m in ".,"}
         # How byte-level vocabularies spell bytes: printable ones as themselves.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
+    @classmethod
+    def _splits_by_word(cls, path: str) -> bool:
+        """Whether the tokenizer of this file is of the kind described above."""
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        steps = [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ]
+        splits = [
+            {"type": "Split", "pattern": {"Regex": cls.PRE_TOKEN.pattern}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]
+        return (
+            parts["normalizer"] == {"type": "Sequence", "normalizers": steps}
+            and parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": splits}
+            and parts["model"]["type"] == "BPE"
+            and not parts["model"].get("dropout")
+            and not parts.get("truncation")
+            and not parts.get("padding")
+            and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        )
+
     def _ids(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(found, dtype=self.kind).tobytes()
@@ -69,31 +96,37 @@ class Encoder:
         made: list[int] = []
         sizes: list[int] = []
         plain: list[bytes] = []
+        old, new, tokenize = self.old, self.new, self.model.tokenize
         for word in words:
-            known = self.old.get(word)
+            known = old.get(word)
             if known is not None:
-                self.new[word] = known
+                new[word] = known
                 continue
-            if word[-1:] in self.marks and word[-2:-1].isalpha():  # a sign after a letter stands alone
-                known = self.new.get(word[:-1]) or self.old.get(word[:-1])
-                if known is not None:
-                    self.new[word] = known + self.marks[word[-1:]]
+            if word.isalpha():  # ASCII letters
+                ids = [t.id for t in tokenize(word.decode())]
+            else:
+                mark = self.marks.get(word[-1])
+                if mark is not None and word[-2:-1].isalpha():  # a sign after a letter stands alone
+                    known = new.get(word[:-1]) or old.get(word[:-1])
+                    if known is not None:
+                        new[word] = known + mark
+                        continue
+                text = word.decode("utf-8")
+                if not self.PLAIN.fullmatch(text):
+                    new[word] = self._ids(text)
                     continue
-            text = word.decode("utf-8")
-            if not self.PLAIN.fullmatch(text):
-                self.new[word] = self._ids(text)
-                continue
-            before = len(made)
-            for part in (text,) if text.isascii() and text.isalpha() else self.PRE_TOKEN.findall(text.lower()):
-                if not part.isascii():
-                    part = "".join(map(self.letters.__getitem__, part.encode("utf-8")))
-                made += [t.id for t in self.model.tokenize(part)]
+                text, ids = text.lower(), []
+                for part in (text,) if text.isalpha() else self.PRE_TOKEN.findall(text):
+                    if not part.isascii():
+                        part = part.encode("utf-8").decode("latin-1").translate(self.letters)
+                    ids += [t.id for t in tokenize(part)]
+            made += ids
             plain.append(word)
-            sizes.append(len(made) - before)
+            sizes.append(len(ids))
         raw, at = np.array(made, dtype=self.kind).tobytes(), 0
         width = np.dtype(self.kind).itemsize
         for word, size in zip(plain, sizes):
-            self.new[word] = raw[at : at + size * width]
+            new[word] = raw[at : at + size * width]
             at += size * width
 
     def _known(self, words: list[bytes]) -> list[bytes]:
@@ -112,9 +145,9 @@ class Encoder:
         h = Hashed([(n, t, 0, False) for n, t in enumerate(texts)], lower=False)
         _, first, which = np.unique(h.words, return_index=True, return_inverse=True)
         sizes = h.ends - h.starts
-        seen = np.flatnonzero(~h.blank)
-        shift = np.repeat(h.starts[first][which] - h.starts, sizes)
-        if (sizes[first][which] != sizes).any() or (h.raw[seen] != h.raw[seen + shift]).any():
+        seen = np.flatnonzero(~h.blank).astype(np.int32)
+        shift = np.repeat((h.starts[first][which] - h.starts).astype(np.int32), sizes)
+        if (sizes[first][which] != sizes).any() or (h.raw[~h.blank] != h.raw.take(seen + shift)).any():
             return [b"".join(self._known(t.split())) for t in texts]
         raw = h.raw.tobytes()
         found = self._known([raw[a:b] for a, b in zip(h.starts[first].tolist(), h.ends[first].tolist())])
@@ -127,7 +160,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text and the end id. A text that might hold a special
-        token is encoded in one piece."""
+        token is encoded in one piece, and so is every text if the tokenizer is of another kind."""
+        if not self.by_word:
+            return [self._ids(text or "") + self.end for text in texts]
         made: list[bytes] = [b""] * len(texts)
         group, held = [], 0
 

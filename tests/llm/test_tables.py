@@ -48,13 +48,15 @@ def test_huffman_round_trip_and_limit():
     assert one.decode([(*one.encode(np.full(300, 5)), 300)])[0].tolist() == [5] * 300
 
 
-def test_token_files_match_the_library(spark):
+@pytest.mark.parametrize("vocabulary", [VOCABULARY, VOCABULARY.replace("word_bpe_49k", "byte_bpe_50k")])
+def test_token_files_match_the_library(spark, vocabulary):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(VOCABULARY)
-    texts = [None, "", "I'll don't it's 'S x's, a.b, c.", "İstanbul ǅ ſ ΣΑΣ", "á é́ क़ ﬁ", "<|endoftext|> hi <|x", "１２ ½ x²y 3a4", "\x85x\x1cy z　a", "中文 にほん 한국", "''''s", "😀👍🏽 a😀b", "​x y‍", "word " * 40000, "z" * 3000]
+    library = Tokenizer.from_file(vocabulary)
+    assert token_files.Encoder(vocabulary, 1, "<u2").by_word == (vocabulary == VOCABULARY)
+    texts = [None, "", "I'll don't it's 'S x's, a.b, c.", "İstanbul ǅ ſ ΣΑΣ", "á é́ क़ ﬁ", "<|endoftext|> hi <|x", "１２ ½ x²y 3a4", "\x85x\x1cy z　a", "中文 にほん 한국", "''''s", "😀👍🏽 a😀b", "​x y‍", "word " * 40000, "z" * 3000, "Été,. naïve!! ñandú's ¿qué?… º² ª1 don't,"]
     rows = [(9 - i, t, i) for i, t in enumerate(texts)] + [(3, "twice", 0), (None, "no id", 0)]
-    found = token_files.round_trip(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, ids INT"), VOCABULARY).collect()
+    found = token_files.round_trip(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, ids INT"), vocabulary).collect()
     ids = {(i, t): np.array(library.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4") for i, t, _ in rows}
     assert sorted((str(i), len(x), zlib.crc32(x.tobytes())) for (i, _), x in ids.items()) == sorted((str(r[0]), r[2], r[3]) for r in found)
     at = 0
