@@ -34,6 +34,8 @@ _CHECKS = 11
 _MASK = (1 << BLOCK) - 1
 _NEVER = 99
 STAR_TURNS = 3
+GROUP = 1024  # texts of a shingle that are compared with as many others in one group
+MARK_BITS = 1024
 
 
 def shingles(text: str | None, width: int):
@@ -64,7 +66,7 @@ def majority(hashes: np.ndarray) -> int:
 def with_fingerprints(docs: DataFrame, keys: list[str], text: str, make, kind: str) -> DataFrame:
     """``keys`` and a column ``fp`` holding ``make(text)``; keys pass through untouched."""
     schema = T.StructType([*[docs.schema[k] for k in keys], T.StructField("fp", T._parse_datatype_string(kind))])
-    arrow = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[kind]
+    arrow = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}[kind]
 
     def run(batches):
         for batch in batches:
@@ -279,11 +281,78 @@ def _verified(pairs: DataFrame, keyed: DataFrame, width: int, similarity: float)
 
 
 def _apart(places: DataFrame, links: DataFrame) -> DataFrame:
-    """``places`` with ``root``, without the shingles whose texts are all joined by ``links``."""
+    """``places`` with ``root``, without the shingles whose texts are all joined by
+    ``links``; ``c`` is the number of texts of a shingle."""
     joined = components(links, "x", "y").select(F.col("node").alias("_row"), "root")
     named = places.join(joined, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
-    mixed = named.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return written(named.join(mixed.select("s"), "s", "left_semi"), "apart")
+    ends = [F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")]
+    mixed = named.groupBy("s").agg(*ends).where("low < high")
+    return written(named.join(mixed.select("s", "c"), "s"), "apart")
+
+
+def mark(found: np.ndarray) -> bytes:
+    """Which of ``MARK_BITS`` cells the shingles of a set fall into, a bit per cell."""
+    cells = np.zeros(MARK_BITS, dtype=bool)
+    cells[found % MARK_BITS] = True
+    return np.packbits(cells).tobytes()
+
+
+def close_pairs(rows: list, within: bool, similarity: float) -> pa.RecordBatch:
+    """``x, y``: the pairs among rows ``(block, _row, n, at, root, mark)`` of different
+    roots that marks, sizes and places allow to reach ``similarity``; without
+    ``within`` only those of different blocks.
+
+    Every cell that one set fills and the other does not holds a shingle of the one
+    alone, so the marks bound the intersection from above and rule out no link.
+    """
+    block, row, n, at, root = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(5))
+    marks = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+    x, y = [], []
+    for i in range(len(rows) - 1):
+        least = (n[i + 1 :] + n[i]) * similarity - 1e-6
+        room = np.minimum(n[i + 1 :] - at[i + 1 :], n[i] - at[i]) * (1 + similarity) >= least
+        others = i + 1 + np.flatnonzero(room & (root[i + 1 :] != root[i]) & (within | (block[i + 1 :] != block[i])))
+        alone = np.bitwise_count(marks[i] & ~marks[others]).sum(axis=1, dtype=np.int64)
+        theirs = np.bitwise_count(marks[others] & ~marks[i]).sum(axis=1, dtype=np.int64)
+        both = np.minimum(n[i] - alone, n[others] - theirs)
+        others = others[both * (1 + similarity) >= least[others - i - 1]]
+        x.append(np.minimum(row[others], row[i]))
+        y.append(np.maximum(row[others], row[i]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (x, y)], names=["x", "y"])
+
+
+def _close(apart: DataFrame, keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``x, y``: pairs of texts of ``apart`` that share a shingle there and that
+    :func:`close_pairs` keeps.
+
+    A shingle's texts are dealt to blocks by a hash, and every two blocks meet in a
+    group of their own of about twice ``GROUP`` rows, so no group grows with the input.
+    """
+    places = apart.groupBy("_row", "n", "root").agg(F.collect_list(F.struct("s", "at", "c")).alias("places"))
+    keys = ["_row", "n", "root", "places"]
+    # These grow with the input, so they are never broadcast.
+    texts = keyed.join(places.hint("merge"), "_row")
+    marked = with_fingerprints(texts, keys, "_t", lambda t: mark(np.unique(hashed(shingles(t, width), 42))), "binary")
+    each = marked.select("_row", "n", "root", F.col("fp").alias("mark"), F.inline("places"))
+    blocks = F.ceil(F.col("c") / GROUP).cast("int")
+    dealt = each.withColumn("i", F.pmod(F.xxhash64("_row", "s"), blocks).cast("int"))
+    met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    named = met.select("s", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "_row", "n", "at", "root", "mark")
+    grouped = named.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for s, lo, hi, *rest in zip(*(column.to_pylist() for column in batch.columns)):
+                if (s, lo, hi) != key:
+                    if len(rows) > 1:
+                        yield close_pairs(rows, key[1] == key[2], similarity)
+                    key, rows = (s, lo, hi), []
+                rows.append(rest)
+        if len(rows) > 1:
+            yield close_pairs(rows, key[1] == key[2], similarity)
+
+    return map_batches(grouped, run, "x BIGINT, y BIGINT")
 
 
 def _repeated(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -311,7 +380,8 @@ def near_duplicates(
     it is already joined. First each text is compared with one text of each of
     its prefix shingles, ``STAR_TURNS`` times anew with another one, which
     joins large groups without all their pairs; then all pairs of texts that are
-    still apart are compared.
+    still apart meet in bounded groups (``_close``), and those that marks of their
+    sets do not rule out are compared.
     Wordless texts are near duplicates of each other only.
     """
     rows = with_rows(docs, "documents")
@@ -345,12 +415,8 @@ def _links(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
         if more.isEmpty():
             break
         links = links.union(more)
-        others = _apart(others.drop("root"), links)
-    left = others.select("s", F.col("_row").alias("x"), "n", "at", F.col("root").alias("p"))
-    right = others.select("s", F.col("_row").alias("y"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("root").alias("q"))
-    reach = _may_reach(F.col("n"), F.col("at"), F.col("m"), F.col("to"), similarity)
-    rest = left.join(right, "s").where((F.col("x") < F.col("y")) & (F.col("p") != F.col("q")) & reach)
-    return links.union(_verified(rest.select("x", "y"), keyed, width, similarity))
+        others = _apart(others.drop("root", "c"), links)
+    return links.union(_verified(_close(others, keyed, width, similarity), keyed, width, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:

@@ -174,3 +174,36 @@ def test_texts_of_the_same_words_in_another_order(spark):
     expected, pairs = brute_kept(rows)
     assert pairs == 1 and expected == {0, 1}
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, rows)).collect()} == expected
+
+
+def test_texts_of_a_shingle_that_stay_apart(spark, monkeypatch):
+    """Groups smaller than the texts of one shingle: blocks meet, and no link is lost."""
+    monkeypatch.setattr(simhash, "GROUP", 7)
+    monkeypatch.setattr(simhash, "STAR_TURNS", 0)
+    rng = random.Random(12)
+    common = [f"c{n}" for n in range(40)]
+    rows = []
+    for n in range(60):
+        own = [f"u{n}x{k}" for k in range(rng.randrange(12, 60))]
+        rows += [(3 * n + k, " ".join(common + own[: len(own) - k])) for k in range(3)]
+    expected, pairs = brute_kept(rows)
+    assert pairs > 150 and len(expected) > 20
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, rows)).collect()} == expected
+
+
+def test_marks_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 5, 40, 300, 3000, 20000):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for share in (0.02, 0.1, 0.13, 0.3):
+            other = base[: size - int(size * share)]
+            sets += [np.unique(base), np.unique(other), np.unique(np.concatenate([other, rng.integers(0, 2**63, max(1, size // 20), dtype=np.uint64)]))]
+    rows = [(k % 2, k, len(s), 0, k, simhash.mark(s)) for k, s in enumerate(sets)]
+    found = {tuple(p.values()) for p in simhash.close_pairs(rows, True, 0.8).to_pylist()}
+    ways = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a, b in ways}
+    links = {(a, b) for a, b in ways if both[a, b] >= 0.8 * (len(sets[a]) + len(sets[b]) - both[a, b])}
+    assert len(links) > 50 and links <= found and len(found) < len(ways) // 2
+    across = {tuple(p.values()) for p in simhash.close_pairs(rows, False, 0.8).to_pylist()}
+    assert across == {(a, b) for a, b in found if (a + b) % 2}
