@@ -280,11 +280,32 @@ def _verified(pairs: DataFrame, keyed: DataFrame, width: int, similarity: float)
         return lasting(links.select("x", "y"), "links")
 
 
+def fingerprint_pairs(keyed: DataFrame, width: int, threshold: int) -> DataFrame:
+    """``x, y``: the texts that SimHash takes for near duplicates, to be verified.
+
+    Each text is paired with the first one of its fingerprint, and the first text of
+    each fingerprint with that of the smallest other one within ``threshold`` bits,
+    found at the anchors. So there are at most two pairs per text.
+    """
+    make = lambda t: majority(hashed(shingles(t, width), 42))
+    fps = written(with_fingerprints(keyed, ["_row"], "_t", make, "bigint"), "fingerprints")
+    firsts = written(fps.groupBy("fp").agg(F.min("_row").alias("first")), "distinct")
+    copies = fps.join(firsts, "fp").where(F.col("_row") != F.col("first")).select(F.col("first").alias("x"), F.col("_row").alias("y"))
+    nearest = fingerprint_links(firsts.select("fp"), threshold).groupBy("b").agg(F.min("a").alias("a"))
+    named = nearest.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b")
+    return copies.union(named.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
+def _rooted(places: DataFrame, links: DataFrame) -> DataFrame:
+    """``places`` with ``root``, the smallest text that ``links`` join a text with."""
+    joined = components(links, "x", "y").select(F.col("node").alias("_row"), "root")
+    return places.join(joined, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
+
+
 def _apart(places: DataFrame, links: DataFrame) -> DataFrame:
     """``places`` with ``root``, without the shingles whose texts are all joined by
     ``links``; ``c`` is the number of texts of a shingle."""
-    joined = components(links, "x", "y").select(F.col("node").alias("_row"), "root")
-    named = places.join(joined, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
+    named = _rooted(places, links)
     ends = [F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("c")]
     mixed = named.groupBy("s").agg(*ends).where("low < high")
     return written(named.join(mixed.select("s", "c"), "s"), "apart")
@@ -369,15 +390,20 @@ def near_duplicates(
     text: str = "text",
     width: int = 5,
     similarity: float = 0.8,
+    threshold: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, groups)``: ``docs`` with a ``_row`` number, and ``_row, root`` of every
     row that belongs to a group of near duplicates.
 
     Two texts are near duplicates if the Jaccard similarity of their word
-    shingle sets is at least ``similarity``; groups are the components. No link
+    shingle sets is at least ``similarity``; groups are the components. Texts whose
+    SimHash fingerprints are equal or differ in at most ``threshold`` bits are found
+    at the anchors, verified on whole sets and joined first
+    (``fingerprint_pairs``). Fingerprints of texts at that similarity may differ in
+    more bits, so an exact search for the texts still apart follows. No link
     is lost: sets that similar share a shingle of their prefixes (``prefix``),
     and every pair that does is verified, unless sizes and places rule it out or
-    it is already joined. First each text is compared with one text of each of
+    it is already joined. In it each text is compared with one text of each of
     its prefix shingles, ``STAR_TURNS`` times anew with another one, which
     joins large groups without all their pairs; then all pairs of texts that are
     still apart meet in bounded groups (``_close``), and those that marks of their
@@ -386,19 +412,21 @@ def near_duplicates(
     """
     rows = with_rows(docs, "documents")
     with scratch(docs.sparkSession):
-        groups = components(_links(rows.select("_row", F.col(text).alias("_t")), width, similarity), "x", "y")
+        keyed = rows.select("_row", F.col(text).alias("_t"))
+        groups = components(_links(keyed, width, similarity, threshold), "x", "y")
         return rows, lasting(groups.select(F.col("node").alias("_row"), "root"), "groups")
 
 
-def _links(keyed: DataFrame, width: int, similarity: float) -> DataFrame:
+def _links(keyed: DataFrame, width: int, similarity: float, threshold: int) -> DataFrame:
     """Links that join every group of :func:`near_duplicates`."""
-    places = _repeated(keyed, width, similarity)
-    firsts = places.groupBy("s").agg(F.min(F.struct("_row", "n", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
+    alike = _verified(fingerprint_pairs(keyed, width, threshold), keyed, width, similarity)
+    places = _rooted(_repeated(keyed, width, similarity), alike)
+    firsts = places.groupBy("s").agg(F.min(F.struct("_row", "n", "at", "root")).alias("first"), F.count(F.lit(1)).alias("c"))
     shared = written(places.join(firsts, "s"), "shared")
 
     reach = _may_reach(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), similarity)
-    star = shared.where((F.col("_row") != F.col("first._row")) & reach)
-    links = _verified(star.select(F.col("first._row").alias("x"), F.col("_row").alias("y")), keyed, width, similarity)
+    star = shared.where((F.col("root") != F.col("first.root")) & reach)
+    links = alike.union(_verified(star.select(F.col("first._row").alias("x"), F.col("_row").alias("y")), keyed, width, similarity))
 
     # A shingle's first text has met the others; they may still be apart from each other.
     met = shared.where((F.col("c") > 2) & (F.col("_row") != F.col("first._row"))).select("s", "_row", "n", "at")

@@ -113,6 +113,26 @@ def test_near_duplicates_match_all_pairs(spark, texts):
     assert kept == {i for i in sets if root[i] == i}
 
 
+def test_near_duplicates_of_like_fingerprints_are_joined_by_simhash(spark, monkeypatch):
+    """Without the exact search that follows, the fingerprints' own links remain."""
+    words = [f"a{n}" for n in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "a399"])), (3, "other words that nothing else here holds"), (4, ""), (5, None)]
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.simhash_components(table(spark, rows), width=5).collect()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2 < (prints[1] ^ prints[3]).bit_count()
+    found = simhash._repeated
+    monkeypatch.setattr(simhash, "_repeated", lambda *how: found(*how).where("false"))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, rows)).collect()}
+    assert kept == {1, 3, 4}
+
+
+def test_fingerprints_alone_join_nothing(spark):
+    """Equal fingerprints of texts that have few shingles in common are verified first."""
+    text = "one two three four five six seven"
+    rows = [(1, text), (2, " ".join([text] * 3)), (3, text.upper())]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, rows), threshold=2).collect()}
+    assert kept == {1, 2}
+
+
 def test_one_of_repeated_rows_stays(spark):
     twice = table(spark, [(1, "the same words stand here twice"), (1, "the same words stand here twice"), (None, None)])
     assert simhash.drop_near_duplicates(twice).count() == 2
