@@ -13,53 +13,28 @@ def _key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
-def _first(pos: str) -> Column:
-    return F.coalesce(F.col(pos), F.lit(0)) == 0
+def _strands(docs: DataFrame) -> DataFrame:
+    """One row per strand, and one without for a subject that has none.
 
+    Here and below, the outer explodes evaluate each array once.
+    """
+    each = docs.select(F.col("subject.slug").alias("slug"), F.posexplode_outer("strands").alias("strand_pos", "strand"))
+    key = _key(F.col("slug"), F.col("strand_pos").cast("string"), F.col("strand.name"))
+    return each.withColumn("strand_id", key)
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """One row per indicator, and one for every parent without any.
 
-    A parent's name stands only on the first row below it, so long names are not
-    repeated. The outer explodes evaluate each array once and keep empty parents.
-    """
-    slug = F.col("subject.slug")
-    strands = docs.select(
-        slug.alias("slug"),
-        F.col("subject.name").alias("subject_name"),
-        F.posexplode_outer("strands").alias("strand_pos", "strand"),
-    )
-    subs = strands.select(
-        "slug",
-        F.when(_first("strand_pos"), F.col("subject_name")).alias("subject_name"),
-        "strand_pos",
-        _key(F.col("slug"), F.col("strand_pos").cast("string"), F.col("strand.name")).alias("strand_id"),
-        F.col("strand.name").alias("strand_name"),
-        F.posexplode_outer("strand.subStrands").alias("sub_pos", "sub"),
+def _sub_strands(docs: DataFrame) -> DataFrame:
+    """One row per sub-strand, and one without for a parent that has none."""
+    each = _strands(docs).select(
+        "slug", "strand_pos", "strand_id", F.posexplode_outer("strand.subStrands").alias("sub_pos", "sub")
     )
-    leaves = subs.select(
-        "slug",
-        F.when(_first("sub_pos"), F.col("subject_name")).alias("subject_name"),
-        "strand_pos",
-        "strand_id",
-        F.when(_first("sub_pos"), F.col("strand_name")).alias("strand_name"),
-        "sub_pos",
-        _key(F.col("strand_id"), F.col("sub_pos").cast("string"), F.col("sub.name")).alias("sub_id"),
-        F.col("sub.name").alias("sub_name"),
-        F.posexplode_outer("sub.indicators").alias("ind_pos", "ind"),
-    )
-    top = _first("ind_pos")
-    return leaves.select(
-        "slug",
-        F.when(top, F.col("subject_name")).alias("subject_name"),
-        "strand_pos",
-        "strand_id",
-        F.when(top, F.col("strand_name")).alias("strand_name"),
-        "sub_pos",
-        "sub_id",
-        F.when(top, F.col("sub_name")).alias("sub_name"),
-        "ind_pos",
-        "ind",
+    return each.withColumn("sub_id", _key(F.col("strand_id"), F.col("sub_pos").cast("string"), F.col("sub.name")))
+
+
+def _indicators(docs: DataFrame) -> DataFrame:
+    """One row per indicator, and one without for a parent that has none."""
+    return _sub_strands(docs).select(
+        "slug", "strand_pos", "sub_pos", "sub_id", F.posexplode_outer("sub.indicators").alias("ind_pos", "ind")
     )
 
 
@@ -69,27 +44,25 @@ def normalize_tree(docs: DataFrame, rooted: bool = False) -> dict[str, DataFrame
     With ``rooted`` every row also has ``root``, the key of its subject.
 
     Every child carries its parent's key. A key hashes the path of slug,
-    ordinals and names, so siblings with equal names stay distinct. The
-    documents are read and exploded once, into a table in the shared folder;
-    each level is a narrow selection of its rows, without a shuffle.
+    ordinals and names, so siblings with equal names stay distinct. Each level
+    reads the documents and explodes them down to itself, without a shuffle and
+    without storing the exploded rows, which with their keys are a multiple of
+    the documents. Documents that are costly to make should be stored first.
     """
-    rows = written(_exploded(docs), "tree")
     root = [_key(F.col("slug")).alias("root")] if rooted else []
-    on_sub = _first("ind_pos")
-    on_strand = on_sub & _first("sub_pos")
-    subjects = rows.where(on_strand & _first("strand_pos")).select(
-        _key(F.col("slug")).alias("id"), F.col("subject_name").alias("name"), "slug", *root
+    subjects = docs.select(F.col("subject.slug").alias("slug"), F.col("subject.name").alias("name")).select(
+        _key(F.col("slug")).alias("id"), "name", "slug", *root
     )
-    strands = rows.where(F.col("strand_pos").isNotNull() & on_strand).select(
+    strands = _strands(docs).where(F.col("strand_pos").isNotNull()).select(
         F.col("strand_id").alias("id"),
         _key(F.col("slug")).alias("subject_id"),
-        F.col("strand_name").alias("name"),
+        F.col("strand.name").alias("name"),
         *root,
     )
-    sub_strands = rows.where(F.col("sub_pos").isNotNull() & on_sub).select(
-        F.col("sub_id").alias("id"), "strand_id", F.col("sub_name").alias("name"), *root
+    sub_strands = _sub_strands(docs).where(F.col("sub_pos").isNotNull()).select(
+        F.col("sub_id").alias("id"), "strand_id", F.col("sub.name").alias("name"), *root
     )
-    indicators = rows.where(F.col("ind_pos").isNotNull()).select(
+    indicators = _indicators(docs).where(F.col("ind_pos").isNotNull()).select(
         _key(F.col("sub_id"), F.col("ind_pos").cast("string"), F.col("ind.code")).alias("id"),
         F.col("sub_id").alias("sub_strand_id"),
         F.col("ind.code").alias("code"),
@@ -142,7 +115,7 @@ def insert_new_subtrees(
 
     An existing slug skips its whole subtree, and of several new documents
     with one slug the first by ``order`` is taken. Winners are found on two
-    narrow columns and written once; ``order`` must be unique per document.
+    narrow columns, and they and their documents written once; ``order`` must be unique per document.
     Repeated indicator codes keep their first occurrence, and codes of
     ``existing_indicators`` are not inserted again. Documents without a slug
     and indicators without a code break the keys: they are left out of the
@@ -156,7 +129,8 @@ def insert_new_subtrees(
         .join(existing_subjects.select("slug").distinct(), "slug", "left_anti"),
         "winners",
     )
-    tables = normalize_tree(docs.join(winners, order, "left_semi"), rooted)
+    chosen = written(docs.join(winners, order, "left_semi").select("subject", "strands"), "chosen")
+    tables = normalize_tree(chosen, rooted)
     coded = tables["indicators"].where(F.col("code").isNotNull())
     codes = first_per_key(coded, ["code"], ["source_order"])
     if existing_indicators is not None:
