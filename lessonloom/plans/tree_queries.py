@@ -16,6 +16,7 @@ from lessonloom.sources import store
 from lessonloom.sources.json_docs import read_standards
 from lessonloom.sources.tables import read_table, read_texts
 
+JSON_ROWS = 8192  # documents in a file of JSON lines, which is one split when compressed
 SLUG, GRADE, STRAND, TERM = "asia", "1-URGENT", "NATION_7", "Urgent"
 
 TREE_COLUMNS = (
@@ -89,7 +90,9 @@ def tree_normalize(spark, folder) -> DataFrame:
 def json_standards(spark, folder) -> DataFrame:
     """The same corpus as JSON documents, one per line, written and read back."""
     path = fresh_dir(spark, "standards")
-    _corpus(spark, folder).select("subject", "strands").write.json(path)
+    # Copies of a text at three levels compress well; small files keep the reading tasks small.
+    whole = _corpus(spark, folder).select("subject", "strands")
+    whole.write.option("maxRecordsPerFile", JSON_ROWS).json(path, compression="gzip")
     return _normalized(read_standards(spark, path, multi_line=False))
 
 

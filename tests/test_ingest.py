@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lessonloom.operators import ingest, quality, tree
+from lessonloom.plans import tree_queries
+from lessonloom.session import scratch_scope
 from lessonloom.sources.json_docs import read_standards
 
 # Indicators per sub-strand of each strand, per subject: 7 subjects, 22 strands,
@@ -66,6 +68,25 @@ def test_level_counts(seed):
     assert audit.where("violations > 0").count() == 0
 
 
+def test_exploded_rows_are_not_stored(seed):
+    with scratch_scope() as made:
+        tables = ingest.normalize_tree(seed)
+        assert tables["indicators"].count() == 67
+    assert made == []
+
+
+def test_standards_are_stored_compressed_in_files_of_bounded_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(tree_queries, "JSON_ROWS", 11)
+    with scratch_scope() as made:
+        found = tree_queries.json_standards(spark, sf)
+    assert [label for label, _ in made] == ["standards"]
+    files = spark.read.format("binaryFile").load(made[0][1]).select("path").collect()
+    assert all(f["path"].endswith(".json.gz") for f in files)
+    lines = [len(spark.read.text(f["path"]).collect()) for f in files]
+    assert max(lines) == 11 and sum(lines) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert sorted(map(str, found.collect())) == sorted(map(str, tree_queries.tree_normalize(spark, sf).collect()))
+
+
 def test_equal_sibling_names_get_their_own_keys(spark):
     doc = documents()[1]
     for strand in doc["strands"]:
