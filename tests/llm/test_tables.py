@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lessonloom.llm import fixity, licenses, mixing, packing, token_files, topk
+from lessonloom.session import scratch_scope
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -105,6 +106,14 @@ def test_boundaries_are_optimal():
     assert packing.boundaries(many, np.ones(len(many)), 2) == [100_000, 200_000]
 
 
+def test_packing_stores_texts_once(spark):
+    docs = spark.createDataFrame([(n, "word " * (n % 9)) for n in range(40)], "doc_id BIGINT, text STRING")
+    with scratch_scope() as made:
+        packing.pack(docs, buckets=3, budget=64)
+    stored = [path for _, path in made if "text" in spark.read.parquet(path).columns]
+    assert len(stored) == 1
+
+
 def test_packing_fills_batches(spark):
     rows = [(i % 50, "w " * (i % 37), "x") for i in range(600)] + [(None, None, "x"), (1, "w " * 700, "x")]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, batch STRING")
