@@ -31,6 +31,9 @@ LIMIT = 18  # longest code in bits; more only if the ids could not all have a co
 BLOCK_IDS, STRIDE = 1 << 16, 256
 MEMO_WORDS = 1 << 20  # words whose ids a worker remembers
 TEXTS_AT_ONCE = 512
+WORDS_AT_ONCE = 1 << 12  # new words that are handed to the library in one call
+PLAIN_END = 0x250  # the characters of Encoder.PLAIN lie below
+_GAP, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 
 
 class Encoder:
@@ -39,9 +42,10 @@ class Encoder:
     For a tokenizer that normalises by NFC and lower case, splits by ``PRE_TOKEN``
     and works on bytes, which its file is checked for: a word's ids then do not
     depend on its neighbours. Texts of any other tokenizer are encoded whole. Words
-    of plain Latin letters, digits and signs go straight to the library's model
-    by pre-token; any other word through the whole tokenizer. Two generations of
-    remembered words keep the frequent ones in bounded memory.
+    of plain Latin letters, digits and signs go to the library's model by pre-token,
+    many in one call, which is told apart by the ids that end a pre-token; any other
+    word goes through the whole tokenizer. Two generations of remembered words keep
+    the frequent ones in bounded memory.
     """
 
     PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -51,9 +55,12 @@ class Encoder:
     def __init__(self, path: str, end_id: int, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.pieces = Tokenizer(self.model)  # takes pre-tokens that are ready, a space between them
+        self.pieces.pre_tokenizer = WhitespaceSplit()
         self.kind, self.end = kind, np.array([end_id], dtype=kind).tobytes()
         self.by_word = self._splits_by_word(path)
         self.new: dict[bytes, bytes] = {}
@@ -63,6 +70,12 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+        self.spelt = np.array([32 if b == 32 else ord(self.letters[b]) for b in range(256)], dtype="<u4")
+        suffix = getattr(self.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.kinds = np.array([self._kind(chr(c)) for c in range(PLAIN_END)] + [_ODD], dtype=np.int8)
 
     @classmethod
     def _splits_by_word(cls, path: str) -> bool:
@@ -92,62 +105,105 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(found, dtype=self.kind).tobytes()
 
+    @classmethod
+    def _kind(cls, c: str) -> int:
+        """What a lower-cased character is to ``PRE_TOKEN``."""
+        if c == "\n":
+            return _GAP
+        if c == "'" or not cls.PLAIN.fullmatch(c):  # an apostrophe may begin a pre-token of its own
+            return _ODD
+        return _LETTER if regex.match(r"\p{L}", c) else _DIGIT if regex.match(r"\p{N}", c) else _SIGN
+
     def _learn(self, words: list[bytes]) -> None:
-        made: list[int] = []
-        sizes: list[int] = []
-        plain: list[bytes] = []
-        old, new, tokenize = self.old, self.new, self.model.tokenize
-        for word in words:
-            known = old.get(word)
-            if known is not None:
-                new[word] = known
-                continue
-            if word.isalpha():  # ASCII letters
-                ids = [t.id for t in tokenize(word.decode())]
-            else:
+        fresh: list[bytes] = []
+        old, new = self.old, self.new
+        for word, known in zip(words, map(old.get, words)):
+            if known is None:
                 mark = self.marks.get(word[-1])
                 if mark is not None and word[-2:-1].isalpha():  # a sign after a letter stands alone
                     known = new.get(word[:-1]) or old.get(word[:-1])
                     if known is not None:
-                        new[word] = known + mark
-                        continue
-                text = word.decode("utf-8")
-                if not self.PLAIN.fullmatch(text):
-                    new[word] = self._ids(text)
-                    continue
-                text, ids = text.lower(), []
-                for part in (text,) if text.isalpha() else self.PRE_TOKEN.findall(text):
-                    if not part.isascii():
-                        part = part.encode("utf-8").decode("latin-1").translate(self.letters)
-                    ids += [t.id for t in tokenize(part)]
-            made += ids
-            plain.append(word)
-            sizes.append(len(ids))
-        raw, at = np.array(made, dtype=self.kind).tobytes(), 0
+                        known += mark
+            if known is None:
+                fresh.append(word)
+            else:
+                new[word] = known
+        for at in range(0, len(fresh), WORDS_AT_ONCE):
+            self._learn_new(fresh[at : at + WORDS_AT_ONCE])
+
+    def _learn_new(self, words: list[bytes]) -> None:
+        new = self.new
+        codes = np.frombuffer(b"\n".join([*words, b""]).decode("utf-8").lower().encode("utf-32-le"), dtype="<u4")
+        kinds = self.kinds[np.minimum(codes, PLAIN_END)]
+        ends = np.flatnonzero(kinds == _GAP) + 1
+        odd = np.zeros(len(words), dtype=bool)
+        odd[np.searchsorted(ends, np.flatnonzero(kinds == _ODD), side="right")] = True
+        if odd.any():
+            for n in np.flatnonzero(odd).tolist():
+                new[words[n]] = self._alone(words[n])
+            words = [word for word, is_odd in zip(words, odd.tolist()) if not is_odd]
+            if not words:
+                return
+            keep = np.repeat(~odd, np.diff(ends, prepend=0))
+            codes, kinds = codes[keep], kinds[keep]
+            ends = np.flatnonzero(kinds == _GAP) + 1
+        # Every digit, and every run of letters or signs, is a pre-token.
+        begins = (kinds != np.concatenate([kinds[-1:], kinds[:-1]])) | (kinds == _DIGIT)
+        begins[kinds == _GAP] = False
+        counts = np.diff(np.cumsum(begins)[ends - 1], prepend=0)
+        inner = begins.copy()
+        inner[ends[:-1]] = inner[0] = False  # a gap is before these already
+        spaced = np.insert(np.where(kinds == _GAP, np.uint32(32), codes).astype("<u4"), np.flatnonzero(inner), 32)
+        text = spaced.tobytes().decode("utf-32-le")
+        if not text.isascii():
+            text = self.spelt[np.frombuffer(text.encode("utf-8"), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        found = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int64)
+        last = np.flatnonzero(self.closes[found])
+        if len(last) != counts.sum():  # a vocabulary without such ids
+            for word in words:
+                new[word] = self._alone(word)
+            return
         width = np.dtype(self.kind).itemsize
-        for word, size in zip(plain, sizes):
-            new[word] = raw[at : at + size * width]
-            at += size * width
+        to = ((last[np.cumsum(counts) - 1] + 1) * width).tolist()
+        raw = found.astype(self.kind).tobytes()
+        new.update(zip(words, [raw[a:b] for a, b in zip([0, *to], to)]))
+
+    def _alone(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if not self.PLAIN.fullmatch(text):
+            return self._ids(text)
+        ids: list[int] = []
+        for part in self.PRE_TOKEN.findall(text.lower()):
+            if not part.isascii():
+                part = part.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.model.tokenize(part)]
+        return np.array(ids, dtype=self.kind).tobytes()
 
     def _known(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word."""
         if len(self.new) > MEMO_WORDS // 2:
             self.old, self.new = self.new, {}
-        found = list(map(self.new.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, ids in zip(words, found) if ids is None)))
-            found = [self.new[w] if ids is None else ids for w, ids in zip(words, found)]
+        new = self.new
+        found = list(map(new.get, words))
+        missing = [n for n, ids in enumerate(found) if ids is None]
+        if missing:
+            wanted = [words[n] for n in missing]
+            self._learn(list(dict.fromkeys(wanted)))
+            for n, word in zip(missing, wanted):
+                found[n] = new[word]
         return found
 
     def _together(self, texts: list[bytes]) -> list[bytes]:
         """Ids of several lower-cased texts. Equal words are found by their hashes, and
         each is compared byte by byte with the one that stands for it."""
         h = Hashed([(n, t, 0, False) for n, t in enumerate(texts)], lower=False)
-        _, first, which = np.unique(h.words, return_index=True, return_inverse=True)
+        distinct, which = np.unique(h.words, return_inverse=True)
+        first = np.zeros(len(distinct), dtype=np.int64)
+        first[which] = np.arange(len(which))  # any one of them
         sizes = h.ends - h.starts
         seen = np.flatnonzero(~h.blank).astype(np.int32)
         shift = np.repeat((h.starts[first][which] - h.starts).astype(np.int32), sizes)
-        if (sizes[first][which] != sizes).any() or (h.raw[~h.blank] != h.raw.take(seen + shift)).any():
+        if (sizes[first][which] != sizes).any() or (h.raw.take(seen) != h.raw.take(seen + shift)).any():
             return [b"".join(self._known(t.split())) for t in texts]
         raw = h.raw.tobytes()
         found = self._known([raw[a:b] for a, b in zip(h.starts[first].tolist(), h.ends[first].tolist())])

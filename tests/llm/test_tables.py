@@ -69,6 +69,32 @@ def test_token_files_match_the_library(spark, vocabulary):
     assert token_files.round_trip(spark.createDataFrame([], "doc_id BIGINT, text STRING"), VOCABULARY).count() == 0
 
 
+def test_new_words_go_to_the_library_many_at_once():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    encode = token_files.Encoder(VOCABULARY, 1, "<u2")
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(33, token_files.PLAIN_END) if token_files.Encoder.PLAIN.fullmatch(chr(c))]
+    words = ["".join(rng.choices(signs if n % 2 else signs[64:90], k=rng.randrange(1, 9))) for n in range(12000)]
+    words += ["\x7f", "a\x01b", "\u0130x", "'tis", "it's", "12ab3.4", "e\u0301", "\u03a3\u0391\u03a3", "\u4e2d.", "x", "7", "."]
+    rng.shuffle(words)
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(texts)
+            return library_pieces.encode_batch_fast(texts, **how)
+
+    library_pieces, encode.pieces = encode.pieces, Counted()
+    made = encode.encode([" ".join(words)])[0]
+    assert np.frombuffer(made, "<u2").tolist() == [*library.encode(" ".join(words), add_special_tokens=False).ids, 1]
+    assert 1 <= len(calls) <= 1 + len(set(words)) // token_files.WORDS_AT_ONCE
+    encode.closes[:] = False  # a vocabulary that does not tell where pre-tokens end
+    encode.new.clear()
+    assert encode.encode([" ".join(words)])[0] == made
+
+
 def test_poisson_mixing(spark):
     assert mixing.poisson_counts(np.array([0.0, 0.36, 0.37, 0.9, 0.999999]), np.ones(5)).tolist() == [0, 0, 1, 2, 9]
     assert mixing.poisson_counts(np.array([0.5]), np.zeros(1)).tolist() == [0]
