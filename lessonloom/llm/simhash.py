@@ -159,7 +159,8 @@ def fingerprint_links(fps: DataFrame, threshold: int) -> DataFrame:
     homes = at_anchors(fps, 0).withColumnRenamed("fp", "a")
     visits = at_anchors(fps, threshold).withColumnRenamed("fp", "b")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return homes.join(visits, "anchor").where((F.col("a") < F.col("b")) & close).select("a", "b")
+    # Spark sizes visits as it does homes, whatever their number, so they are never broadcast.
+    return homes.join(visits.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & close).select("a", "b")
 
 
 def simhash_components(
@@ -271,8 +272,8 @@ def _verified(pairs: DataFrame, keyed: DataFrame, width: int, similarity: float)
         wanted = pairs.select(F.col("x").alias("_row")).union(pairs.select("y")).distinct()
         sets = written(_shingle_sets(keyed.join(wanted.hint("merge"), "_row", "left_semi"), width), "shingles")
         links = (
-            pairs.join(sets.select(F.col("_row").alias("x"), F.col("fp").alias("s")), "x")
-            .join(sets.select(F.col("_row").alias("y"), F.col("fp").alias("t")), "y")
+            pairs.join(sets.select(F.col("_row").alias("x"), F.col("fp").alias("s")).hint("merge"), "x")
+            .join(sets.select(F.col("_row").alias("y"), F.col("fp").alias("t")).hint("merge"), "y")
             .withColumn("both", F.size(F.array_intersect("s", "t")))
             .withColumn("any", F.size("s") + F.size("t") - F.col("both"))
             .where(F.col("both") >= F.lit(similarity) * F.col("any"))
@@ -437,7 +438,8 @@ def _links(keyed: DataFrame, width: int, similarity: float, threshold: int) -> D
         each = others.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("o"))
         firsts = each.groupBy("s").agg(F.max(F.struct("c", "root", "o")).alias("f")).select("s", "f.root", "f.o").toDF("s", "r", "f")
         reach = _may_reach(F.col("n"), F.col("at"), F.col("f.n"), F.col("f.at"), similarity)
-        star = others.join(firsts, "s").where((F.col("root") != F.col("r")) & reach)
+        # Repeated values take less in files than in memory, so ``others`` are never broadcast.
+        star = others.hint("merge").join(firsts, "s").where((F.col("root") != F.col("r")) & reach)
         star = star.select(F.least("_row", "f._row").alias("x"), F.greatest("_row", "f._row").alias("y"))
         more = _verified(star, keyed, width, similarity)
         if more.isEmpty():
