@@ -65,3 +65,15 @@ def test_near_dedup_broadcasts_no_visits_and_no_sets(spark, tmp_path, plans):
     assert not [label for label, x in below if "fp:array<bigint>" in x]
     others = "struct<s:bigint,_row:bigint,n:int,at:int,root:bigint>"
     assert [plan for _, plan in plans if others in plan] and not [label for label, x in below if others in x]
+
+
+def test_simhash_broadcasts_no_visits(spark, tmp_path, plans):
+    rng = random.Random(8)
+    made = [" ".join(f"v{rng.randrange(5000)}" for _ in range(60)) for _ in range(30)] + [" ".join(WORDS), " ".join([*WORDS, "a149"])]
+    docs = stored(spark, tmp_path, list(enumerate(made)), "doc_id BIGINT, text STRING")
+    found = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.simhash_components(docs).collect()}
+    close = [(a, b) for b in found for a in range(b) if (found[a][0] ^ found[b][0]).bit_count() <= 2]
+    root = roots(range(len(made)), close)
+    assert close and {i: c for i, (_, c) in found.items()} == root
+    edges = [plan for label, plan in plans if label == "edges" and "MapInArrow" in plan]
+    assert edges and not [x for plan in edges for x in sent(plan) if "MapInArrow" in x]
